@@ -36,7 +36,7 @@ MIN_GROUP = 60
 KEEP_SHARE = 0.75
 STEPS = 3
 #: Squared distance beyond which a document is rejected: far above the 1 - 1e-6 quantile of chi-square with 5 degrees (36).
-CUTOFF = 60.0
+CUTOFF = 80.0
 #: Consistency of the scatter of the nearest three quarters, for 5 normal dimensions.
 CONSISTENCY = 1.6
 
