@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, packing, quality, simhash, substring_fm, suffix_dedup
+from pathloom.llm import decontaminate, langid, licenses, line_dedup, packing, quality, simhash, substring_fm, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_fm.dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -20,6 +24,11 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -30,6 +39,10 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept_bytes")
 
@@ -38,16 +51,55 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_fm_index, op3_simhash_components, op5_curve_packing, op7_suffix_sort_dedup, op8_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_fm_index, op3_simhash_components, op4_line_winnowing, op5_curve_packing, op6_license_index, op7_suffix_sort_dedup, op8_quality_rules, op9_warc_derivatives, op10_decontamination)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_TEMPLATES = ", ".join(f"({n}, '{label}', {words!r}, {must!r})" for n, label, words, must in [(n, a, w, [" ".join(q) + f"@{p}" for p, q in m]) for n, a, w, m in licenses._template_rows(licenses.TEMPLATES)])
+
 ORACLES = {
+    "op4_line_winnowing": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+all_lines AS (SELECT doc_id, l[p] AS line, p FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)),
+lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM all_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+win AS (SELECT doc_id, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS again FROM win WHERE c IS NOT NULL),
+gone AS (SELECT lines.doc_id, lines.p, lines.i, coalesce(max(CAST(again AS INT)) OVER (PARTITION BY lines.doc_id ORDER BY lines.i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) = 1 AS cut
+         FROM lines LEFT JOIN rep ON lines.doc_id = rep.doc_id AND lines.i = rep.i),
+kept AS (SELECT a.doc_id, count(g.p) AS n_lines, count(*) FILTER (coalesce(cut, false)) AS n_removed_lines, string_agg(line, chr(10) ORDER BY a.p) FILTER (NOT coalesce(cut, false)) AS k
+         FROM all_lines a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY 1)
+SELECT doc_id, n_lines, n_removed_lines, sha256(coalesce(k, '')) AS kept_sha256 FROM kept""",
+    "op6_license_index": rf"""
+WITH t(t, label, tw, must) AS (VALUES {_TEMPLATES}),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS w FROM documents),
+x AS (SELECT doc_id, w[i + 1] AS w, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+tx AS (SELECT t, tw[p + 1] AS w, p FROM (SELECT t, tw, unnest(range(0, len(tw))) AS p FROM t)),
+df AS (SELECT tw.w, count(DISTINCT doc_id) AS f FROM (SELECT DISTINCT w FROM tx) tw LEFT JOIN x ON x.w = tw.w GROUP BY 1),
+picked AS (SELECT * FROM (SELECT t, w, f, row_number() OVER (PARTITION BY t ORDER BY f, w) AS r FROM (SELECT DISTINCT t, w FROM tx) JOIN df USING (w)) WHERE r <= 3),
+post AS (SELECT t, w, p, f, least(2, count(DISTINCT w) OVER (PARTITION BY t)) AS need FROM tx JOIN picked USING (t, w)),
+looked AS (SELECT * FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY f, w) AS r FROM (SELECT DISTINCT doc_id, x.w, f FROM x JOIN (SELECT DISTINCT w, f FROM post) USING (w))) WHERE r <= 8),
+cand AS (SELECT doc_id, t, i - p AS s FROM x JOIN looked USING (doc_id, w) JOIN post USING (w) GROUP BY doc_id, t, i - p, need HAVING count(DISTINCT w) >= need),
+scored AS (SELECT c.doc_id, c.t, c.s, count(x.i) / count(*)::DOUBLE AS score FROM cand c JOIN tx ON tx.t = c.t LEFT JOIN x ON x.doc_id = c.doc_id AND x.i = c.s + tx.p AND x.w = tx.w GROUP BY 1, 2, 3),
+must AS (SELECT t, string_split(split_part(m, '@', 1), ' ') AS q, CAST(split_part(m, '@', 2) AS INT) AS p FROM (SELECT t, unnest(must) AS m FROM t)),
+good AS (SELECT doc_id, label, score FROM scored s JOIN t USING (t) JOIN d USING (doc_id)
+         WHERE score >= 0.8 AND NOT EXISTS (SELECT 1 FROM must WHERE must.t = s.t AND (s.s + must.p < 0 OR list_slice(d.w, s.s + must.p + 1, s.s + must.p + len(q)) IS DISTINCT FROM q))),
+own AS (SELECT doc_id, list(DISTINCT label) AS own, max(score) AS best FROM good GROUP BY 1),
+y AS (SELECT doc_id, w, i, lag(w, 1) OVER o AS b1, lag(w, 2) OVER o AS b2 FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+base AS (SELECT doc_id, CASE WHEN b1 IN ('mit', 'apache') THEN i - 1 ELSE i - 2 END AS s, CASE WHEN b1 IN ('mit', 'apache') THEN b1 ELSE 'gpl' END AS label FROM y
+         WHERE w = 'license' AND (b1 IN ('mit', 'apache') OR (b1 = 'public' AND b2 = 'general'))),
+bl AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(own, [])))), ',') AS labels, coalesce(best, 0.0) AS score
+FROM d LEFT JOIN bl USING (doc_id) LEFT JOIN own USING (doc_id)""",
     "op2_substring_fm_index": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
