@@ -1,6 +1,6 @@
 """All queries of the library, apart from those of removable subpackages."""
 
-from pathloom.plans import graph_queries, merge_queries, model_queries, name_queries  # noqa: F401
+from pathloom.plans import graph_queries, link_queries, merge_queries, model_queries, name_queries, rewrite_queries  # noqa: F401
 from pathloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
