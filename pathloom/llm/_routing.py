@@ -4,12 +4,18 @@ Every window of ``width`` units (words or bytes) has one *anchor*: the k-gram in
 leftmost of equals, which depends on the window's content alone. Consecutive windows with one anchor form a
 *stretch*. Equal windows have equal anchors, so
 
-1. stretches are dealt by anchor as hashes; stretches whose anchor occurs once in the corpus end here, and
+1. stretches are dealt by anchor as hashes, equal ones of a batch as one (its later copies go anywhere, as
+   they are repeats whatever else there is); stretches whose anchor occurs once in the corpus end here, and
    equal stretches are counted once, under their earliest occurrence;
 2. for the rest, the contents are cut from the texts and dealt to shards by anchor. A shard's index finds
    the equal windows among its contents;
 3. what it finds is gathered by document.
 
+k-grams that stand in many documents are anchors only of windows that hold no other: a window that reaches
+over the end of a common passage goes where its rarer words say, so that a common passage's anchors get equal
+stretches alone, which are counted before they are dealt. Which k-grams these are is told by a sample of the
+documents; it decides on the dealing alone, never on the result.
+
 Rows with one id and one text are one document. A null id comes before all others, a null text is empty.
 """
 
@@ -47,7 +53,24 @@ class Windows:
         return byte_values(c.buffer()), c.starts, c.ends
 
 
-def stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+class Common:
+    """A sorted set of frequent k-grams' hashes."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams)
+        self.bits = np.zeros(1 << 20, dtype=bool)
+        self.bits[(self.grams >> U(44)).astype(np.int64)] = True
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        """Places of those of the grams that are frequent."""
+        if not len(self.grams):
+            return np.zeros(0, dtype=np.int64)
+        may = np.flatnonzero(self.bits[(grams >> U(44)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.grams, grams[may]), len(self.grams) - 1)
+        return may[self.grams[k] == grams[may]]
+
+
+def stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: Common) -> tuple[np.ndarray, ...]:
     """Of a chunk: each stretch's anchor hash, content hash, document, start within it and number of windows."""
     n = len(values) - w.width + 1
     if n <= 0 or not (ends - starts >= w.width).any():
@@ -58,7 +81,9 @@ def stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarr
     at = np.arange(len(values) - w.gram + 1)
     grams = spans(at, at + w.gram)
     low = U((1 << _PLACE_BITS) - 1)
-    place = (window_minima((grams & ~low) | at.astype(np.uint64), w.width - w.gram + 1) & low).astype(np.int64)
+    rank = grams >> U(1)
+    rank[common.among(grams)] |= U(1 << 63)
+    place = (window_minima((rank & ~low) | at.astype(np.uint64), w.width - w.gram + 1) & low).astype(np.int64)
     full = ends - starts >= w.width
     edge = np.zeros(n + 1, dtype=np.int8)
     edge[starts[full]] += 1
@@ -73,28 +98,85 @@ def stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return grams[place[a]], spans(a, b - 1 + w.width), doc, (a - starts[doc]).astype(np.int32), (b - a).astype(np.int32)
 
 
-_DEALT = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("did", "th", "anchor", "content", "doc", "start", "count"))])
-_DEALT_DDL = "bin int, did binary, th binary, anchor binary, content binary, doc binary, start binary, count binary"
+#: One of so many documents tells which k-grams are frequent: those in this share of it, the most frequent first.
+SAMPLE, SHARE, MAX_COMMON = 64, 0.01, 200_000
 
 
-def _deal(batches: Iterator[pa.RecordBatch], w: Windows, bins: int) -> Iterator[pa.RecordBatch]:
+def _often(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
+    """k-grams that stand in three documents of a task's sample at least and in half the share of it, with their counts."""
+    parts, docs = [], 0
+    for batch in batches:
+        for c in chunks(binary(batch.column(0))):
+            values, starts, ends = w.units(c)
+            n = len(values) - w.gram + 1
+            docs += len(c.texts)
+            if n > 0:
+                at = np.arange(n)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                inside = at + w.gram <= ends[doc]
+                grams = SpanHash(values)(at[inside], at[inside] + w.gram)
+                order = np.lexsort((doc[inside], grams))
+                g, d = grams[order], doc[inside][order]
+                once = np.ones(len(g), dtype=bool)
+                once[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+                parts.append(np.unique(g[once], return_counts=True))
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    if parts:
+        g, which = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate([y for _, y in parts])).astype(np.int64)
+        some = n >= max(3, SHARE / 2 * docs)
+        yield batch_of(schema, [g[some].view(np.int64), n[some]])
+
+
+def common_grams(keyed_docs: DataFrame, w: Windows) -> np.ndarray:
+    """Hashes of the frequent k-grams; ``MAX_COMMON`` at most."""
+    sample = keyed_docs.where(F.pmod(F.xxhash64("did"), F.lit(SAMPLE)) == 0).select("text")
+    least = SHARE * max(1, sample.count())
+    rows = sample.mapInArrow(lambda it: _often(it, w), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(MAX_COMMON).select("gram").toPandas()
+    return rows["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+
+
+def _parted(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return new
+
+
+_DEALT = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("did", "th", "anchor", "content", "doc", "start", "count", "times"))])
+_DEALT_DDL = "bin int, did binary, th binary, anchor binary, content binary, doc binary, start binary, count binary, times binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch], w: Windows, bins: int, common: Common) -> Iterator[pa.RecordBatch]:
+    """Stretches by anchor, to bins below ``bins``: the earliest of equal ones with how often they occur. The others go to
+    the bins from there on, by document."""
     for batch in batches:
         did, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         got = []
         for c in chunks(binary(batch.column(2))):
-            anchor, content, doc, start, count = stretches(w, *w.units(c))
+            anchor, content, doc, start, count = stretches(w, *w.units(c), common)
             got.append((anchor, content, np.array(c.rows)[doc], start, count))
         if not got:
             continue
         anchor, content, doc, start, count = (np.concatenate(x) for x in zip(*got, strict=True))
-        to = (anchor % U(bins)).astype(np.int32)
+        if not len(anchor):
+            continue
+        order = np.lexsort((start, th[doc], did[doc], content, anchor))
+        anchor, content, doc, start, count = (x[order] for x in (anchor, content, doc, start, count))
+        once = _parted(anchor, content, did[doc], th[doc], start)  # a document given twice is one
+        anchor, content, doc, start, count = (x[once] for x in (anchor, content, doc, start, count))
+        first = _parted(anchor, content)
+        at = np.flatnonzero(first)
+        times = np.zeros(len(anchor), dtype=np.int32)
+        times[at] = np.diff(np.append(at, len(anchor)))
+        to = np.where(first, anchor % U(bins), U(bins) + (doc + np.int64(did[0] & 0xFFFF)).astype(np.uint64) % U(bins)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        to, anchor, content, doc, start, count = (x[order] for x in (to, anchor, content, doc, start, count))
-        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, dtype=np.int64)
+        to, anchor, content, doc, start, count, times = (x[order] for x in (to, anchor, content, doc, start, count, times))
+        cuts = np.append(np.flatnonzero(_parted(to)), len(to))
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, local = np.unique(doc[a:b], return_inverse=True)
-            rows.append((int(to[a]), did[own].tobytes(), th[own].tobytes(), anchor[a:b].tobytes(), content[a:b].tobytes(), local.astype(np.int32).tobytes(), start[a:b].tobytes(), count[a:b].tobytes()))
+            rows.append((int(to[a]), did[own].tobytes(), th[own].tobytes(), anchor[a:b].tobytes(), content[a:b].tobytes(), local.astype(np.int32).tobytes(), start[a:b].tobytes(), count[a:b].tobytes(), times[a:b].tobytes()))
         for a in range(0, len(rows), 512):
             yield batch_of(_DEALT, list(zip(*rows[a : a + 512], strict=True)))
 
@@ -116,32 +198,32 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     join = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in frame[name]])
     doc = np.concatenate(doc)
     did, th = np.concatenate(did)[doc], np.concatenate(th)[doc]
-    anchor, content, start, count = join("anchor", np.uint64), join("content", np.uint64), join("start", np.int32), join("count", np.int32)
+    anchor, content, start, count, times = join("anchor", np.uint64), join("content", np.uint64), join("start", np.int32), join("count", np.int32), join("times", np.int32)
+    # later copies of one batch need no more than this
+    copies = times.copy()
+    sure = times == 0
     # most anchors occur once
-    order = np.argsort(anchor, kind="stable")
-    s = anchor[order]
-    same = s[1:] == s[:-1]
-    keep = np.zeros(len(s), dtype=bool)
+    order = np.flatnonzero(~sure)
+    order = order[np.argsort(anchor[order], kind="stable")]
+    same = ~_parted(anchor[order])[1:] if len(order) else np.zeros(0, dtype=bool)
+    keep = times[order] > 1
     keep[1:] |= same
     keep[:-1] |= same
-    keep = order[keep]
-    did, th, anchor, content, start, count = (x[keep] for x in (did, th, anchor, content, start, count))
-    order = np.lexsort((start, th, did, content, anchor))
-    did, th, anchor, content, start, count = (x[order] for x in (did, th, anchor, content, start, count))
-    if len(did):
-        differ = lambda *xs: np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in xs])))
-        once = differ(did, th, anchor, content, start)  # a document given twice is one
-        did, th, anchor, content, start, count = (x[once] for x in (did, th, anchor, content, start, count))
-        first = differ(anchor, content)
-        at = np.flatnonzero(first)
-        copies = np.zeros(len(did), dtype=np.int32)
-        copies[at] = np.diff(np.append(at, len(did)))
-        group = np.cumsum(differ(anchor)) - 1
-        keep = np.bincount(group)[group] > 1
-        did, th, anchor, start, count, copies = (x[keep] for x in (did, th, anchor, start, count, copies))
-    else:
-        copies = np.zeros(0, dtype=np.int32)
-    return pd.DataFrame({"did": did, "th": th, "start": start, "count": count, "anchor": anchor.view(np.int64), "copies": copies})
+    order = order[keep]
+    order = order[np.lexsort((start[order], th[order], did[order], content[order], anchor[order]))]
+    if len(order):
+        one = _parted(anchor[order], content[order])
+        again = ~_parted(anchor[order], content[order], did[order], th[order], start[order])  # of a document given twice
+        at = np.flatnonzero(one)
+        total = np.add.reduceat(times[order] - again, at)
+        copies[order] = 0
+        copies[order[at]] = total
+        place = np.flatnonzero(~again)
+        group = np.cumsum(_parted(anchor[order])) - 1
+        several = np.bincount(group[place], weights=times[order][place]) > 1
+        order = order[~again & several[group]]
+    order = np.concatenate((np.flatnonzero(sure), order))
+    return pd.DataFrame({"did": did[order], "th": th[order], "start": start[order], "count": count[order], "anchor": anchor[order].view(np.int64), "copies": copies[order]})
 
 
 _SHARD = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("did", "th", "start", "count", "copies", "values", "codes"))])
@@ -172,7 +254,7 @@ def _extract(batches: Iterator[pa.RecordBatch], w: Windows, bins: int) -> Iterat
             to = (anchor[own].view(np.uint64) % U(bins)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             to, rows, own, place = to[order], rows[order], own[order], place[order]
-            cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, dtype=np.int64)
+            cuts = np.append(np.flatnonzero(_parted(to)), len(to))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = own[a:b]
                 units = values[ragged(place[a:b], count[mine].astype(np.int64) + w.width - 1)]
@@ -237,7 +319,8 @@ def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spans_to_cut(keyed_docs: DataFrame, w: Windows, search: Search) -> DataFrame:
     """``did, th, cuts``: the spans of units, per document, that are to be removed (an array of start, end)."""
     bins = BINS_PER_PARTITION * max(4, int(keyed_docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = durable(keyed_docs.mapInArrow(lambda it: _deal(it, w, bins), _DEALT_DDL).groupBy("bin").applyInPandas(_meet, _FOUND_DDL))
+    common = keyed_docs.sparkSession.sparkContext.broadcast(Common(common_grams(keyed_docs, w)))
+    found = durable(keyed_docs.select("did", "th", "text").mapInArrow(lambda it: _deal(it, w, bins, common.value), _DEALT_DDL).groupBy("bin").applyInPandas(_meet, _FOUND_DDL))
     wanted = found.where("copies > 0").groupBy("did", "th").agg(F.collect_list(F.struct("start", "count", "anchor", "copies")).alias("wanted"))
     held = keyed_docs.join(wanted, ["did", "th"]).select("did", "th", "text", "wanted")
 

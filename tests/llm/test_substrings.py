@@ -97,3 +97,23 @@ def test_deep_shallow_order():
     keys = [key(i) for i in order]
     assert keys == sorted(keys) and sorted(order) == list(places)
     assert all((group[i] == group[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, len(keys)))
+
+
+def test_common_passages_over_many_batches(spark, monkeypatch):
+    from pathloom.llm import _routing
+
+    monkeypatch.setattr(_routing, "SAMPLE", 1)
+    monkeypatch.setattr(_routing, "SHARE", 0.05)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(2, 5)))
+    passage = " ".join(word() for _ in range(60))
+    table = [(i, " ".join(word() for _ in range(r.randint(0, 30))) + " " + passage + " " + " ".join(word() for _ in range(r.randint(0, 30)))) for i in range(120)]
+    table += [(1000 + i, table[i % 7][1]) for i in range(60)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(9)
+    from pathloom.llm._routing import Windows, common_grams, keyed
+
+    assert len(common_grams(keyed(df, "doc_id", "text").select("did", "th", "text"), Windows(True, 20, 5))) >= 50
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_fm.dedup(df).collect()}
+    assert got == brute_words(sorted(table))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.dedup(df).collect()}
+    assert got == brute_bytes(table)
