@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm._text import BLANK_WORDS, SpanHash, U, Words, batch_of, binary, byte_values, chunks, covered, word_span_hash
 from pathloom.plans.durable import durable
+from pathloom.plans.skew import salted_join
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 5
@@ -137,7 +138,7 @@ def _distance():
 
 def _start(rows: DataFrame) -> DataFrame:
     mid = rows.groupBy("key").agg(*[F.percentile_approx(f, 0.5).alias(f"c{i}") for i, f in enumerate(FEATURES)])
-    off = rows.join(mid, "key").groupBy("key").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(FEATURES))], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"c{i}")), 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)])
+    off = salted_join(rows, mid, ["key"]).groupBy("key").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(FEATURES))], *[F.percentile_approx(F.abs(F.col(f) - F.col(f"c{i}")), 0.5).alias(f"m{i}") for i, f in enumerate(FEATURES)])
     sd = [F.greatest(1.4826 * F.col(f"m{i}"), F.lit(FLOORS[i])) for i in range(len(FEATURES))]
     return off.select("key", *[f"c{i}" for i in range(len(FEATURES))], *[((1 / (sd[i] * sd[i])) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _PAIRS])
 
@@ -161,9 +162,9 @@ def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
     """One concentration step: the estimate from the ``share`` of each group's rows that are nearest to the last one."""
-    near = rows.join(model, "key").select("key", *FEATURES, _distance().alias("d2"))
+    near = salted_join(rows, model, ["key"]).select("key", *FEATURES, _distance().alias("d2"))
     cut = near.groupBy("key").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
-    inside = near.join(cut, "key").where("d2 <= cut")
+    inside = salted_join(near, cut, ["key"]).where("d2 <= cut")
     sums = inside.groupBy("key").agg(*[F.avg(f).alias(f"c{i}") for i, f in enumerate(FEATURES)], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i, j in _PAIRS])
     ddl = ", ".join(["key string", *[f"c{i} double" for i in range(len(FEATURES))], *[f"p{i}_{j} double" for i, j in _PAIRS]])
     return durable(sums.mapInPandas(_inverted, ddl))
@@ -190,7 +191,7 @@ def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = used.select(F.col("used").alias("key")).distinct()
     rows = stats.select(F.explode(F.array(F.concat(F.lit("s:"), "own"), F.concat(F.lit("l:"), "lk"), F.lit("all"))).alias("key"), *FEATURES).join(wanted, "key", "left_semi")
     model = estimates(rows)
-    judged = stats.join(used, "own").join(model, F.col("used") == F.col("key")).withColumn("distance2", _distance())
+    judged = salted_join(salted_join(stats, used.select("own", F.col("used").alias("key")), ["own"]), model, ["key"]).withColumn("distance2", _distance())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select(F.col("_id").alias(id_col), *_COUNTS[:-1], failed.alias("base_failed"), F.round("distance2", 6).alias("distance2"), (~failed & (F.col("distance2") <= cutoff)).alias("kept"))
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pathloom.llm._text import batch_of, binary
 from pathloom.operators.components import connected_components
 from pathloom.plans.durable import durable
+from pathloom.plans.skew import salted_join
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -146,7 +147,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = connected_components(edges)
     own = distinct.join(label, distinct["fp"] == label["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     least = own.groupBy("c").agg(F.min("least").alias("component_id"))
-    grouped = own.join(least, "c").select("fp", "component_id")
+    grouped = salted_join(own, least, ["c"]).select("fp", "component_id")
     return marked.join(grouped, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
