@@ -238,7 +238,7 @@ def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     base, total = {}, 0
     for p in sorted(sums):
         base[p], total = total, total + sums[p]
-    ordered = ranged.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "key", "_id", "n", "ids").select("_id", "part", "ids")
+    ordered = ranged.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "key", "_id", "n", "ids").select("_id", "part", "ids")
     got = ordered.mapInArrow(lambda it: _pieces(it, base, context, with_ids), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return got.withColumnRenamed("_id", id_col) if with_ids else got.drop("ids").withColumnRenamed("_id", id_col)
 
