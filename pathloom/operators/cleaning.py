@@ -95,6 +95,6 @@ def protein_like(names: DataFrame, known: DataFrame) -> DataFrame:
 
 def scaffolds(complexes: DataFrame) -> DataFrame:
     """Per pathway the normal names of scaffolds: the first part of each complex, and the standard ones."""
-    first = complexes.where(F.size(N.complex_parts(F.col("name"))) >= 2).select("pathway_id", N.norm(N.complex_parts(F.col("name"))[0]).alias("norm"))
+    first = complexes.where(F.size(N.complex_parts(F.col("name"))) >= 2).select("pathway_id", N.norm(F.get(N.complex_parts(F.col("name")), F.lit(0))).alias("norm"))
     fixed = complexes.select("pathway_id").distinct().select("pathway_id", F.explode(F.array(*map(F.lit, vocab.SCAFFOLDS))).alias("norm"))
     return first.union(fixed).distinct()

@@ -15,10 +15,10 @@ def decide_composites(used: DataFrame, proteins: DataFrame) -> DataFrame:
     composite), or ``error`` (no protein on the left)."""
     c = used.where(N.has_plus(F.col("entity"))).withColumn("parts", N.composite_parts(F.col("entity"), False)).where(F.size("parts") >= 2)
     known = proteins.select("pathway_id", N.norm(F.col("name")).alias("_n")).distinct().withColumn("_k", F.lit(True))
-    got = c.withColumn("left", F.col("parts")[0]).withColumn("right", F.array_join(F.slice("parts", 2, 99), ":")).withColumn("_n", N.norm(F.col("left"))).join(known, ["pathway_id", "_n"], "left")
-    told = got.withColumn("_b", N.bound_evidence(F.col("left"), F.col("parts")[1], F.coalesce("evidence", F.lit(""))))
+    got = c.withColumn("left", F.get("parts", F.lit(0))).withColumn("right", F.array_join(F.slice("parts", 2, 99), ":")).withColumn("_n", N.norm(F.col("left"))).join(known, ["pathway_id", "_n"], "left")
+    told = got.withColumn("_b", N.bound_evidence(F.col("left"), F.get("parts", F.lit(1)), F.coalesce("evidence", F.lit(""))))
     protein = F.coalesce("_k", F.lit(False)) | N.looks_like_protein(F.col("left"))
-    supported = F.col("_b.exact") | (F.col("_b.phrase") & ~N.is_byproduct(F.col("parts")[1]))
+    supported = F.col("_b.exact") | (F.col("_b.phrase") & ~N.is_byproduct(F.get("parts", F.lit(1))))
     fate = F.when(~protein, "error").when((F.col("role") == "product") & ~supported, "split").otherwise("complex")
     return told.withColumn("fate", fate).withColumn("complex", F.concat_ws(":", "left", "right")).drop("_n", "_k", "_b")
 
@@ -63,6 +63,6 @@ def remove_complexes(used: DataFrame, unwanted: DataFrame) -> DataFrame:
 
 def byproduct_complexes(complexes_: DataFrame, evidence: DataFrame) -> DataFrame:
     """Complexes whose bound part is a by-product and that no text (``pathway_id, evidence``) spells out as a composite."""
-    c = complexes_.withColumn("parts", N.complex_parts(F.col("name"))).where((F.size("parts") >= 2) & N.is_byproduct(F.col("parts")[1]))
-    told = c.join(evidence, "pathway_id").where(N.bound_evidence(F.col("parts")[0], F.col("parts")[1], F.col("evidence"))["exact"]).select("pathway_id", "name").distinct()
+    c = complexes_.withColumn("parts", N.complex_parts(F.col("name"))).where((F.size("parts") >= 2) & N.is_byproduct(F.get("parts", F.lit(1))))
+    told = c.join(evidence, "pathway_id").where(N.bound_evidence(F.get("parts", F.lit(0)), F.get("parts", F.lit(1)), F.col("evidence"))["exact"]).select("pathway_id", "name").distinct()
     return c.select("pathway_id", "name").join(told, ["pathway_id", "name"], "left_anti")
