@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +42,63 @@ def adjacency(participants: DataFrame, actors: DataFrame | None = None, states:
     return one.union(one.select("pathway_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(adj: DataFrame) -> DataFrame:
-    """``pathway_id, node, component``: the smallest node of each component."""
+#: A pathway of more edges than this is united by rounds over the cluster, others within tasks.
+MAX_EDGES_IN_TASK = 2_000_000
+
+
+def components(adj: DataFrame, most: int = MAX_EDGES_IN_TASK) -> DataFrame:
+    """``pathway_id, node, component``: the smallest node of each component.
+
+    Pathways are dealt by their id and united in tasks, many at once, each task holding one batch and one pathway;
+    those of more than ``most`` edges go by :func:`connected_components`."""
+    edges = adj.select("pathway_id", "a", "b").where("a is not null and b is not null")
+    large = durable(edges.groupBy("pathway_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("pathway_id"))
+    kind = adj.schema["pathway_id"].dataType
+    ddl = f"pathway_id {kind.simpleString()}, node string, component string"
+    if large.isEmpty():
+        return _dealt(edges).mapInPandas(_united, ddl)
+    small = _dealt(edges.join(large, "pathway_id", "left_anti")).mapInPandas(_united, ddl)
     key = lambda c: F.concat_ws(SEPARATOR, F.col("pathway_id").cast("string"), c)
-    got = connected_components(adj.select(key("a").alias("a"), key("b").alias("b")))
+    got = connected_components(edges.join(large, "pathway_id", "left_semi").select(key("a").alias("a"), key("b").alias("b")))
     part = lambda c: F.substring_index(c, SEPARATOR, -1)
-    kind = adj.schema["pathway_id"].dataType
-    return got.select(F.substring_index("node", SEPARATOR, 1).cast(kind).alias("pathway_id"), part("node").alias("node"), part("component").alias("component"))
+    return small.unionByName(got.select(F.substring_index("node", SEPARATOR, 1).cast(kind).alias("pathway_id"), part("node").alias("node"), part("component").alias("component")))
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    n = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return edges.repartition(n, "pathway_id").sortWithinPartitions("pathway_id")
+
+
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a partition's pathways, sorted by id; the last pathway of a batch waits for the next one."""
+    kept: pd.DataFrame | None = None
+    for f in frames:
+        f = f if kept is None else pd.concat([kept, f], ignore_index=True)
+        last = f["pathway_id"] == f["pathway_id"].iloc[-1] if len(f) else []
+        kept = f[last] if len(f) else None
+        if len(f) and not last.all():
+            yield _labels(f[~last])
+    if kept is not None and len(kept):
+        yield _labels(kept)
+
+
+def _labels(f: pd.DataFrame) -> pd.DataFrame:
+    ends = pd.DataFrame({"pathway_id": pd.concat([f["pathway_id"]] * 2, ignore_index=True), "node": pd.concat([f["a"], f["b"]], ignore_index=True)})
+    code = ends.groupby(["pathway_id", "node"], sort=True).ngroup().to_numpy()
+    a, b = code[: len(f)], code[len(f) :]
+    label = np.arange(code.max() + 1)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, x, y)
+        np.minimum.at(label, y, x)
+        while (label[label] != label).any():
+            label = label[label]
+    first = np.zeros(len(label), dtype=np.int64)
+    first[code] = np.arange(len(code))
+    names = ends["node"].to_numpy()[first]
+    return pd.DataFrame({"pathway_id": ends["pathway_id"].to_numpy()[first], "node": names, "component": names[label]})
 
 
 def degrees(adj: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

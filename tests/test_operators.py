@@ -19,6 +19,15 @@ def test_components(spark):
     assert {r.component for r in connected_components(spark.createDataFrame(star, "a string, b string")).collect()} == {"hub"}
 
 
+def test_components_of_pathways_by_either_way(spark):
+    rows = [(p, f"n{i}", f"n{i + 1}") for p in range(30) for i in range(p) if i % 7 != 3] + [(99, "x", "x")]
+    adj = spark.createDataFrame(rows, "pathway_id long, a string, b string")
+    a = {(r.pathway_id, r.node): r.component for r in graph.components(adj).collect()}
+    b = {(r.pathway_id, r.node): r.component for r in graph.components(adj, most=9).collect()}
+    assert a == b and a[99, "x"] == "x" and a[29, "n12"] == min(f"n{i}" for i in range(11, 18) if i > 10)
+    assert graph.components(adj.limit(0)).count() == 0
+
+
 SCAFFOLD = {
     "entities": [("compound", 0, "iodide"), ("compound", 1, "tyrosine"), ("compound", 2, "thyroglobulin + iodotyrosine"), ("protein", 0, "Thyroglobulin"), ("protein", 1, "Thyroid Peroxidase"), ("compound", 3, "nad")],
     "processes": [(1, "iodination", None, "thyroglobulin + iodotyrosine is made"), (2, "iodination again", None, "thyroglobulin + iodotyrosine is made"), (3, "stay", "s", ""), (4, "odd", "s", "")],
