@@ -31,7 +31,7 @@ def joined(a):
     return F.array_join(a, "|")
 
 
-name = C("name")
+name = "name"
 scalar("S01_canonical", lambda: N.canonical(name), can("name"))
 scalar("S02_norm_with_colon", lambda: N.norm_with_colon(F.concat(name, F.lit(":"), C("p_type"))), f"regexp_replace(lower({can('concat(name, chr(58), p_type)')}), '[^a-z0-9: ]+', '', 'g')")
 scalar("S03_norm", lambda: N.norm(name), nrm("name"))

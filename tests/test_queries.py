@@ -18,12 +18,19 @@ def con():
     return c
 
 
+def cell(x) -> str:
+    if x is None or x != x:
+        return ""
+    if isinstance(x, float):
+        x = round(x, 6)
+        return str(int(x)) if x == int(x) else repr(x)
+    return str(x)
+
+
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = df[c].map(lambda x: "" if x is None or x != x else repr(round(float(x), 6) + 0.0) if isinstance(x, float) else str(x))
-        if df[c].map(lambda x: x.endswith(".0")).any() or df[c].str.fullmatch(r"-?\d+").any():
-            df[c] = df[c].map(lambda x: x[:-2] if x.endswith(".0") else x)
+        df[c] = df[c].map(cell).astype(object)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
