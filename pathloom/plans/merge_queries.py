@@ -50,7 +50,7 @@ query("G03_collapse_outputs", """WITH x AS (SELECT pathway_id, process, entity,
     a AS (SELECT pathway_id, process, entity FROM x UNION ALL SELECT pathway_id, process, cx FROM x WHERE cx IS NOT NULL) SELECT pathway_id, process, entity FROM a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.pathway_id = a.pathway_id AND x.process = a.process AND x.cx IS NOT NULL AND x.entity = a.entity)""")(
     lambda t: (lambda p: M.collapse_parts(p.select("pathway_id", "process", "entity").union(p.where("pos % 4 = 0").select("pathway_id", "process", F.concat("entity", F.lit(":z"))))))(t.participants.where("role = 'product'"))
 )
-query("D11_merge_id_maps", "SELECT p_size AS pathway_id, concat('{\"brand\":\"', arg_min(p_brand, p_partkey), '\",\"type\":\"', arg_min(p_type, p_partkey) FILTER (p_partkey % 2 = 0), '\"}') AS ids FROM part GROUP BY 1")(
+query("D11_merge_id_maps", "SELECT pathway_id, concat('{\"brand\":\"', b, '\"', CASE WHEN t IS NULL THEN '' ELSE concat(',\"type\":\"', t, '\"') END, '}') AS ids FROM (SELECT p_size AS pathway_id, arg_min(p_brand, p_partkey) AS b, arg_min(p_type, p_partkey) FILTER (p_partkey % 2 = 0) AS t FROM part GROUP BY 1)")(
     lambda t: M.merge_ids(t.part.select(C("p_size").alias("pathway_id"), C("p_partkey").alias("pos"), F.create_map(F.lit("brand"), "p_brand", F.lit("type"), F.when(C("p_partkey") % 2 == 0, C("p_type")).otherwise(" ")).alias("mapped_ids")), ["pathway_id"]).select("pathway_id", F.to_json("mapped_ids").alias("ids"))
 )
 query("D12_best_candidates", """SELECT user_id, k, confidence, CASE WHEN db THEN 'db' ELSE 'other' END AS origin, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, CASE WHEN db THEN 'db' ELSE 'other' END, k) AS rn

@@ -48,7 +48,7 @@ def test_chunks_hold_all_sentences(spark):
         a, b, n = g.first_sentence.tolist(), g.end_sentence.tolist(), g.word_count.tolist()
         assert a[0] == 0
         for i in range(1, len(g)):
-            assert a[i - 1] < a[i] <= b[i - 1] < b[i]
+            assert a[i - 1] < a[i] <= b[i - 1] <= b[i]
         assert all(w <= 120 or e - s == 1 for w, s, e in zip(n, a, b))
     best = QUERIES["E07_ordered_chunks"](spark, SF).toPandas()
     for _, g in best.sort_values("chunk_id").groupby("doc_id"):
