@@ -31,6 +31,8 @@ DIMS = 3
 CURVE_BITS = 12
 #: Words whose ids a worker remembers; beyond that it starts anew.
 MEMO_WORDS = 600_000
+#: Tokens that count once when the order is cut into ranges.
+WEIGHT = 1024
 #: Most ranges of the order, whatever the input: their sums go through the driver.
 MAX_RANGES = 20_000
 
@@ -181,8 +183,8 @@ def curve_keys(docs: list[np.ndarray], dims: int = DIMS, bits: int = CURVE_BITS)
         first = (np.cumsum(sizes) - sizes)[full]
         for i in range(dims):
             sums[full, i] = np.add.reduceat(_directions(dims)[:, i][flat], first, dtype=np.float64)
-    z = sums / np.sqrt(np.maximum(sizes, 1))[:, None]
-    place = 1 / (1 + np.exp(-np.clip(z / 3, -30, 30)))  # to (0, 1)
+    mean = sums / np.maximum(sizes, 1)[:, None]  # so that long documents don't gather in the corners
+    place = 1 / (1 + np.exp(-np.clip(8 * mean, -30, 30)))  # to (0, 1)
     return hilbert_keys(np.minimum((place * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
@@ -230,7 +232,9 @@ def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("_tie"), F.col(text_col).alias("_text"))
     held = durable(docs.mapInArrow(lambda it: _tokenise(it, tokenizer_path, end_id), f"_id {kind}, key long, n int, ids binary"), "zstd")
     n = min(MAX_RANGES, 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = held.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    # quantiles of tokens: a long document counts as many short ones
+    weighed = held.select(F.explode(F.array_repeat("key", F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("key"))
+    found = weighed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     bounds = sorted(set(found))
     part = F.lit(0) if not bounds else _range_of(F.col("key"), bounds)
     ranged = held.withColumn("part", part)
