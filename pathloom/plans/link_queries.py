@@ -63,10 +63,10 @@ query("C06_species", "SELECT s_name AS organism, s_suppkey AS id, CASE WHEN s_su
 
 
 def hits(t):
-    return t.events.where("user_id % 3 = 0").select(C("user_id").cast("string").alias("name"), (C("event_id") % 4).cast("int").alias("v"), C("event_type").alias("db"), (C("event_id") % 6).cast("string").alias("ext"), F.least(F.lit(1.0), F.floor(C("value")) / 50).alias("score"))
+    return t.events.select(C("user_id").cast("string").alias("name"), (C("event_id") % 4).cast("int").alias("v"), C("event_type").alias("db"), (C("event_id") % 6).cast("string").alias("ext"), F.least(F.lit(1.0), F.floor(C("value")) / 50).alias("score"))
 
 
-_HITS = "h AS (SELECT CAST(user_id AS VARCHAR) AS name, event_id % 4 AS v, event_type AS db, CAST(event_id % 6 AS VARCHAR) AS ext, round(least(1.0, floor(value) / 50) * greatest(0.8, 1 - 0.08 * (event_id % 4)), 6) AS score FROM events WHERE user_id % 3 = 0), sf AS (SELECT s.name, s.v, db, ext, max(score) AS score FROM (SELECT DISTINCT name, v FROM h) s JOIN h w ON s.name = w.name AND w.v <= s.v GROUP BY 1, 2, 3, 4), tw AS (SELECT name, v, max(score) AS best, coalesce(max(score) FILTER (rn = 2), 0) AS second FROM (SELECT *, row_number() OVER (PARTITION BY name, v ORDER BY score DESC, db, ext) AS rn FROM sf) WHERE rn <= 2 GROUP BY 1, 2), st AS (SELECT name, min(v) AS stop FROM tw WHERE best >= 0.92 AND round(best - second, 6) >= 0.12 GROUP BY 1), g AS (SELECT name, db, ext, max(score) AS score FROM h LEFT JOIN st USING (name) WHERE stop IS NULL OR v <= stop GROUP BY 1, 2, 3)"
+_HITS = "h AS (SELECT CAST(user_id AS VARCHAR) AS name, event_id % 4 AS v, event_type AS db, CAST(event_id % 6 AS VARCHAR) AS ext, round(least(1.0, floor(value) / 50) * greatest(0.8, 1 - 0.08 * (event_id % 4)), 6) AS score FROM events), sf AS (SELECT s.name, s.v, db, ext, max(score) AS score FROM (SELECT DISTINCT name, v FROM h) s JOIN h w ON s.name = w.name AND w.v <= s.v GROUP BY 1, 2, 3, 4), tw AS (SELECT name, v, max(score) AS best, coalesce(max(score) FILTER (rn = 2), 0) AS second FROM (SELECT *, row_number() OVER (PARTITION BY name, v ORDER BY score DESC, db, ext) AS rn FROM sf) WHERE rn <= 2 GROUP BY 1, 2), st AS (SELECT name, min(v) AS stop FROM tw WHERE best >= 0.92 AND round(best - second, 6) >= 0.12 GROUP BY 1), g AS (SELECT name, db, ext, max(score) AS score FROM h LEFT JOIN st USING (name) WHERE stop IS NULL OR v <= stop GROUP BY 1, 2, 3)"
 query("C07_catalogue_candidates", f"WITH {_HITS} SELECT * FROM g")(lambda t: K.from_catalogues(hits(t)))
 query("C07_accept_catalogues", f"""WITH {_HITS}, r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(score) OVER w, 0) AS second FROM g WINDOW w AS (PARTITION BY name ORDER BY score DESC, concat(db, ':', ext))), o AS (SELECT name, db, max(ext) FILTER (score = top) AS x FROM (SELECT *, max(score) OVER (PARTITION BY name, db) AS top FROM g WHERE score >= 0.9) GROUP BY 1, 2)
     SELECT r.name, r.db, r.ext, r.score, CASE WHEN score >= 0.78 AND round(score - second, 6) >= 0.08 THEN 'mapped' ELSE 'ambiguous' END AS status, CASE WHEN score >= 0.78 AND round(score - second, 6) >= 0.08 THEN coalesce((SELECT string_agg(concat(o.db, ':', x), '|' ORDER BY o.db) FROM o WHERE o.name = r.name AND o.db <> r.db), '') ELSE '' END AS others FROM r WHERE rn = 1""")(lambda t: K.accept_catalogues(K.from_catalogues(hits(t))))

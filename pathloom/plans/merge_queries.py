@@ -97,6 +97,6 @@ def _stop(t):
     return M.stop_reasons(r, 4)
 
 
-query("G05_payload_groups", "SELECT min(pathway_id) AS pathway_id, count(*) AS same FROM (SELECT p_size AS pathway_id, list_sort(list(DISTINCT p_type)) AS l FROM part WHERE p_partkey % 40 = 0 GROUP BY 1) GROUP BY l")(
-    lambda t: M.payload_hashes(t.part.where("p_partkey % 40 = 0").select("p_size", "p_type").distinct(), ["p_size"], "p_type").groupBy("hash").agg(F.min("p_size").alias("pathway_id"), F.count("*").alias("same")).drop("hash")
+query("G05_payload_groups", "SELECT min(pathway_id) AS pathway_id, count(*) AS same FROM (SELECT p_size AS pathway_id, list_sort(list(DISTINCT p_name)) AS l FROM part GROUP BY 1) GROUP BY l")(
+    lambda t: M.payload_hashes(t.part.select("p_size", "p_name").distinct(), ["p_size"], "p_name").groupBy("hash").agg(F.min("p_size").alias("pathway_id"), F.count("*").alias("same")).drop("hash")
 )

@@ -23,10 +23,10 @@ query("E07_section_relevance", f"SELECT doc_id, label, CAST({_REL} AS DOUBLE) AS
 
 def book(t):
     """Lines of documents as pages of customers' books, with headings on some."""
-    return t.documents.select((C("doc_id") % 40).alias("doc_id"), C("doc_id").alias("page"), F.concat(F.when(C("doc_id") % 7 == 3, "Results\n").when(C("doc_id") % 7 == 6, "References\n").otherwise(""), F.substring("text", 1, 80)).alias("text"))
+    return t.documents.select((C("doc_id") % 40).alias("doc_id"), C("doc_id").alias("page"), F.concat(F.when(C("doc_id") % 7 == 3, "Results\n").when(C("doc_id") % 7 == 6, "References\n").otherwise(""), C("text")).alias("text"))
 
 
-_BOOK = "(SELECT doc_id % 40 AS doc_id, doc_id AS page, coalesce(last_value(CASE WHEN doc_id % 7 = 3 THEN 'results' WHEN doc_id % 7 = 6 THEN 'references' END IGNORE NULLS) OVER (PARTITION BY doc_id % 40 ORDER BY doc_id), 'preamble') AS section, concat(CASE WHEN doc_id % 7 = 3 THEN 'Results\n' WHEN doc_id % 7 = 6 THEN 'References\n' ELSE '' END, substr(text, 1, 80)) AS text FROM documents)"
+_BOOK = "(SELECT doc_id % 40 AS doc_id, doc_id AS page, coalesce(last_value(CASE WHEN doc_id % 7 = 3 THEN 'results' WHEN doc_id % 7 = 6 THEN 'references' END IGNORE NULLS) OVER (PARTITION BY doc_id % 40 ORDER BY doc_id), 'preamble') AS section, concat(CASE WHEN doc_id % 7 = 3 THEN 'Results\n' WHEN doc_id % 7 = 6 THEN 'References\n' ELSE '' END, text) AS text FROM documents)"
 query("A08_page_sections", f"SELECT doc_id, page, section FROM {_BOOK} b")(lambda t: T.page_sections(book(t)).select("doc_id", "page", "section"))
 query("A08_joined_pages", f"SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page)) AS text, count(*) AS pages FROM {_BOOK} b WHERE section <> 'references' GROUP BY 1")(lambda t: T.joined_pages(T.page_sections(book(t))).withColumn("text", F.md5("text")))
 query("A08_mostly_empty", "SELECT doc_id % 40 AS doc_id, avg(CASE WHEN n_chars < 300 THEN 1.0 ELSE 0.0 END) > 0.3 AS mostly_empty FROM documents GROUP BY 1")(lambda t: T.mostly_empty(t.documents.withColumn("doc_id", C("doc_id") % 40), least=300, share=0.3))
@@ -44,12 +44,12 @@ query("S25_recovered_outputs", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0
 
 def entries(t):
     d = t.documents.withColumn("l", F.split("text", "\n"))
-    return d.where("doc_id % 5 = 0").select(C("doc_id").alias("model"), F.slice("l", 1, 3).alias("reaction"), F.array(F.get("l", F.lit(3))).alias("species"), F.array("source").alias("compartment"))
+    return d.select(C("doc_id").alias("model"), F.slice("l", 1, 3).alias("reaction"), F.array(F.get("l", F.lit(3))).alias("species"), F.array("source").alias("compartment"))
 
 
 _STOP = "(" + ", ".join(f"'{x}'" for x in vocab.STOP_WORDS) + ")"
 _TOKS = "list_filter(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+'), lambda x: x NOT IN " + _STOP + ")"
-_INDEX = f"ix AS (SELECT DISTINCT model, unnest([f, 'all']) AS field, token FROM (SELECT model, f, unnest({_TOKS.format('s')}) AS token FROM (SELECT doc_id AS model, unnest(['reaction', 'species', 'compartment']) AS f, unnest([array_to_string(list_slice(string_split(text, chr(10)), 1, 3), ' '), list_extract(string_split(text, chr(10)), 4), source]) AS s FROM documents WHERE doc_id % 5 = 0) WHERE s IS NOT NULL))"
+_INDEX = f"ix AS (SELECT DISTINCT model, unnest([f, 'all']) AS field, token FROM (SELECT model, f, unnest({_TOKS.format('s')}) AS token FROM (SELECT doc_id AS model, unnest(['reaction', 'species', 'compartment']) AS f, unnest([array_to_string(list_slice(string_split(text, chr(10)), 1, 3), ' '), list_extract(string_split(text, chr(10)), 4), source]) AS s FROM documents) WHERE s IS NOT NULL))"
 query("S26_motif_tokens", f"WITH {_INDEX} SELECT * FROM ix")(lambda t: T.motif_tokens(entries(t)))
 _TOP = f"WITH {_INDEX}, q AS (SELECT item_id AS query, list_distinct({_TOKS.format('text')}) AS t FROM benchmark), w AS (SELECT query, len(t) AS n, unnest(t) AS token FROM q), s AS (SELECT query, model, round(sum(CASE field WHEN 'reaction' THEN 2.6 WHEN 'species' THEN 1.8 WHEN 'compartment' THEN 1.0 ELSE 0.6 END / n), 6) AS score FROM w JOIN ix USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, model) AS rn FROM s)"
 query("F01_top_examples", _TOP + " SELECT query, model, rn FROM r WHERE rn <= 3")(lambda t: T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_tokens(entries(t))).select("query", "model", "rn"))
