@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters. The index posts, for each
 licence template, its ``RARE`` words of highest inverse document frequency in the corpus with their positions.
-A file's ``LOOKUPS`` rarest licence words are looked up; postings that agree on the relative position of two
+Every posted word that a file holds is looked up; postings that agree on the relative position of two
 words (or all, if a template posts fewer) make a candidate. A candidate is verified in place: the template's
 mandatory phrases must stand at their positions, and ``MIN_SCORE`` of all its words must agree.
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pathloom.plans.durable import durable
 
 RARE = 3
-LOOKUPS = 8
 MIN_SCORE = 0.8
 
 # Phrases and their labels.
@@ -80,13 +79,11 @@ def _template_rows(templates) -> list[tuple]:
     return out
 
 
-def candidates(files: DataFrame, postings: list[tuple[str, int, int, int, int]], lookups: int = LOOKUPS) -> DataFrame:
-    """``did, th, template, shift``: where postings of a file's rarest licence words agree. ``files`` has its words."""
+def candidates(files: DataFrame, postings: list[tuple[str, int, int, int, int]]) -> DataFrame:
+    """``did, th, template, shift``: where postings of a file's licence words agree. ``files`` has its words."""
     spark = files.sparkSession
-    ranked = sorted({(f, w) for w, f, *_ in postings})
-    present = F.array_intersect(F.array(*[F.lit(w) for _, w in ranked]), F.col("words"))  # in order of frequency
-    looked = files.select("did", "th", "words", F.slice(present, 1, lookups).alias("rarest"))
-    places = looked.select("did", "th", "rarest", F.posexplode("words").alias("at", "w")).where(F.array_contains("rarest", F.col("w")))
+    looked = F.array(*[F.lit(w) for w in sorted({p[0] for p in postings})])  # bounded by the templates, so none is left out
+    places = files.select("did", "th", F.posexplode("words").alias("at", "w")).where(F.array_contains(looked, F.col("w")))
     posted = spark.createDataFrame(postings, "w string, f long, template int, p int, need int")
     met = places.join(F.broadcast(posted), "w")  # the postings are the templates' own, a fixed few
     agree = met.groupBy("did", "th", "template", (F.col("at") - F.col("p")).alias("shift"), "need").agg(F.count_distinct("w").alias("n"))

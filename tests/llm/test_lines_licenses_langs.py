@@ -54,6 +54,16 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_files_of_many_licenses(spark):
+    bundle = "\n\n".join(text for _, text, _ in licenses.TEMPLATES)
+    four = "\n".join(text for label, text, _ in licenses.TEMPLATES if label in ("mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-4.0"))
+    df = spark.createDataFrame([(1, bundle), (2, four)] + [(10 + i, t) for i, (_, t, _) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan(df).collect()}
+    base = {"mit", "apache", "gpl"}
+    assert got[1] == ({label for label, _, _ in licenses.TEMPLATES} | base, 1)
+    assert got[2] == ({"mit-notice", "apache-2.0-notice", "gpl-3.0-notice", "cc-by-4.0"} | base, 1)
+
+
 def test_language(spark):
     vocab = {"xx": "kalo mira tun sedi pok".split(), "yy": "strenge wurchtig gelb schnopf undt".split()}
     table = []
