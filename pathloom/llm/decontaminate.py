@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pathloom.llm._text import ALNUM_WORDS, U, Words, batch_of, binary, chunks, columns, covered, word_span_hash
 
@@ -153,26 +154,47 @@ def clean(documents: DataFrame, benchmark: DataFrame, drop: Column | None = None
     from the others the hit spans are cut. All columns of ``documents`` stay; a null text stays null."""
     spark = documents.sparkSession
     windows = benchmark_windows(benchmark, item_col, item_text_col, n)
+    at, width = documents.columns.index(text_col), len(documents.columns)
+    mask = "_hit"
+    while mask in documents.columns:
+        mask += "_"
+    # every set scans the text as given; the words hit so far go along as a column, the last set judges and cuts
+    *others, last = [spark.sparkContext.broadcast(_Index(rows)) for rows in _passes(spark, windows, limit)]
     out = documents
-    for rows in _passes(spark, windows, limit):
-        held = spark.sparkContext.broadcast(_Index(rows))
-        at = out.columns.index(text_col)
-
-        def task(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch.column(at)
-                texts = binary(column)
-                keep, new = [], []
-                for row, words, hit, _, w, a in _scan(texts, held.value):
-                    if hit.any() and 20 * int(hit.sum()) >= words:
-                        continue
-                    keep.append(row)
-                    new.append(cut(texts[row], hit, w, a) if column[row].is_valid else None)
-                got = batch.take(pa.array(keep, type=pa.int64()))
-                yield got.set_column(at, batch.schema.field(at), pa.array(new, type=pa.binary()).cast(batch.schema.field(at).type))
-
-        out = out.mapInArrow(task, out.schema)
-    return out
+    for held in others:
+        schema = StructType([*documents.schema.fields, StructField(mask, BinaryType())])
+        out = out.mapInArrow(lambda it, held=held: _marked(it, at, width, mask, held.value), schema)
+    return out.mapInArrow(lambda it: _cleaned(it, at, width, last.value), documents.schema)
+
+
+def _hits(batch: pa.RecordBatch, at: int, width: int, index: _Index) -> Iterator[tuple[int, int, np.ndarray, Words, int]]:
+    """For each text: its row, number of words, the words hit by ``index`` or by the sets before, and where its words are."""
+    before = batch.column(width) if batch.num_columns > width else None
+    for row, words, hit, _, w, a in _scan(binary(batch.column(at)), index):
+        if before is not None:
+            hit = hit | np.unpackbits(np.frombuffer(before[row].as_py(), dtype=np.uint8), count=words).astype(bool)
+        yield row, words, hit, w, a
+
+
+def _marked(batches: Iterator[pa.RecordBatch], at: int, width: int, mask: str, index: _Index) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [np.packbits(hit).tobytes() for _, _, hit, _, _ in _hits(batch, at, width, index)]
+        schema = pa.schema([*[batch.schema.field(i) for i in range(width)], (mask, pa.binary())])
+        yield batch_of(schema, [*batch.columns[:width], pa.array(hits, type=pa.binary())])
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch], at: int, width: int, index: _Index) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(at)
+        texts = binary(column)
+        keep, new = [], []
+        for row, words, hit, w, a in _hits(batch, at, width, index):
+            if hit.any() and 20 * int(hit.sum()) >= words:
+                continue
+            keep.append(row)
+            new.append(cut(texts[row], hit, w, a) if column[row].is_valid else None)
+        got = batch.select(range(width)).take(pa.array(keep, type=pa.int64()))
+        yield got.set_column(at, batch.schema.field(at), pa.array(new, type=pa.binary()).cast(batch.schema.field(at).type))
 
 
 def cut(text: bytes, hit: np.ndarray, w: Words, a: int) -> bytes:

@@ -124,3 +124,21 @@ def test_cut_spans(spark):
     d = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in decontaminate.clean(d, b).collect()}
     assert got == {1: "é (one), ! " + "rest " * 80, 2: None}
+
+
+def test_cut_in_several_sets(spark):
+    items, b = benchmark(spark)
+    whole = {r.doc_id: r.text for r in decontaminate.clean(documents(spark), b).collect()}
+    assert {r.doc_id: r.text for r in decontaminate.clean(documents(spark), b, limit=7).collect()} == whole
+    # passages whose windows fall into different sets: 30 words of 1000 are cut whole, 4 times 13 of 1000 are a twentieth
+    passages = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate([30, 13, 13, 13, 13])]
+    rest = [f"w{i}" for i in range(970)]
+    one = " ".join([*rest[:500], passages[0], *rest[500:]])
+    spread = " ".join(x for k, p in enumerate(passages[1:]) for x in (p, *rest[k * 237 : k * 237 + 237]))
+    few = spark.createDataFrame([(k, p) for k, p in enumerate(passages)], "item_id long, text string")
+    d = spark.createDataFrame([(1, one, b"m"), (2, spread, None), (3, None, None)], "doc_id long, text string, _hit binary")
+    for limit in (10**6, 3, 1):
+        got = decontaminate.clean(d, few, limit=limit)
+        assert got.columns == d.columns
+        kept = {r.doc_id: (r.text, r._hit) for r in got.collect()}
+        assert kept == {1: (" ".join([*rest[:500], "", *rest[500:]]), b"m"), 3: (None, None)}
