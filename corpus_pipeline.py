@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without runs of lines that stand earlier in the corpus; documents with no line left go."""
-    cut = line_dedup.dedup(docs)
+    """Without runs of lines, or fewer lines of many words, that stand earlier in the corpus; documents with no line left go."""
+    cut = line_dedup.dedup(docs, words=line_dedup.LONG_WORDS)
     return _documents(cut.where((F.col("n_removed_lines") == 0) | (F.col("n_removed_lines") < F.col("n_lines"))))
 
 

@@ -8,8 +8,11 @@ position: a window around the fingerprint, compared line hash by line hash, join
 (smaller id, or same document and earlier line). Windows that occur earlier extend both ways where they
 overlap or touch, to maximal runs; the runs' lines are deleted, all windows judged on the input.
 
+Where ``words`` is given, one or more lines under ``RUN`` with that many words together are a window too, so
+that long lines and copied short documents are found; else only runs of ``RUN`` lines are.
+
 Defined results: a null text stays null; equal documents lose all lines but at the smallest id; documents of
-fewer than ``RUN`` such lines lose none; lines without content stay; repeated rows of one id and text are
+fewer than ``RUN`` such lines lose none unless ``words`` says so; lines without content stay; repeated rows of one id and text are
 one document and get the same result; a null id comes before others.
 """
 
@@ -19,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RUN = 3
+#: Words that make a window of fewer lines, where a caller asks for it.
+LONG_WORDS = 50
 
 
 def _numbered(text: Column) -> Column:
@@ -26,18 +31,37 @@ def _numbered(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"))), lambda s: s["h"].isNotNull())
 
 
-def _windows(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
+def _word_counts(text: Column) -> Column:
+    """The number of words of each line that counts."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))), lambda n: n > 0)
+
+
+def _starts(lines: int, run: int, words: int | None) -> Column:
+    """``at, size`` of the windows of ``lines`` lines: all of them for ``run`` lines, those of ``words`` words for fewer."""
+    at = F.when(F.size("h") >= lines, F.sequence(F.lit(1), F.size("h") - lines + 1)).otherwise(F.array().cast("array<int>"))
+    if lines < run:
+        at = F.filter(at, lambda a: F.aggregate(F.slice("n", a, F.lit(lines)), F.lit(0), lambda x, y: x + y) >= words)
+    return F.transform(at, lambda a: F.struct(a.alias("at"), F.lit(lines).alias("size")))
+
+
+def _windows(documents: DataFrame, id_col: str, text_col: str, run: int, words: int | None) -> DataFrame:
     """``did, th, at, key, mark``: each window's first line (among those that count), line hashes and fingerprint."""
     hashes = F.transform(_numbered(F.col(text_col)), lambda s: s["h"])
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text_col).alias("th"), hashes.alias("h")).where(F.size("h") >= run)
-    at = docs.select("did", "th", "h", F.explode(F.sequence(F.lit(1), F.size("h") - run + 1)).alias("at"))
-    key = F.slice("h", F.col("at"), F.lit(run))
+    given = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text_col).alias("th"), hashes.alias("h")]
+    if words is None:
+        docs = documents.select(*given).where(F.size("h") >= run)
+        at = docs.select("did", "th", "h", F.explode(F.sequence(F.lit(1), F.size("h") - run + 1)).alias("at"))
+        key = F.slice("h", F.col("at"), F.lit(run))
+    else:
+        docs = documents.select(*given, _word_counts(F.col(text_col)).alias("n"))
+        at = docs.select("did", "th", "h", F.explode(F.concat(*[_starts(k, run, words) for k in range(1, run + 1)])).alias("w")).select("did", "th", "h", "w.at", "w.size")
+        key = F.slice("h", F.col("at"), F.col("size"))
     return at.select("did", "th", "at", key.alias("key"), F.array_min(key).alias("mark"))
 
 
-def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """``did, th, cuts``: per document the windows (first line, among those that count) that also occur earlier."""
-    windows = _windows(documents, id_col, text_col, run)
+def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
+    """``did, th, cuts``: per document the windows (first line, among those that count, and number of lines) that also occur earlier."""
+    windows = _windows(documents, id_col, text_col, run, words)
     # one row per selected fingerprint: windows that share their fingerprint's place choose it once
     place = F.col("at") + F.array_position("key", F.col("mark")) - 1
     marks = windows.select("did", "th", "mark", place.alias("place")).distinct()
@@ -45,16 +69,16 @@ def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     near = windows.join(often, "mark", "left_semi")
     first = near.groupBy("key").agg(F.min(F.struct("did", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     again = near.join(first, "key").where(F.struct("did", "at") > F.col("first"))
-    return again.groupBy("did", "th").agg(F.collect_set("at").alias("cuts"))
+    return again.groupBy("did", "th").agg(F.collect_set(F.struct("at", F.size("key").alias("size"))).alias("cuts"))
 
 
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """``documents`` with the repeated lines cut from the text, and ``n_lines`` (those that count), ``n_removed_lines``."""
-    cuts = repeated_runs(documents, id_col, text_col, run).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("cuts").alias("_cuts"))
+    cuts = repeated_runs(documents, id_col, text_col, run, words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("cuts").alias("_cuts"))
     docs = documents.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text_col)})
     held = docs.join(cuts, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
     # places, among all lines, of the lines that the runs cover
-    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda a: F.slice(F.transform(_numbered(F.col(text_col)), lambda s: s["i"]), a, F.lit(run)))))
+    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda a: F.slice(F.transform(_numbered(F.col(text_col)), lambda s: s["i"]), a["at"], a["size"]))))
     marked = held.withColumn("_gone", F.when(F.col("_cuts").isNotNull(), gone)).withColumn("_full", F.size(_numbered(F.col(text_col))))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     out = marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))

@@ -1,6 +1,7 @@
 import re
 import zlib
 
+import corpus_pipeline
 from pathloom.llm import langid, licenses, line_dedup
 from tests.llm.data import SCHEMA, documents, empty, rows
 
@@ -34,6 +35,22 @@ def test_lines(spark):
     assert line_dedup.dedup(df).columns[:7] == df.columns
 
 
+def test_long_lines(spark):
+    long = lambda k, n=50: " ".join(f"{k}w{i}" for i in range(n))
+    table = [(1, long("a")), (2, long("a")), (3, "x\n" + long("a") + "\ny"), (4, long("b", 30) + "\n\n" + long("c", 20)), (5, long("b", 30) + "\n" + long("c", 20)),
+             (6, long("b", 30)), (7, "p\n" + long("b", 30) + "\n" + long("c", 20) + "\nq"), (8, long("d", 49)), (9, long("d", 49)), (10, long("e") + "\n" + long("e")), (11, "one\ntwo\nthree"), (12, "one\ntwo\nthree\nfour"), (13, None), (14, "")]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup(df, words=50).collect()}
+    gone = {2: ("", 1), 3: ("x\ny", 1), 5: ("", 2), 7: ("p\nq", 2), 10: (long("e"), 1), 12: ("four", 3)}
+    assert got == {i: gone.get(i, (t, 0)) for i, t in table}
+
+
+def test_pipeline_cuts_long_lines(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, "a\n" + long, None, None, 0), (2, long, None, None, 0), (3, "b\n" + long + "\nc", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_winnowing(spark, df, "").collect()} == {1: "a\n" + long, 3: "b\nc"}
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License.", "foo Licensed under the Apache License, Version 2.0. bar MIT license", "GNU General Public License", "MIT\nlicense mit LICENSE", None, "", "é MIT-License",
              "this work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "public license", "general public licenses", "Permission is hereby granted, free of charge, to any human obtaining a copy of this software and associated documentation files"]
