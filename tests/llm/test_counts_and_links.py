@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, quality, simhash
 from tests.llm.data import documents, empty, rows
@@ -51,6 +55,131 @@ def test_dense_posting_and_null_ids(spark):
     assert simhash.keep_one(d).count() == 4
 
 
+def test_tally_prunes_and_loses_nothing(spark):
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 24, 30, dtype=np.uint64)
+    fp = np.unique(np.concatenate([(rng.integers(0, 1 << 40, 40, dtype=np.uint64) << np.uint64(24)) | x for x in shared]))
+    near = fp[:200] ^ (np.uint64(1) << rng.integers(24, 64, 200).astype(np.uint64))
+    fp = np.unique(np.concatenate((fp, near))).reshape(-1, 1)
+    close = simhash.Tally(4, 4)
+    got = simhash._few(fp, np.zeros(1, dtype=np.int64), np.array([len(fp)]), close, len(fp))
+    pairs = {(int(fp[a, 0]), int(fp[b, 0])) for i, j, _ in got for a, b in zip(i, j, strict=True)}
+    want = {(int(a), int(b)) for n, a in enumerate(fp[:, 0]) for b in fp[n + 1 :, 0] if (int(a) ^ int(b)).bit_count() <= 4}
+    assert pairs == want and len(want) >= 150
+    # most pairs that meet by three bytes never come to the test of bits
+    assert close.verified < close.counted / 20
+
+
+def labels(edges, nodes):
+    at = {n: n for n in nodes}
+
+    def top(x):
+        while at[x] != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        at[max(x, y)] = min(x, y)
+    return {n: top(n) for n in nodes}
+
+
+def test_long_lists_give_the_same_components():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fp = np.array([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64)) for c in centres for k in range(6) for _ in range(60)], dtype=np.uint64)
+    fp = np.unique(np.concatenate((fp, centres)))
+    want = labels([(a, b) for n, a in enumerate(fp.tolist()) for b in fp[n + 1 :].tolist() if (a ^ b).bit_count() <= 4], fp.tolist())
+    wide = fp.reshape(-1, 1)
+    for got in (simhash._stars(wide, simhash.Tally(0, 4), False), simhash._stars(wide, simhash.Tally(0, 4), True), simhash._table(wide, simhash.Tally(0, 4))):
+        assert labels([(int(fp[a]), int(fp[b])) for i, j, _ in got for a, b in zip(i, j, strict=True)], fp.tolist()) == want
+
+
+def test_two_hundred_thousand_in_one_posting():
+    rng = np.random.default_rng(9)
+    fp = np.unique((rng.integers(0, 1 << 40, 200_000, dtype=np.uint64) << np.uint64(24)) | np.uint64(0xABCDEF)).reshape(-1, 1)
+    fp[1000:2000] = fp[:1000] ^ (np.uint64(1) << np.uint64(40))
+    free = [(3, 4, 5, 6, 7)]
+    began = time.time()
+    none = np.zeros(len(fp), dtype=np.int64)
+    got = simhash._list_pairs(fp, none.astype(bool), none, none - 1, free, simhash.Tally(4, 4), False)
+    assert time.time() - began < 30
+    found = {(min(a, b), max(a, b)) for i, j, _ in got for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert {(n, n + 1000) for n in range(1000)} <= found
+
+
+def test_dense_postings_are_dealt_by_a_further_byte(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    fp = np.unique((rng.integers(0, 1 << 12, 3000, dtype=np.uint64) << np.uint64(40)) | np.uint64(0x0123456789))
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    want = labels([(a, b) for n, a in enumerate(fp.tolist()) for b in fp[n + 1 :].tolist() if (a ^ b).bit_count() <= 4], fp.tolist())
+    monkeypatch.setattr(simhash, "DENSE", 5)
+    assert len(simhash._dense_postings(df.selectExpr("fp", "false AS flag"), simhash.posting_sets(4)))
+    assert labels([(r.a, r.b) for r in simhash.links(df).collect()], fp.tolist()) == want
+
+
+def shingle_set(text, n=5):
+    w = BLANK.findall(low(text))
+    return {" ".join(w[a : a + n]) for a in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def similar_labels(table):
+    sets = {i: shingle_set(t) for i, t in table}
+    like = lambda x, y: x == y or (x and y and 5 * len(x & y) >= 4 * len(x | y))
+    ids = sorted(sets)
+    return labels([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if like(sets[a], sets[b])], ids)
+
+
+def near_copies(seed=2, n=40, words=200):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(3000)]
+    table = []
+    for i in range(n):
+        base = r.choices(vocab, k=words)
+        table.append((len(table), " ".join(base)))
+        for edits in (1, 2, 3, 12, 40):
+            w = list(base)
+            for at in r.sample(range(words), edits):
+                w[at] = r.choice(vocab)
+            table.append((len(table), " ".join(w)))
+    return table
+
+
+def test_similar_texts(spark):
+    table = near_copies() + [(900, None), (901, ""), (902, " \n"), (903, "one"), (904, "ONE"), (905, "one two"), (906, "a b c d e"), (907, "a b c d e")]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("th", F.lit("x")).repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    want = similar_labels(table)
+    gone = {i for i in want if want[i] != i}
+    found = {i for i in got if got[i] != i}
+    assert found <= gone  # nothing else goes
+    assert len(found) >= 0.9 * len(gone) and len(gone) > 100
+    assert {i: got[i] for i in range(900, 908)} == {i: want[i] for i in range(900, 908)}
+    kept = simhash.keep_one_similar(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i] == i}
+    assert simhash.similar_components(empty(spark)).count() == 0
+    d = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (None, None), (3, "a b c")], "doc_id long, text string")
+    assert simhash.keep_one_similar(d).count() == 4
+
+
+def test_similar_texts_of_one_large_group(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    table = [(1000, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(150), 1 + i % 3):
+            w[at] = f"x{i}y{at}"
+        table.append((i, " ".join(w)))
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    want = similar_labels(table)
+    monkeypatch.setattr(simhash, "_LIST", 16)  # hubs, and a second look at those unlike their hub
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(df).collect()}
+    assert {i for i in got if got[i] != i} <= {i for i in want if want[i] != i}
+    assert sum(got[i] != i for i in got) >= 0.95 * sum(want[i] != i for i in want)
+
+
 def brute_counts(text):
     w = BLANK.findall(text or "")
     seen, dup = set(), 0
