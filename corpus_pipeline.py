@@ -29,8 +29,8 @@ def line_winnowing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group whose sets of five-word shingles are linked by a similarity of 0.8 or more."""
+    return simhash.keep_one_similar(docs).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
