@@ -1,85 +1,159 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 A document's lines are its ``\\n``-split pieces; only lines with something but ASCII white space count. Every
-``RUN`` consecutive lines are a window and have a fingerprint: the line of least hash in it, the first of
-equals. Any run of ``RUN`` lines that two places share so shares a fingerprint at the same relative position.
-Fingerprints are selected, those whose line occurs once in the corpus end there, and the others join by
-position: a window around the fingerprint, compared line hash by line hash, joins its earliest occurrence
-(smaller id, or same document and earlier line). Windows that occur earlier extend both ways where they
-overlap or touch, to maximal runs; the runs' lines are deleted, all windows judged on the input.
-
-Where ``words`` is given, one or more lines under ``RUN`` with that many words together are a window too, so
-that long lines and copied short documents are found; else only runs of ``RUN`` lines are.
-
-Defined results: a null text stays null; equal documents lose all lines but at the smallest id; documents of
-fewer than ``RUN`` such lines lose none unless ``words`` says so; lines without content stay; repeated rows of one id and text are
-one document and get the same result; a null id comes before others.
+``RUN`` consecutive lines are a window, and so are fewer lines that have ``LONG_WORDS`` words together (unless
+``words`` is None). A window's fingerprint is the line of least hash in it, the first of equals, so any window that
+two places share has its fingerprint at the same relative position. Selected fingerprints join by position:
+
+1. each with the earliest place of its line hash; from there the match is extended both ways, line by line, as far as
+   windows of this fingerprint reach (beyond, the next fingerprint goes on). A match of a window or more is a run.
+2. windows that no run covers (their fingerprint is a line that stands in several contexts) join their own earliest place.
+
+Runs that overlap or touch are united, and their lines are deleted: those of all windows that occur earlier (smaller
+id, or same document and earlier line), all judged on the input.
+
+Defined results: a null text stays null; equal documents lose their windows but at the smallest id; documents without a
+window lose nothing; lines without content stay; repeated rows of one id and text are one document and get the same
+result; a null id comes before others; ids that aren't whole numbers are in the order of their texts; columns named
+like those added are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from pathloom.plans.skew import salted_join
 
 RUN = 3
-#: Words that make a window of fewer lines, where a caller asks for it.
+#: Words that make a window of fewer lines.
 LONG_WORDS = 50
 
+_CONTENT = r"[^\x20\x09-\x0D]"
 
-def _numbered(text: Column) -> Column:
-    """Lines as (place among all lines, hash), those without content left out."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(x)).alias("h"))), lambda s: s["h"].isNotNull())
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
 
-def _word_counts(text: Column) -> Column:
-    """The number of words of each line that counts."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))), lambda n: n > 0)
 
+def _places(text: Column) -> Column:
+    """Places, among all lines, of the lines that count."""
+    return F.filter(F.transform(_lines(text), lambda x, i: F.when(x.rlike(_CONTENT), i)), lambda i: i.isNotNull())
 
-def _starts(lines: int, run: int, words: int | None) -> Column:
-    """``at, size`` of the windows of ``lines`` lines: all of them for ``run`` lines, those of ``words`` words for fewer."""
-    at = F.when(F.size("h") >= lines, F.sequence(F.lit(1), F.size("h") - lines + 1)).otherwise(F.array().cast("array<int>"))
-    if lines < run:
-        at = F.filter(at, lambda a: F.aggregate(F.slice("n", a, F.lit(lines)), F.lit(0), lambda x, y: x + y) >= words)
-    return F.transform(at, lambda a: F.struct(a.alias("at"), F.lit(lines).alias("size")))
+
+def _hashes(text: Column) -> Column:
+    return F.transform(F.filter(_lines(text), lambda x: x.rlike(_CONTENT)), lambda x: F.xxhash64(x))
+
+
+def _word_counts(text: Column) -> Column:
+    """The number of words of each line that counts."""
+    return F.filter(F.transform(_lines(text), lambda x: F.regexp_count(x, F.lit(_CONTENT + "+"))), lambda n: n > 0)
 
 
-def _windows(documents: DataFrame, id_col: str, text_col: str, run: int, words: int | None) -> DataFrame:
-    """``did, th, at, key, mark``: each window's first line (among those that count), line hashes and fingerprint."""
-    hashes = F.transform(_numbered(F.col(text_col)), lambda s: s["h"])
-    given = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text_col).alias("th"), hashes.alias("h")]
-    if words is None:
-        docs = documents.select(*given).where(F.size("h") >= run)
-        at = docs.select("did", "th", "h", F.explode(F.sequence(F.lit(1), F.size("h") - run + 1)).alias("at"))
-        key = F.slice("h", F.col("at"), F.lit(run))
+def _keys(documents: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What orders the documents, null first, and a hash of the text."""
+    if isinstance(documents.schema[id_col].dataType, IntegralType):
+        did = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     else:
-        docs = documents.select(*given, _word_counts(F.col(text_col)).alias("n"))
-        at = docs.select("did", "th", "h", F.explode(F.concat(*[_starts(k, run, words) for k in range(1, run + 1)])).alias("w")).select("did", "th", "h", "w.at", "w.size")
-        key = F.slice("h", F.col("at"), F.col("size"))
-    return at.select("did", "th", "at", key.alias("key"), F.array_min(key).alias("mark"))
-
-
-def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
-    """``did, th, cuts``: per document the windows (first line, among those that count, and number of lines) that also occur earlier."""
-    windows = _windows(documents, id_col, text_col, run, words)
-    # one row per selected fingerprint: windows that share their fingerprint's place choose it once
-    place = F.col("at") + F.array_position("key", F.col("mark")) - 1
-    marks = windows.select("did", "th", "mark", place.alias("place")).distinct()
-    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    near = windows.join(often, "mark", "left_semi")
-    first = near.groupBy("key").agg(F.min(F.struct("did", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    again = near.join(first, "key").where(F.struct("did", "at") > F.col("first"))
-    return again.groupBy("did", "th").agg(F.collect_set(F.struct("at", F.size("key").alias("size"))).alias("cuts"))
-
-
-def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
+        did = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return did, F.xxhash64(text_col)
+
+
+def _total(counts: Column, start: Column, size) -> Column:
+    return F.aggregate(F.slice(counts, start, size if isinstance(size, Column) else F.lit(size)), F.lit(0), lambda x, y: x + y)
+
+
+def fingerprints(documents: DataFrame, id_col: str, text_col: str, run: int = RUN, words: int | None = LONG_WORDS) -> DataFrame:
+    """Selected fingerprints ``did, th, mark, place`` with their surroundings (``near``, whose first line is ``lo``; ``counts``
+    of their words where wanted) and their windows ``(at, size)``. Lines are numbered from 1 among those that count."""
+    did, th = _keys(documents, id_col, text_col)
+    docs = documents.select(did.alias("did"), th.alias("th"), _hashes(F.col(text_col)).alias("h"), *([_word_counts(F.col(text_col)).alias("n")] if words else []))
+    docs = docs.where(F.size("h") >= (1 if words else run))
+    span = 2 * run - 1
+
+    def around(p: Column) -> Column:
+        lo = F.greatest(p - (run - 1), F.lit(1))
+        extra = [F.slice("n", lo, F.lit(span)).alias("counts")] if words else []
+        return F.struct(p.alias("place"), lo.alias("lo"), F.get("h", p - 1).alias("mark"), F.slice("h", lo, p - lo + run).alias("near"), *extra)
+
+    def windows(s: Column) -> Column:
+        found = []
+        for size in range(1 if words else run, run + 1):
+            for before in range(size):
+                at = s["place"] - s["lo"] - before + 1  # within the surroundings
+                lines = F.slice(s["near"], at, F.lit(size))
+                chosen = (F.size(lines) == size) & (F.array_min(lines) == s["mark"]) & (F.array_position(lines, s["mark"]) == before + 1)
+                if size < run:
+                    chosen &= _total(s["counts"], at, size) >= words
+                found.append(F.when((at >= 1), F.when(chosen, F.struct((at + s["lo"] - 1).alias("at"), F.lit(size).alias("size")))))
+        return F.filter(F.array(*found), lambda w: w.isNotNull())
+
+    rows = docs.select("did", "th", F.explode(F.transform(F.sequence(F.lit(1), F.size("h")), around)).alias("s"))
+    return rows.select("did", "th", "s.*", windows(F.col("s")).alias("windows")).where(F.size("windows") > 0)
+
+
+def _reach(mine: Column, at: Column, other: Column, place: Column, step: int, most: int) -> Column:
+    """For how many lines two surroundings agree from the places on, in steps of one line."""
+    agree, total = F.lit(True), F.lit(0)
+    for d in range(1, most + 1):
+        agree = agree & F.coalesce(F.get(mine, at + step * d) == F.get(other, place + step * d), F.lit(False))
+        total = total + agree.cast("int")
+    return total
+
+
+def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = LONG_WORDS) -> DataFrame:
+    """``did, th, cuts``: per document its runs of lines ``(a, b)`` (the first, the one after the last, among those that count)
+    that are windows which also occur earlier; runs are apart and in order."""
+    marks = fingerprints(documents, id_col, text_col, run, words)
+    first = marks.groupBy("mark").agg(F.min(F.struct("did", "place", "lo", "near")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
+    met = salted_join(marks, first, ["mark"])
+    own, there = F.col("place") - F.col("lo"), F.col("first.place") - F.col("first.lo")
+    later = F.struct("did", "place") > F.struct("first.did", "first.place")
+    met = met.withColumns({"back": F.when(later, _reach(F.col("near"), own, F.col("first.near"), there, -1, run - 1)), "on": _reach(F.col("near"), own, F.col("first.near"), there, 1, run - 1)})
+    met = met.withColumns({"a": F.col("place") - F.col("back"), "b": F.col("place") + F.col("on") + 1})
+    enough = F.col("b") - F.col("a") >= run
+    if words:
+        enough = enough | (_total(F.col("counts"), F.col("a") - F.col("lo") + 1, F.col("b") - F.col("a")) >= words)
+    met = met.withColumn("is_run", F.coalesce(F.when(later, enough), F.lit(False)))
+    runs = met.where("is_run").select("did", "th", "a", "b")
+    # what no run covers
+    left = F.filter("windows", lambda w: ~(F.col("is_run") & (w["at"] >= F.col("a")) & (w["at"] + w["size"] <= F.col("b"))))
+    rest = met.select("did", "th", "near", "lo", F.explode(left).alias("w")).select("did", "th", F.col("w.at").alias("at"), F.slice("near", F.col("w.at") - F.col("lo") + 1, F.col("w.size")).alias("lines"))
+    once = rest.groupBy("lines").agg(F.min(F.struct("did", "at")).alias("source"), F.count("*").alias("n")).where("n > 1").select("lines", "source")
+    again = salted_join(rest, once, ["lines"]).where(F.struct("did", "at") > F.col("source")).select("did", "th", F.col("at").alias("a"), (F.col("at") + F.size("lines")).alias("b"))
+    return _united(runs.unionByName(again))
+
+
+def _united(runs: DataFrame) -> DataFrame:
+    """Runs of a document that overlap or touch become one."""
+    before = Window.partitionBy("did", "th").orderBy("a", "b")
+    reached = F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    parts = runs.distinct().withColumn("new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(before))
+    whole = parts.groupBy("did", "th", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("did", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
+
+
+ADDED = ("n_lines", "n_removed_lines")
+
+
+def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = LONG_WORDS) -> DataFrame:
     """``documents`` with the repeated lines cut from the text, and ``n_lines`` (those that count), ``n_removed_lines``."""
-    cuts = repeated_runs(documents, id_col, text_col, run, words).select(F.col("did").alias("_d"), F.col("th").alias("_h"), F.col("cuts").alias("_cuts"))
-    docs = documents.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text_col)})
-    held = docs.join(cuts, (F.col("_did") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
-    # places, among all lines, of the lines that the runs cover
-    gone = F.array_distinct(F.flatten(F.transform("_cuts", lambda a: F.slice(F.transform(_numbered(F.col(text_col)), lambda s: s["i"]), a["at"], a["size"]))))
-    marked = held.withColumn("_gone", F.when(F.col("_cuts").isNotNull(), gone)).withColumn("_full", F.size(_numbered(F.col(text_col))))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.select(*documents.columns, F.coalesce(F.greatest("_full", F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed_lines"))
+    cuts = repeated_runs(documents, id_col, text_col, run, words).select(F.col("did").alias("d"), F.col("th").alias("h"), "cuts")
+    did, th = _keys(documents, id_col, text_col)
+    docs = documents.select(F.struct("*").alias("row"), did.alias("did"), th.alias("th"))
+    text = F.col("row").getField(text_col)
+    held = docs.join(cuts, (F.col("did") == F.col("d")) & (F.col("th") == F.col("h")), "left").withColumn("lines", _lines(text)).withColumn("at", F.when(F.col("cuts").isNotNull(), _places(text)))
+    # each run from the place of its first line to that of its last, among all lines
+    spans = F.transform("cuts", lambda c: F.struct(F.get("at", c["a"] - 1).alias("s"), F.get("at", c["b"] - 2).alias("e")))
+    held = held.withColumn("spans", spans)
+    since = lambda i: F.coalesce(F.when(i > 0, F.get("spans", i - 1)["e"]), F.lit(-1)) + 1
+    blank = lambda x: ~x.rlike(_CONTENT)
+    pieces = F.transform("spans", lambda s, i: F.concat(F.slice("lines", since(i) + 1, s["s"] - since(i)), F.filter(F.slice("lines", s["s"] + 1, s["e"] - s["s"] + 1), blank)))
+    end = since(F.size("spans"))
+    kept = F.array_join(F.concat(F.flatten(pieces), F.slice("lines", end + 1, F.size("lines") - end)), "\n")
+    new = F.when(F.col("cuts").isNull(), text).otherwise(kept)
+    counted = F.when(text.isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x.rlike(_CONTENT)))).cast("long")
+    gone = F.coalesce(F.aggregate("cuts", F.lit(0), lambda n, c: n + c["b"] - c["a"]), F.lit(0)).cast("long")
+    others = [(new if c == text_col else F.col("row").getField(c)).alias(c) for c in documents.columns if c not in ADDED]
+    return held.select(*others, counted.alias("n_lines"), gone.alias("n_removed_lines"))
