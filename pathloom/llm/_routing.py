@@ -22,18 +22,23 @@ Rows with one id and one text are one document. A null id comes before all other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pathloom.llm._text import BLANK_WORDS, CHUNK_BYTES, Chunk, SpanHash, U, Words, batch_of, binary, byte_values, chunks, ragged, window_minima
 from pathloom.plans.durable import durable
 
-_PLACE_BITS = 27  # a chunk has fewer units than this many bits can number
+_PLACE_BITS = 27  # places in a piece are numbered in so many bits
+#: Units of a piece that is hashed at once; a longer text is cut to pieces that overlap by a window less one unit.
+PIECE = 1 << 23
+#: Stretches that a task gathers before it deals them, equal ones as one.
+GATHERED = 1 << 21
 BINS_PER_PARTITION = 8
 
 
@@ -44,13 +49,35 @@ class Windows:
     words: bool
     width: int
     gram: int
+    piece: int = field(default_factory=lambda: PIECE)
+    gathered: int = field(default_factory=lambda: GATHERED)
+
+    @property
+    def small(self) -> np.dtype:
+        """Of a stretch's number of windows."""
+        return np.min_scalar_type(self.width)
 
     def units(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The values of the chunk's units; where each document's begin and end."""
+        """The chunk's units, words as hashes; where each document's begin and end."""
         if self.words:
             w = Words(c, BLANK_WORDS)
             return w.hashes(), w.first[:-1], w.first[1:]
-        return byte_values(c.buffer()), c.starts, c.ends
+        return c.buffer(), c.starts, c.ends
+
+    def pieces(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Where a piece begins in its document, its units' values, and where each document's begin and end in it. Every
+        window is in one piece. A chunk is one piece, but for the text of a document that is longer."""
+        values = (lambda x: x) if self.words else byte_values
+        if len(units) <= self.piece:
+            yield 0, values(units), starts, ends
+            return
+        for d in range(len(starts)):
+            for a in range(int(starts[d]), max(int(starts[d]) + 1, int(ends[d]) - self.width + 1), self.piece):
+                part = units[a : min(a + self.piece + self.width - 1, int(ends[d]))]
+                at = np.zeros(len(starts), dtype=np.int64)
+                upto = np.where(np.arange(len(starts)) == d, len(part), 0)
+                at[d + 1 :] = upto[d + 1 :] = len(part)
+                yield a - int(starts[d]), values(part), at, upto
 
 
 class Common:
@@ -70,13 +97,19 @@ class Common:
         return may[self.grams[k] == grams[may]]
 
 
-def stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: Common) -> tuple[np.ndarray, ...]:
+def stretches(w: Windows, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: Common) -> tuple[np.ndarray, ...]:
     """Of a chunk: each stretch's anchor hash, content hash, document, start within it and number of windows."""
+    got = []
+    for offset, values, a, b in w.pieces(units, starts, ends):
+        anchor, content, doc, start, count = _stretches(w, values, a, b, common)
+        got.append((anchor, content, doc, start + np.int32(offset), count))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+def _stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: Common) -> tuple[np.ndarray, ...]:
     n = len(values) - w.width + 1
     if n <= 0 or not (ends - starts >= w.width).any():
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32))
-    if len(values) >> _PLACE_BITS:
-        raise ValueError("a text of over 2**27 units")
     spans = SpanHash(values)
     at = np.arange(len(values) - w.gram + 1)
     grams = spans(at, at + w.gram)
@@ -107,10 +140,11 @@ def _often(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordB
     parts, docs = [], 0
     for batch in batches:
         for c in chunks(binary(batch.column(0))):
-            values, starts, ends = w.units(c)
-            n = len(values) - w.gram + 1
             docs += len(c.texts)
-            if n > 0:
+            for _, values, starts, ends in w.pieces(*w.units(c)):
+                n = len(values) - w.gram + 1
+                if n <= 0:
+                    continue
                 at = np.arange(n)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 inside = at + w.gram <= ends[doc]
@@ -143,48 +177,60 @@ def _parted(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-_DEALT = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("did", "th", "anchor", "content", "doc", "start", "count", "times"))])
-_DEALT_DDL = "bin int, did binary, th binary, anchor binary, content binary, doc binary, start binary, count binary, times binary"
+_NAMES = ("did", "th", "anchor", "content", "doc", "start", "count", "times")
+_DEALT = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in _NAMES)])
+_DEALT_DDL = "bin int, " + ", ".join(f"{n} binary" for n in _NAMES)
+_MOST = 1 << 16  # stretches in a row, so that 16 bits number its documents
 
 
-def _deal(batches: Iterator[pa.RecordBatch], w: Windows, bins: int, common: Common) -> Iterator[pa.RecordBatch]:
-    """Stretches by anchor, to bins below ``bins``: the earliest of equal ones with how often they occur. The others go to
-    the bins from there on, by document."""
+def _gathered(batches: Iterator[pa.RecordBatch], w: Windows, common: Common) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of many documents: ``did, th`` of each, anchor, content, start and count."""
+    got, size = [], 0
     for batch in batches:
         did, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-        got = []
         for c in chunks(binary(batch.column(2))):
             anchor, content, doc, start, count = stretches(w, *w.units(c), common)
-            got.append((anchor, content, np.array(c.rows)[doc], start, count))
-        if not got:
-            continue
-        anchor, content, doc, start, count = (np.concatenate(x) for x in zip(*got, strict=True))
-        if not len(anchor):
-            continue
-        order = np.lexsort((start, th[doc], did[doc], content, anchor))
-        anchor, content, doc, start, count = (x[order] for x in (anchor, content, doc, start, count))
-        once = _parted(anchor, content, did[doc], th[doc], start)  # a document given twice is one
-        anchor, content, doc, start, count = (x[once] for x in (anchor, content, doc, start, count))
+            row = np.array(c.rows)[doc]
+            got.append((did[row], th[row], anchor, content, start, count))
+            size += len(anchor)
+            if size >= w.gathered:
+                yield tuple(np.concatenate(x) for x in zip(*got, strict=True))
+                got, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+def _deal(batches: Iterator[pa.RecordBatch], w: Windows, bins: int, common: Common) -> Iterator[pa.RecordBatch]:
+    """Stretches by anchor, to bins below ``bins``: the earliest of equal ones with how often they occur. The others go to
+    the bins from there on, by document. Within a bin 32 bits tell anchors apart well enough: contents decide."""
+    for did, th, anchor, content, start, count in _gathered(batches, w, common):
+        order = np.lexsort((start, th, did, content, anchor))
+        did, th, anchor, content, start, count = (x[order] for x in (did, th, anchor, content, start, count))
+        once = _parted(anchor, content, did, th, start)  # a document given twice is one
+        did, th, anchor, content, start, count = (x[once] for x in (did, th, anchor, content, start, count))
         first = _parted(anchor, content)
         at = np.flatnonzero(first)
         times = np.zeros(len(anchor), dtype=np.int32)
         times[at] = np.diff(np.append(at, len(anchor)))
-        to = np.where(first, anchor % U(bins), U(bins) + (doc + np.int64(did[0] & 0xFFFF)).astype(np.uint64) % U(bins)).astype(np.int32)
+        to = np.where(first, anchor % U(bins), U(bins) + th.view(np.uint64) % U(bins)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        to, anchor, content, doc, start, count, times = (x[order] for x in (to, anchor, content, doc, start, count, times))
+        to, did, th, anchor, content, start, count, times = (x[order] for x in (to, did, th, anchor // U(bins), content, start, count, times))
         cuts = np.append(np.flatnonzero(_parted(to)), len(to))
+        cuts = np.concatenate([np.arange(a, b, _MOST) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [cuts[-1:]])
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own, local = np.unique(doc[a:b], return_inverse=True)
-            rows.append((int(to[a]), did[own].tobytes(), th[own].tobytes(), anchor[a:b].tobytes(), content[a:b].tobytes(), local.astype(np.int32).tobytes(), start[a:b].tobytes(), count[a:b].tobytes(), times[a:b].tobytes()))
+            _, own, local = np.unique(did[a:b] ^ th[a:b], return_index=True, return_inverse=True)
+            if (did[a:b][own][local] != did[a:b]).any() or (th[a:b][own][local] != th[a:b]).any():
+                own, local = np.arange(b - a), np.arange(b - a)
+            rows.append((int(to[a]), did[a:b][own].tobytes(), th[a:b][own].tobytes(), anchor[a:b].astype(np.uint32).tobytes(), content[a:b].tobytes(), local.astype(np.uint16).tobytes(), start[a:b].tobytes(), count[a:b].astype(w.small).tobytes(), times[a:b].tobytes()))
         for a in range(0, len(rows), 512):
             yield batch_of(_DEALT, list(zip(*rows[a : a + 512], strict=True)))
 
 
-_FOUND_DDL = "did long, th long, start int, count int, anchor long, copies int"
+_FOUND_DDL = "did long, th long, start int, count int, bin int, copies int"
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+def _meet(frame: pd.DataFrame, w: Windows) -> pd.DataFrame:
     """One bin: the stretches whose anchor occurs twice or more. ``copies`` is the number of occurrences of
     an equal stretch at its earliest, and 0 at the others."""
     base, did, th = 0, [], []
@@ -193,12 +239,12 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         own = np.frombuffer(row.did, dtype=np.int64)
         did.append(own)
         th.append(np.frombuffer(row.th, dtype=np.int64))
-        doc.append(np.frombuffer(row.doc, dtype=np.int32).astype(np.int64) + base)
+        doc.append(np.frombuffer(row.doc, dtype=np.uint16).astype(np.int64) + base)
         base += len(own)
     join = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in frame[name]])
     doc = np.concatenate(doc)
     did, th = np.concatenate(did)[doc], np.concatenate(th)[doc]
-    anchor, content, start, count, times = join("anchor", np.uint64), join("content", np.uint64), join("start", np.int32), join("count", np.int32), join("times", np.int32)
+    anchor, content, start, count, times = join("anchor", np.uint32), join("content", np.uint64), join("start", np.int32), join("count", w.small).astype(np.int32), join("times", np.int32)
     # later copies of one batch need no more than this
     copies = times.copy()
     sure = times == 0
@@ -223,27 +269,24 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
         several = np.bincount(group[place], weights=times[order][place]) > 1
         order = order[~again & several[group]]
     order = np.concatenate((np.flatnonzero(sure), order))
-    return pd.DataFrame({"did": did[order], "th": th[order], "start": start[order], "count": count[order], "anchor": anchor[order].view(np.int64), "copies": copies[order]})
+    return pd.DataFrame({"did": did[order], "th": th[order], "start": start[order], "count": count[order], "bin": np.int32(frame["bin"].iloc[0]), "copies": copies[order]})
 
 
 _SHARD = pa.schema([("bin", pa.int32()), *((n, pa.binary()) for n in ("did", "th", "start", "count", "copies", "values", "codes"))])
 _SHARD_DDL = "bin int, did binary, th binary, start binary, count binary, copies binary, values binary, codes binary"
 
 
-def _extract(batches: Iterator[pa.RecordBatch], w: Windows, bins: int) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
     """Contents of the wanted stretches, dealt by anchor. Words travel as numbers into a list of their hashes."""
     for batch in batches:
         did, th = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
         wanted = batch.column(3)
         bounds = wanted.offsets.to_numpy().astype(np.int64)
         flat = wanted.values
-        start, count, anchor, copies = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "count", "anchor", "copies"))
+        start, count, bin_of, copies = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "count", "bin", "copies"))
         got = []
         for c in chunks(binary(batch.column(2)), CHUNK_BYTES):
-            if w.words:
-                values, starts, _ = w.units(c)
-            else:
-                values, starts = c.buffer(), c.starts
+            values, starts, _ = w.units(c)
             rows = np.array(c.rows)
             sizes = bounds[rows + 1] - bounds[rows]
             own = ragged(bounds[rows], sizes)
@@ -251,7 +294,7 @@ def _extract(batches: Iterator[pa.RecordBatch], w: Windows, bins: int) -> Iterat
             got.append((np.repeat(rows, sizes), own, values, place))
         out = []
         for rows, own, values, place in got:
-            to = (anchor[own].view(np.uint64) % U(bins)).astype(np.int32)
+            to = bin_of[own]
             order = np.argsort(to, kind="stable")
             to, rows, own, place = to[order], rows[order], own[order], place[order]
             cuts = np.append(np.flatnonzero(_parted(to)), len(to))
@@ -312,23 +355,29 @@ def _runs(shard: Shard, flags: np.ndarray, width: int) -> pd.DataFrame:
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, did, th, text`` of each row: the id as it is, and without null; a hash of the text; the text."""
-    return documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    """``_id, did, th, text`` of each row: the id as it is, and as a number without null; a hash of the text; the text.
+    Ids that aren't whole numbers are numbered in their order."""
+    docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    if isinstance(documents.schema[id_col].dataType, IntegralType):
+        return docs.withColumn("did", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)))).select("_id", "did", "th", "text")
+    # sorted by ranges, numbers that grow along a partition and from one to the next are in the ids' order
+    numbers = durable(docs.select("_id").distinct().orderBy(F.asc_nulls_first("_id")).select(F.col("_id").alias("_k"), F.monotonically_increasing_id().alias("did")))
+    return docs.join(numbers, F.col("_id").eqNullSafe(F.col("_k"))).select("_id", "did", "th", "text")
 
 
 def spans_to_cut(keyed_docs: DataFrame, w: Windows, search: Search) -> DataFrame:
     """``did, th, cuts``: the spans of units, per document, that are to be removed (an array of start, end)."""
     bins = BINS_PER_PARTITION * max(4, int(keyed_docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     common = keyed_docs.sparkSession.sparkContext.broadcast(Common(common_grams(keyed_docs, w)))
-    found = durable(keyed_docs.select("did", "th", "text").mapInArrow(lambda it: _deal(it, w, bins, common.value), _DEALT_DDL).groupBy("bin").applyInPandas(_meet, _FOUND_DDL))
-    wanted = found.where("copies > 0").groupBy("did", "th").agg(F.collect_list(F.struct("start", "count", "anchor", "copies")).alias("wanted"))
+    found = durable(keyed_docs.select("did", "th", "text").mapInArrow(lambda it: _deal(it, w, bins, common.value), _DEALT_DDL).groupBy("bin").applyInPandas(lambda frame: _meet(frame, w), _FOUND_DDL))
+    wanted = found.where("copies > 0").groupBy("did", "th").agg(F.collect_list(F.struct("start", "count", "bin", "copies")).alias("wanted"))
     held = keyed_docs.join(wanted, ["did", "th"]).select("did", "th", "text", "wanted")
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
         shard = Shard.of(frame, w.words)
         return _runs(shard, search(shard, w.width), w.width)
 
-    seen = held.mapInArrow(lambda it: _extract(it, w, bins), _SHARD_DDL).groupBy("bin").applyInPandas(look, "did long, th long, start int, end int")
+    seen = held.mapInArrow(lambda it: _extract(it, w), _SHARD_DDL).groupBy("bin").applyInPandas(look, "did long, th long, start int, end int")
     later = found.where("copies = 0").select("did", "th", "start", (F.col("start") + F.col("count") + (w.width - 1)).alias("end"))
     return later.unionByName(seen).groupBy("did", "th").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
 

@@ -111,7 +111,15 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        return SpanHash(byte_values(self.raw))(self.starts, self.ends)
+        """Of the words as they stand; a long text goes piece by piece, which gives the same."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        a = 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.ends, self.starts[a] + 4 * CHUNK_BYTES, side="right")))
+            lo = self.starts[a]
+            out[a:b] = SpanHash(byte_values(self.raw[lo : self.ends[b - 1]]))(self.starts[a:b] - lo, self.ends[a:b] - lo)
+            a = b
+        return out
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -4,10 +4,12 @@ Words are runs of anything but ASCII white space, unchanged. A window is ``WINDO
 document. Each word in a window whose word sequence also starts earlier (smaller id, or same document and
 earlier start) is removed, all windows judged on the input. Windows meet in shards by their anchors
 (:mod:`_routing`); a shard builds a compressed FM-index of its contents and streams them through backward
-search, which gives for each place the interval of suffixes that match a window's length or more.
+search, which gives for each place the interval of suffixes that match a window's words. Intervals of more than one
+suffix are reported; the earliest place that is in an interval stays, the others are cut.
 
 Defined results: a null or blank text has no words; repeated rows of one id and text are one document and
-get the same result; rows of one id with other texts are parts of one document, of which equal places tie.
+get the same result; rows of one id with other texts are parts of one document, of which equal places tie; ids that aren't whole
+numbers are in their own order; a text of any length is cut to overlapping pieces where arrays would get too large.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm._routing import Shard, Windows, keyed, spans_to_cut
 from pathloom.llm._text import batch_of, binary, columns, covered, ragged
-from pathloom.llm.fm_index import FMIndex, matching_groups
+from pathloom.llm.fm_index import FMIndex, matching_statistics
 
 WINDOW = 20
 ANCHOR_WORDS = 5
@@ -36,13 +38,18 @@ def earlier_windows(shard: Shard, width: int) -> np.ndarray:
     text = np.zeros(int((lengths + 1).sum()), dtype=np.int64)
     text[ragged(starts, lengths)] = shard.codes + 1
     index = FMIndex(text, int(shard.codes.max()) + 2, width)
-    group = matching_groups(index, text, starts, lengths, width)
-    _, doc = np.unique(shard.did, return_inverse=True)
+    interval, matches = matching_statistics(index, text, starts, lengths)
     windows = ragged(starts, sizes)
-    when = np.full(len(text), np.iinfo(np.int64).max)
-    when[windows] = (np.repeat(doc.astype(np.int64), sizes) << 32) + ragged(shard.start.astype(np.int64), sizes)
-    first = np.minimum.reduceat(when[index.order], index.group_first)
-    return first[group[windows]] < when[windows]
+    out = np.zeros(len(windows), dtype=bool)
+    some = np.flatnonzero(matches[windows] > 1)  # intervals above the threshold: the window stands more than once
+    if len(some):
+        _, doc = np.unique(shard.did, return_inverse=True)
+        when = ((np.repeat(doc.astype(np.int64), sizes) << 32) + ragged(shard.start.astype(np.int64), sizes))[some]
+        which = np.unique(interval[windows[some]], return_inverse=True)[1]
+        earliest = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, which, when)
+        out[some] = earliest[which] < when
+    return out
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ document or another, is removed, all strings judged on the input. Windows meet i
 (:mod:`suffix_sort`) and finds the neighbours that agree in a window's length.
 
 Defined results: a null text is empty; repeated rows of one id and text are one document and get the same
-result; what is left of a text may end within a character, so it is kept as bytes.
+result; what is left of a text may end within a character, so it is kept as bytes; ids are of any kind; a text of any
+length is cut to overlapping pieces where arrays would get too large.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ from collections import defaultdict
 import numpy as np
 
 from pathloom.llm import substring_fm, suffix_dedup
-from pathloom.llm.fm_index import FMIndex, WaveletMatrix, matching_groups
+from pathloom.llm import _routing
+from pathloom.llm.fm_index import Bounds, FMIndex, WaveletMatrix, matching_statistics
 from pathloom.llm.suffix_sort import sort_suffixes
 from tests.llm.data import SCHEMA, documents, empty, rows
 
@@ -77,13 +78,49 @@ def test_wavelet_rank_and_backward_search():
     lengths = np.array([len(p) for p in pieces])
     starts = np.cumsum(lengths + 1) - lengths - 1
     for depth in (2, 3, 4, 5):
-        got = matching_groups(FMIndex(text, 4, depth), text, starts, lengths, depth)
-        by = {}
+        index = FMIndex(text, 4, depth)
+        got, width = matching_statistics(index, text, starts, lengths)
+        by = defaultdict(list)
         for s, n in zip(starts, lengths):
             for a in range(s, s + n - depth + 1):
-                by.setdefault(tuple(text[a : a + depth]), set()).add(int(got[a]))
-        assert all(len(x) == 1 and -1 not in x for x in by.values())
-        assert len(set.union(*by.values())) == len(by)
+                by[tuple(text[a : a + depth])].append((int(got[a]), int(width[a])))
+        # one interval for equal matches, as wide as there are suffixes that match
+        assert all(set(x) == {(x[0][0], len(x))} for x in by.values())
+        assert len({x[0][0] for x in by.values()}) == len(by)
+
+
+def test_nearest_bounds():
+    r = np.random.default_rng(1)
+    bits = r.random(1000) < 0.01
+    bits[[0, -1]] = True
+    b, at = Bounds(bits), np.arange(1000)
+    assert b.at_or_before(at).tolist() == [int(np.flatnonzero(bits[: i + 1])[-1]) for i in at]
+    assert b.at_or_after(at).tolist() == [int(i + np.flatnonzero(bits[i:])[0]) for i in at]
+
+
+def test_index_is_compressed_and_decides(monkeypatch):
+    r = np.random.default_rng(5)
+    codes = r.integers(0, 1000, 20_000)
+    codes[15_000:15_100] = codes[100:200]
+    shard = _routing.Shard(np.array([1, 2]), np.array([0, 0]), np.array([0, 0], dtype=np.int32), np.array([9_981, 9_981], dtype=np.int32), np.array([1, 1]), codes)
+    cut = substring_fm.earlier_windows(shard, 20)
+    assert np.flatnonzero(cut).tolist() == list(range(9_981 + 5_000, 9_981 + 5_081))
+    index = FMIndex(codes + 1, 1001, 20)
+    assert index.nbytes < 4 * len(codes)  # ten levels of bits and their counts, not arrays of places
+    assert not any(isinstance(x, np.ndarray) and len(x) >= len(codes) for x in vars(index).values())
+    monkeypatch.setattr(WaveletMatrix, "rank", lambda self, symbol, i: i * 0)
+    assert np.flatnonzero(substring_fm.earlier_windows(shard, 20)).tolist() != np.flatnonzero(cut).tolist()
+
+
+def test_text_ids_and_long_texts(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(50))
+    df = spark.createDataFrame([("b2", text), ("a1", text), (None, None), ("c", "x")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_removed) for r in substring_fm.dedup(df).collect()) == [("", 0), ("a1", 0), ("b2", 50), ("c", 0)]
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(df, window=100).collect()} == {"a1": len(text), "b2": len(text), None: 0, "c": 0}
+    monkeypatch.setattr(_routing, "PIECE", 300)
+    monkeypatch.setattr(_routing, "GATHERED", 40)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_fm.dedup(documents(spark), window=20, anchor_words=2).collect()} == brute_words(rows())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(documents(spark), window=40, anchor_bytes=12).collect()} == brute_bytes(rows(), 40)
 
 
 def test_deep_shallow_order():
@@ -100,8 +137,6 @@ def test_deep_shallow_order():
 
 
 def test_common_passages_over_many_batches(spark, monkeypatch):
-    from pathloom.llm import _routing
-
     monkeypatch.setattr(_routing, "SAMPLE", 1)
     monkeypatch.setattr(_routing, "SHARE", 0.05)
     r = random.Random(4)
