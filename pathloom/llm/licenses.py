@@ -14,6 +14,8 @@ results; a null id is a row like others; equally frequent words go by the alphab
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,43 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    (
+        "mit-full",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+        "the software or the use or other dealings in the software",
+        ("permission is hereby granted free of charge", "sublicense and or sell copies", "substantial portions of the software", "without warranty of any kind"),
+    ),
+    (
+        "isc-full",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ("for any purpose with or without fee is hereby granted", "the author disclaims all warranties", "tortious action"),
+    ),
+    (
+        "bsd-2-clause-full",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+        "even if advised of the possibility of such damage",
+        ("redistribution and use in source and binary forms", "redistributions of source code must retain", "redistributions in binary form must reproduce", "procurement of substitute goods"),
+    ),
+    (
+        "unlicense-full",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+        "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+        ("free and unencumbered software", "dedicate any and all copyright interest", "overt act of relinquishment in perpetuity"),
+    ),
 )
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,9 +90,22 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, t, _ in templates for w in t.split()})
 
 
-def document_frequencies(documents: DataFrame, text_col: str, words: list[str]) -> dict[str, int]:
+def base_hits(words: Column, phrases=BASE_PHRASES) -> Column:
+    """``at, label`` for all places where a base phrase's words stand consecutively."""
+    none = F.array().cast("array<struct<at:int,label:string>>")
+
+    def hits(q: list[str], label: str) -> Column:
+        here = lambda i: F.coalesce(reduce(Column.__and__, [F.get(words, i + k) == x for k, x in enumerate(q)]), F.lit(False))
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
+        has = reduce(Column.__and__, [F.array_contains(words, x) for x in sorted(set(q))])
+        return F.when(has, F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))).otherwise(none)
+
+    return F.concat(*[hits(phrase.split(), label) for phrase, label in phrases])
+
+
+def document_frequencies(worded: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many texts each licence word stands; as many numbers as the templates have words."""
-    found = documents.select(F.explode(F.array_intersect(words_of(F.col(text_col)), F.array(*map(F.lit, words)))).alias("w"))
+    found = worded.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, words)))).alias("w"))
     return {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}
 
 
@@ -104,18 +156,14 @@ def verified(found: DataFrame, files: DataFrame, templates=TEMPLATES, min_score:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """Per row: id, ``n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("did"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("_text"))
-    frequencies = document_frequencies(docs, "_text", vocabulary(templates))
-    postings = index(frequencies, templates)
-    worded = docs.select("_id", "did", "th", words_of(F.col("_text")).alias("words"))
+    # the texts are cut to words once; all that follows reads those
+    worded = durable(docs.select("_id", "did", "th", words_of(F.col("_text")).alias("words")))
+    postings = index(document_frequencies(worded, vocabulary(templates)), templates)
     rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in postings})])
-    files = durable(worded.where(F.size(F.array_intersect("words", rare)) > 0).select("did", "th", "words"))
+    files = worded.where(F.size(F.array_intersect("words", rare)) > 0).select("did", "th", "words")
     labelled = verified(candidates(files, postings), files, templates).groupBy("did", "th").agg(F.collect_set("label").alias("own"), F.max("score").alias("best"))
-    # base phrases end with the same word: their starts follow from where it stands
-    before = lambda i, k: F.get("words", i - k)
-    ends = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i) == "license")
-    hits = F.filter(F.transform(ends, lambda i: F.when(before(i, 1) == "mit", F.struct((i - 1).alias("at"), F.lit("mit").alias("label"))).when(before(i, 1) == "apache", F.struct((i - 1).alias("at"), F.lit("apache").alias("label"))).when((before(i, 1) == "public") & (before(i, 2) == "general"), F.struct((i - 2).alias("at"), F.lit("gpl").alias("label")))), lambda s: s.isNotNull())
-    based = worded.select("_id", "did", "th", F.size("words").cast("long").alias("n_words"), F.when(F.array_contains("words", "license"), hits).alias("hits"))
-    got = based.select("_id", "did", "th", "n_words", F.coalesce(F.transform("hits", lambda s: s["at"].cast("long")), F.array().cast("array<long>")).alias("at"), F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["label"]))), F.array().cast("array<string>")).alias("base"))
+    got = worded.select("_id", "did", "th", F.size("words").cast("long").alias("n_words"), base_hits(F.col("words")).alias("hits"))
+    got = got.select("_id", "did", "th", "n_words", F.transform("hits", lambda s: s["at"].cast("long")).alias("at"), F.array_sort(F.array_distinct(F.transform("hits", lambda s: s["label"]))).alias("base"))
     both = got.join(labelled, ["did", "th"], "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))
     return both.select(F.col("_id").alias(id_col), "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").alias("first_word"), F.array_max("at").alias("last_word"), F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("best", F.lit(0.0)).alias("score"))
