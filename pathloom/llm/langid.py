@@ -6,8 +6,8 @@ spherical k-means; a text gets the language of the centroid of greatest cosine.
 centroid than nearly all that it was learned from is *rejected*, which is a column of its own.
 
 Document frequencies come from all rows that may be learned from. Centroids are fitted on a bounded sample:
-``TRAIN_ROWS`` rows of a language at most, chosen by a hash of the text, for the ``MAX_LANGS`` most frequent
-languages.
+``TRAIN_ROWS`` different texts of a language at most, chosen by a hash of the text. Every language that occurs is
+learned; centroids of many languages go to the tasks block by block, ``BLOCK`` of them at a time.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text where nothing
 could be learned. Rows with a null id are learned from unless the hash of the empty string says otherwise.
@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm._text import Chunk, U, batch_of, binary, chunks
+from pathloom.plans.durable import durable
 
 FEATURES = 2048
 CENTROIDS = 4
 TRAIN_ROWS = 1500
-MAX_LANGS = 400
+#: Centroids in one broadcast: 33 MB.
+BLOCK = 4096
 ROUNDS = 12
 #: Share of a centroid's own texts that its limit of distance takes in, and what is added to that limit.
 INSIDE, SLACK = 0.995, 0.1
@@ -101,17 +103,15 @@ def centroids(v: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> tuple[
     return c, limit + SLACK
 
 
-def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, max_langs: int = MAX_LANGS) -> dict:
-    """A model from rows that have a language: ``idf``, ``langs`` (one per centroid), ``centroids``, ``limits``."""
-    known = documents.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return {"idf": np.ones(FEATURES, dtype=np.float32), "langs": [], "centroids": np.zeros((0, FEATURES), dtype=np.float32), "limits": np.zeros(0)}
+def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, DataFrame]:
+    """A model from rows that have a language: inverse document frequencies, and a table ``lang, k, c, limit`` of centroids."""
+    known = documents.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text", F.lit(17)))
     df = {r["feature"]: r["s"] for r in known.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("s")).collect()}
-    idf = np.log((1 + df[-1]) / (1 + np.array([df[i] for i in range(FEATURES)], dtype=np.float64))).astype(np.float32) + 1
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.2 * train_rows / r["count"]))])
-    hashed = known.withColumn("h", F.xxhash64("text", F.lit(17)))
-    sample = hashed.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "h", "text").mapInArrow(_sampled, "lang string, h long, v binary")
+    idf = (np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(FEATURES)], dtype=np.float64))) + 1).astype(np.float32)
+    sizes = durable(known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts")))
+    picked = known.join(sizes, "lang").where(F.pmod("h", F.lit(1_000_000)) < 1_200_000 * train_rows / F.col("texts"))
+    # copies of a text are one, or a text given very often would fill its language's sample
+    sample = picked.groupBy("lang", "h").agg(F.first("text").alias("text")).mapInArrow(_sampled, "lang string, h long, v binary")
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["h", "v"]).head(train_rows)
@@ -119,18 +119,33 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", tr
         c, limit = centroids(v)
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "k": np.arange(len(c)), "c": [x.astype(np.float32).tobytes() for x in c], "limit": limit})
 
-    rows = sample.groupBy("lang").applyInPandas(learn, "lang string, k int, c binary, limit double").orderBy("lang", "k").collect()
-    return {"idf": idf, "langs": [r["lang"] for r in rows], "centroids": np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in rows]), "limits": np.array([r["limit"] for r in rows])}
+    return idf, durable(sample.groupBy("lang").applyInPandas(learn, "lang string, k int, c binary, limit double"))
+
+
+def _blocks(idf: np.ndarray, table: DataFrame, size: int) -> Iterator[dict]:
+    """The model in parts of ``size`` centroids or so, languages in order within each."""
+    parts = max(1, -(-table.count() // size))
+    for part in range(parts):
+        rows = table.where(F.pmod(F.xxhash64("lang"), F.lit(parts)) == part).orderBy("lang", "k").collect()
+        if rows or not part:
+            vectors = np.stack([np.frombuffer(r["c"], dtype=np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), dtype=np.float32)
+            yield {"idf": idf, "langs": [r["lang"] for r in rows], "centroids": vectors, "limits": np.array([r["limit"] for r in rows])}
 
 
 def _has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode()))
 
 
+_FIELDS = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    fields = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
+    """``id, text, lang_pred, score, rejected``; where the input has predictions by other blocks, the best of both."""
     for batch in batches:
-        lang, score, out = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
+        if batch.num_columns > 2:
+            lang, score, out = batch.column(2).to_pylist(), batch.column(3).to_numpy().copy(), batch.column(4).to_numpy(zero_copy_only=False).copy()
+        else:
+            lang, score, out = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
         if model["langs"]:
             for c in chunks(binary(batch.column(1))):
                 cosine = normalised(vectors(c), model["idf"]) @ model["centroids"].T
@@ -138,17 +153,21 @@ def _predict(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Reco
                 for i, row in enumerate(c.rows):
                     if _has_letter(c.texts[i]):
                         k = best[i]
-                        lang[row] = model["langs"][k]
-                        score[row] = min(1.0, max(0.0, float(cosine[i, k])))
-                        out[row] = 1 - cosine[i, k] > model["limits"][k]
-        yield batch_of(pa.schema([batch.schema.field(0), *fields]), [batch.column(0), lang, score, out])
+                        new = (min(1.0, max(0.0, float(cosine[i, k]))), model["langs"][k])
+                        if lang[row] == UNKNOWN or new[0] > score[row] or (new[0] == score[row] and new[1] < lang[row]):
+                            score[row], lang[row] = new
+                            out[row] = 1 - cosine[i, k] > model["limits"][k]
+        yield batch_of(pa.schema([batch.schema.field(0), batch.schema.field(1), *_FIELDS]), [batch.column(0), batch.column(1), lang, score, out])
 
 
-def predict(documents: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(documents: DataFrame, model: tuple[np.ndarray, DataFrame], id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: its id, ``lang_pred``, ``score`` (the cosine), ``rejected``; from the text alone."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, F.col(text_col).alias("_text")).mapInArrow(lambda it: _predict(it, held.value), f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    out = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    for part in _blocks(*model, block):
+        held = documents.sparkSession.sparkContext.broadcast(part)
+        out = out.mapInArrow(lambda it, held=held: _predict(it, held.value), f"_id {kind}, _text string, lang_pred string, score double, rejected boolean")
+    return out.select(F.col("_id").alias(id_col), "lang_pred", "score", "rejected")
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
