@@ -7,7 +7,8 @@ digests of their own blocks, and are concurrent with each other by the metadata
 
 Defined results: a null page body is an empty payload; a null target has no header; equal rows make equal
 records, identifiers included, as those are made from content; an empty table makes none. Text keeps block
-boundaries as line ends; comments, scripts, styles and templates are no text; unclosed ones run to the end.
+boundaries as line ends; comments, scripts, styles and templates are no text; unclosed ones, and unclosed tags, run to
+the end. A page of any kind takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -31,15 +32,19 @@ NO_DATE = "1970-01-01T00:00:00Z"
 # Elements whose content is no text, and those that break lines.
 SILENT = ("script", "style", "noscript", "template", "svg")
 BREAKS = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split()
-
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG_BODY = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_BREAK = re.compile(r"</?(?:" + "|".join(BREAKS) + r")(?![\w-])" + _TAG_BODY, re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z]" + _TAG_BODY)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_DESCRIPTION = re.compile(r"<meta\b[^>]*?\bname\s*=\s*[\"']?description[\"']?[^>]*?\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_BREAKS = frozenset(BREAKS)
+
+# A page is read once, from left to right; what isn't closed runs to the end, so no part is looked at again and again.
+_INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|))*+(?:>|\Z)"""
+_MARK = re.compile(
+    r"<!--(?:.*?-->|.*)"
+    r"|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s/>])" + _INSIDE + r"(?:.*?</(?P=silent)(?=[\s/>])[^>]*+(?:>|\Z)|.*)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?P<inside>" + _INSIDE + ")"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S | re.I,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"']++)))?""")
+_TITLE_END = re.compile(r"</title(?=[\s/>])", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -54,15 +59,45 @@ def identifier(*parts: str | None) -> str:
 
 
 def text_of(page: str) -> str:
-    t = _HIDDEN.sub(" ", page)
-    t = _TAG.sub("", _BREAK.sub("\n", t))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(t).replace("\r", "\n").replace("\x00", " "))).strip()
+    """The text: tags that break lines as line ends, comments and silent elements as a space, other tags as nothing."""
+    parts, at = [], 0
+    for m in _MARK.finditer(page):
+        name = m["name"]
+        parts += (page[at : m.start()], " " if name is None else "\n" if name.lower() in _BREAKS else "")
+        at = m.end()
+    parts.append(page[at:])
+    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape("".join(parts)).replace("\r", "\n").replace("\x00", " "))).strip()
+
+
+def _attributes(inside: str) -> dict[str, str]:
+    """A tag's attributes, the first of a name."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(inside):
+        out.setdefault(name.lower(), html.unescape(next(filter(None, values), "")))
+    return out
 
 
 def page_metadata(page: str) -> dict:
-    shown = _HIDDEN.sub(" ", page)
-    first = lambda p: next((" ".join(html.unescape(next(g for g in m.groups() if g is not None)).split()) for m in [p.search(shown)] if m), None)
-    return {"title": first(_TITLE), "lang": first(_LANG), "description": first(_DESCRIPTION), "links": [html.unescape(a or b or c) for a, b, c in _LINK.findall(shown)]}
+    out: dict = {"title": None, "lang": None, "description": None, "links": []}
+    titled = False
+    for m in _MARK.finditer(page):
+        name = (m["name"] or "").lower()
+        if m["close"] or name not in ("title", "html", "meta", "a"):
+            continue
+        if name == "title":
+            end = None if titled else _TITLE_END.search(page, m.end())
+            titled = True
+            if end:
+                out["title"] = " ".join(html.unescape(page[m.end() : end.start()]).split())
+            continue
+        has = _attributes(m["inside"])
+        if name == "html" and out["lang"] is None and "lang" in has:
+            out["lang"] = has["lang"].strip() or None
+        elif name == "meta" and out["description"] is None and has.get("name", "").lower() == "description" and "content" in has:
+            out["description"] = " ".join(has["content"].split())
+        elif name == "a" and "href" in has:
+            out["links"].append(has["href"])
+    return out
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 from html.parser import HTMLParser
 
 import corpus_pipeline
@@ -68,6 +69,22 @@ def test_text_against_a_parser(spark):
         assert lines(warc.text_of(r.html)) == lines("".join(p.out))
 
 
+def test_hostile_pages_take_linear_time():
+    for part in ("<meta name ", "<a ", "<a href=", "<html ", "<title>", "<script>", "<!--", "<a x='", '<a x="', "<", "</", "&#", " \n", "<a href= "):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        warc.page_metadata(page)
+        warc.text_of(page)
+        assert time.process_time() - began < 3, part
+
+
+def test_metadata_of_odd_markup():
+    page = "<HTML LANG=en-GB><title>a<b</title><meta content='x  y' NAME=description><a class=q href=u>1</a><a href>2</a><a href='v&amp;w'>3</a><!-- <a href=no> --><title>no</title>"
+    assert warc.page_metadata(page) == {"title": "a<b", "lang": "en-GB", "description": "x y", "links": ["u", "", "v&w"]}
+    assert warc.text_of("a<br/>b<p class=x>c</p><script src=a>no</script >d<style>e") == "a\nb\nc\n d"
+    assert warc.text_of("one <a href='x two") == "one"
+
+
 def test_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     records = warc.derivatives(warc.responses(pages))
@@ -103,4 +120,3 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == a
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert run.count() == pieces.count()
-    assert hashlib
