@@ -71,10 +71,13 @@ ORACLES = {
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 all_lines AS (SELECT doc_id, l[p] AS line, p FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)),
 lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM all_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-win AS (SELECT doc_id, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-rep AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1 AS again FROM win WHERE c IS NOT NULL),
-gone AS (SELECT lines.doc_id, lines.p, lines.i, coalesce(max(CAST(again AS INT)) OVER (PARTITION BY lines.doc_id ORDER BY lines.i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) = 1 AS cut
-         FROM lines LEFT JOIN rep ON lines.doc_id = rep.doc_id AND lines.i = rep.i),
+next AS (SELECT doc_id, i, line, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c, n, lead(n, 1) OVER w AS nb
+         FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+win AS (SELECT doc_id, i, 3 AS k, [line, b, c] AS s FROM next WHERE c IS NOT NULL UNION ALL SELECT doc_id, i, 2, [line, b] FROM next WHERE b IS NOT NULL AND n + nb >= 50
+        UNION ALL SELECT doc_id, i, 1, [line] FROM next WHERE n >= 50),
+rep AS (SELECT doc_id, i, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM win),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM rep WHERE again),
+gone AS (SELECT lines.doc_id, lines.p, lines.i, hit.i IS NOT NULL AS cut FROM lines LEFT JOIN hit ON lines.doc_id = hit.doc_id AND lines.i = hit.i),
 kept AS (SELECT a.doc_id, count(g.p) AS n_lines, count(*) FILTER (coalesce(cut, false)) AS n_removed_lines, string_agg(line, chr(10) ORDER BY a.p) FILTER (NOT coalesce(cut, false)) AS k
          FROM all_lines a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY 1)
 SELECT doc_id, n_lines, n_removed_lines, sha256(coalesce(k, '')) AS kept_sha256 FROM kept""",
@@ -86,8 +89,7 @@ tx AS (SELECT t, tw[p + 1] AS w, p FROM (SELECT t, tw, unnest(range(0, len(tw)))
 df AS (SELECT tw.w, count(DISTINCT doc_id) AS f FROM (SELECT DISTINCT w FROM tx) tw LEFT JOIN x ON x.w = tw.w GROUP BY 1),
 picked AS (SELECT * FROM (SELECT t, w, f, row_number() OVER (PARTITION BY t ORDER BY f, w) AS r FROM (SELECT DISTINCT t, w FROM tx) JOIN df USING (w)) WHERE r <= 3),
 post AS (SELECT t, w, p, f, least(2, count(DISTINCT w) OVER (PARTITION BY t)) AS need FROM tx JOIN picked USING (t, w)),
-looked AS (SELECT * FROM (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY f, w) AS r FROM (SELECT DISTINCT doc_id, x.w, f FROM x JOIN (SELECT DISTINCT w, f FROM post) USING (w))) WHERE r <= 8),
-cand AS (SELECT doc_id, t, i - p AS s FROM x JOIN looked USING (doc_id, w) JOIN post USING (w) GROUP BY doc_id, t, i - p, need HAVING count(DISTINCT w) >= need),
+cand AS (SELECT doc_id, t, i - p AS s FROM x JOIN post USING (w) GROUP BY doc_id, t, i - p, need HAVING count(DISTINCT w) >= need),
 scored AS (SELECT c.doc_id, c.t, c.s, count(x.i) / count(*)::DOUBLE AS score FROM cand c JOIN tx ON tx.t = c.t LEFT JOIN x ON x.doc_id = c.doc_id AND x.i = c.s + tx.p AND x.w = tx.w GROUP BY 1, 2, 3),
 must AS (SELECT t, string_split(split_part(m, '@', 1), ' ') AS q, CAST(split_part(m, '@', 2) AS INT) AS p FROM (SELECT t, unnest(must) AS m FROM t)),
 good AS (SELECT doc_id, label, score FROM scored s JOIN t USING (t) JOIN d USING (doc_id)
