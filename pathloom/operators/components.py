@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.plans.durable import durable
-from pathloom.plans.skew import salted_join
+from pathloom.plans.skew import spread_join
 
 MAX_ROUNDS = 60
 
@@ -18,13 +18,13 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return salted_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = salted_join(down, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(down, least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 

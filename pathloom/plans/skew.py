@@ -14,3 +14,11 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], how: str =
     spread = large.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in large.columns if large.schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(salts)).cast("int"))
     given = small.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
     return spread.join(given, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread_join(large: DataFrame, small: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+    """As :func:`salted_join`, where ``small`` has about as many keys as ``large`` has rows: a key's row is given for those
+    salts alone that ``large`` has of it. ``large`` is read twice, so it should be a table."""
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    given = spread.select(*keys, "_salt").distinct().join(small, keys)
+    return spread.join(given, [*keys, "_salt"]).drop("_salt")
