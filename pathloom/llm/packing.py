@@ -2,7 +2,7 @@
 
 Each document becomes ids of a public tokenizer and an end id. The bag of its ids, hashed to signs, is
 projected to ``DIMS`` numbers; their Hilbert key orders the documents, ties and equal texts by a hash of the
-id. The corpus is cut into ranges of that order at estimated quantiles; each range is sorted and its tokens
+id. The corpus is cut into ranges of that order at quantiles of drawn keys; each range is sorted and its tokens
 follow those of the ranges before, so sequences of ``CONTEXT`` tokens are filled without gaps and only the
 last one of all is short. Documents are cut where sequences end.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ MEMO_WORDS = 600_000
 WEIGHT = 1024
 #: Most ranges of the order, whatever the input: their sums go through the driver.
 MAX_RANGES = 20_000
+#: Keys drawn for each range to find its ends.
+DRAWN = 200
 
 
 class WordMemo:
@@ -232,12 +235,8 @@ def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("_tie"), F.col(text_col).alias("_text"))
     held = durable(docs.mapInArrow(lambda it: _tokenise(it, tokenizer_path, end_id), f"_id {kind}, key long, n int, ids binary"), "zstd")
     n = min(MAX_RANGES, 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # quantiles of tokens: a long document counts as many short ones
-    weighed = held.select(F.explode(F.array_repeat("key", F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("key"))
-    found = weighed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    bounds = sorted(set(found))
-    part = F.lit(0) if not bounds else _range_of(F.col("key"), bounds)
-    ranged = held.withColumn("part", part)
+    bounds = _bounds(held, n)
+    ranged = held.withColumn("part", _range_of(F.col("key"), spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))))
     sums = {r["part"]: r["s"] for r in ranged.groupBy("part").agg(F.sum(F.col("n").cast("long")).alias("s")).collect()}
     base, total = {}, 0
     for p in sorted(sums):
@@ -247,18 +246,25 @@ def pack(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     return got.withColumnRenamed("_id", id_col) if with_ids else got.drop("ids").withColumnRenamed("_id", id_col)
 
 
-def _range_of(key, bounds: list[int]):
-    """The number of bounds below the key, by halving."""
-    if not bounds:
-        raise ValueError("no bounds")
+def _bounds(held: DataFrame, n: int) -> list[int]:
+    """Where the order is cut to ``n`` ranges of about equal tokens. They decide on the dealing alone, so keys drawn by a
+    hash, in proportion to their tokens, tell them: ``DRAWN`` for each range or so, or all where there are fewer."""
+    blocks = held.agg(F.sum(F.ceil(F.col("n") / WEIGHT))).first()[0] or 0
+    share = min(1.0, DRAWN * n / max(1, blocks))
+    drawn = held.select("key", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / WEIGHT).cast("int"))).alias("i"))
+    drawn = drawn.where(F.pmod(F.xxhash64("key", "i"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("key")
+    keys = np.sort(drawn.toPandas()["key"].to_numpy(dtype=np.int64))
+    return sorted(set(keys[[len(keys) * i // n for i in range(1, n)]].tolist())) if len(keys) else []
 
-    def under(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], under(lo, mid)).otherwise(under(mid + 1, hi))
 
-    return under(0, len(bounds))
+def _range_of(key, bounds):
+    """The number of bounds below the key."""
+
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, keys.to_numpy(), side="left").astype(np.int32))
+
+    return number(key)
 
 
 def padding(pieces: DataFrame, context: int = CONTEXT) -> DataFrame:
