@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pathloom.llm._text import ALNUM_WORDS, U, Words, batch_of, binary, chunks, columns, covered, word_span_hash
+from pathloom.plans.durable import durable
 
 #: Most windows in one broadcast set; a larger benchmark is scanned in several passes, each with its own set.
 MAX_BROADCAST_WINDOWS = 2_000_000
@@ -96,11 +98,15 @@ def _scan(texts: list[bytes], index: _Index) -> Iterator[tuple[int, int, np.ndar
             yield row, b - a, hit[a:b], items[d], w, a
 
 
-def _passes(spark: SparkSession, windows: DataFrame, limit: int) -> Iterator[list]:
+def _passes(windows: DataFrame, limit: int) -> list[DataFrame]:
     """The windows in blocks of about ``limit`` at most, so that no broadcast grows with the benchmark."""
-    blocks = max(1, -(-windows.count() // limit))
-    for b in range(blocks):
-        yield windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()
+    table = durable(windows)
+    blocks = max(1, -(-table.count() // limit))
+    return [table.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _held(spark: SparkSession, block: DataFrame) -> Broadcast:
+    return spark.sparkContext.broadcast(_Index(block.collect()))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, item_col: str = "item_id", item_text_col: str = "text", limit: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -111,11 +117,16 @@ def scan(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     kind = documents.schema[id_col].dataType.simpleString()
     verdict = ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
     results = "n_words long, n_hit long, n_items long, items_sha256 string"
-    passes = [spark.sparkContext.broadcast(_Index(rows)) for rows in _passes(spark, windows, limit)]
+    passes = _passes(windows, limit)
     if len(passes) == 1:
-        return docs.mapInArrow(lambda it: _summaries(it, passes[0].value), f"`{id_col}` {kind}, {results}").select("*", verdict)
-    # several sets: the words that each of them hits, united by document
-    parts = [docs.select(id_col, "text", F.xxhash64("text").alias("_t")).mapInArrow(lambda it, held=held: _masks(it, held.value), f"`{id_col}` {kind}, _t long, n_words long, hit binary, items array<string>") for held in passes]
+        held = _held(spark, passes[0])
+        return docs.mapInArrow(lambda it: _summaries(it, held.value), f"`{id_col}` {kind}, {results}").select("*", verdict)
+    # several sets, one at a time: the words that each of them hits, united by document
+    parts = []
+    for block in passes:
+        held = _held(spark, block)
+        parts.append(durable(docs.select(id_col, "text", F.xxhash64("text").alias("_t")).mapInArrow(lambda it, held=held: _masks(it, held.value), f"`{id_col}` {kind}, _t long, n_words long, hit binary, items array<string>")))
+        held.destroy()
     every, sets = parts[0], len(parts)
     for x in parts[1:]:
         every = every.unionByName(x)
@@ -159,11 +170,14 @@ def clean(documents: DataFrame, benchmark: DataFrame, drop: Column | None = None
     while mask in documents.columns:
         mask += "_"
     # every set scans the text as given; the words hit so far go along as a column, the last set judges and cuts
-    *others, last = [spark.sparkContext.broadcast(_Index(rows)) for rows in _passes(spark, windows, limit)]
+    *others, last = _passes(windows, limit)
     out = documents
-    for held in others:
+    for block in others:
+        held = _held(spark, block)
         schema = StructType([*documents.schema.fields, StructField(mask, BinaryType())])
-        out = out.mapInArrow(lambda it, held=held: _marked(it, at, width, mask, held.value), schema)
+        out = durable(out.mapInArrow(lambda it, held=held: _marked(it, at, width, mask, held.value), schema))
+        held.destroy()
+    last = _held(spark, last)
     return out.mapInArrow(lambda it: _cleaned(it, at, width, last.value), documents.schema)
 
 
