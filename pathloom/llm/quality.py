@@ -7,8 +7,9 @@ an earlier line); ``n_repeat_words`` (words in 5-word windows found twice or mor
 The counts become a vector of five transformed statistics. For each language and source the minimum
 covariance determinant estimate of its centre and scatter is found by concentration steps from a
 coordinatewise median start, each step an aggregation over all documents; a document goes if its robust
-Mahalanobis distance exceeds ``CUTOFF``. A group of under ``MIN_GROUP`` documents uses the estimate of its
-language, or of all documents.
+Mahalanobis distance exceeds ``CUTOFF``. A group of n documents says little about itself where n is small, so its
+estimate counts n, and that of its language ``PRIOR``, for the one that is used; likewise a language's and that of all
+documents. Nothing changes at once with a group's size.
 
 Defined results: a null text has no words and fails the base rule; null language and source are groups of
 their own; repeated rows count as often as they come; an empty table gives an empty result.
@@ -33,7 +34,7 @@ REPEAT_WORDS = 5
 FEATURES = ("f_words", "f_word_len", "f_symbols", "f_dup_lines", "f_repeats")
 #: Least standard deviation of each statistic: a group in which nearly all documents agree isn't strict about the rest.
 FLOORS = (1.0, 0.15, 0.8, 0.3, 0.3)
-MIN_GROUP = 60
+PRIOR = 60
 KEEP_SHARE = 0.75
 STEPS = 3
 #: Squared distance beyond which a document is rejected: far above the 1 - 1e-6 quantile of chi-square with 5 degrees (36).
@@ -144,54 +145,72 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _inverted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From means and mean products to centres and inverted scatter, one row per group."""
+    """From centres and scatter to centres and inverted scatter, one row per group."""
     d = len(FEATURES)
     for f in frames:
-        centre = f[[f"c{i}" for i in range(d)]].to_numpy()
         scatter = np.zeros((len(f), d, d))
         for i, j in _PAIRS:
-            scatter[:, i, j] = scatter[:, j, i] = (f[f"s{i}_{j}"].to_numpy() - centre[:, i] * centre[:, j]) * CONSISTENCY
-        # a floor to the variances of the statistics, and so to those of all their mixtures
-        spread = np.sqrt(np.maximum(scatter[:, range(d), range(d)], np.square(FLOORS)))
-        unit = scatter / spread[:, :, None] / spread[:, None, :]
-        values, vectors = np.linalg.eigh(unit) if len(f) else (np.zeros((0, d)), np.zeros((0, d, d)))
-        inverse = np.einsum("nij,nj,nkj->nik", vectors, 1 / np.maximum(values, 0.25), vectors) / spread[:, :, None] / spread[:, None, :]
-        out = {"key": f["key"], **{f"c{i}": centre[:, i] for i in range(d)}, **{f"p{i}_{j}": inverse[:, i, j] for i, j in _PAIRS}}
-        yield pd.DataFrame(out)
+            scatter[:, i, j] = scatter[:, j, i] = f[f"s{i}_{j}"].to_numpy()
+        inverse = inverted(scatter)
+        yield pd.DataFrame({"key": f["key"], **{f"c{i}": f[f"c{i}"] for i in range(d)}, **{f"p{i}_{j}": inverse[:, i, j] for i, j in _PAIRS}})
+
+
+def inverted(scatter: np.ndarray) -> np.ndarray:
+    """With a floor to the variances of the statistics, and so to those of all their mixtures."""
+    d = scatter.shape[1]
+    spread = np.sqrt(np.maximum(scatter[:, range(d), range(d)], np.square(FLOORS)))
+    unit = scatter / spread[:, :, None] / spread[:, None, :]
+    values, vectors = np.linalg.eigh(unit) if len(scatter) else (np.zeros((0, d)), np.zeros((0, d, d)))
+    return np.einsum("nij,nj,nkj->nik", vectors, 1 / np.maximum(values, 0.25), vectors) / spread[:, :, None] / spread[:, None, :]
+
+
+_C = [f"c{i}" for i in range(len(FEATURES))]
+_S = [f"s{i}_{j}" for i, j in _PAIRS]
+_MODEL = ", ".join(["key string", *[f"{c} double" for c in _C], *[f"p{i}_{j} double" for i, j in _PAIRS]])
 
 
 def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
-    """One concentration step: the estimate from the ``share`` of each group's rows that are nearest to the last one."""
+    """One concentration step: ``key``, centre and scatter of the ``share`` of each group's rows that are nearest to the last one."""
     near = salted_join(rows, model, ["key"]).select("key", *FEATURES, _distance().alias("d2"))
     cut = near.groupBy("key").agg(F.percentile_approx("d2", share, 1000).alias("cut"))
     inside = salted_join(near, cut, ["key"]).where("d2 <= cut")
     sums = inside.groupBy("key").agg(*[F.avg(f).alias(f"c{i}") for i, f in enumerate(FEATURES)], *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i, j in _PAIRS])
-    ddl = ", ".join(["key string", *[f"c{i} double" for i in range(len(FEATURES))], *[f"p{i}_{j} double" for i, j in _PAIRS]])
-    return durable(sums.mapInPandas(_inverted, ddl))
+    return durable(sums.select("key", *_C, *[((F.col(f"s{i}_{j}") - F.col(f"c{i}") * F.col(f"c{j}")) * CONSISTENCY).alias(f"s{i}_{j}") for i, j in _PAIRS]))
 
 
 def estimates(stats: DataFrame, steps: int = STEPS, share: float = KEEP_SHARE) -> DataFrame:
-    """Robust centre and inverted scatter for each key of ``stats(key, features)``."""
+    """Robust centre and scatter (``c0.., s0_0..``) for each key of ``stats(key, features)``."""
     model = durable(_start(stats))
-    for _ in range(steps):
-        model = _step(stats, model, share)
-    return model
+    for n in range(steps):
+        found = _step(stats, model, share)
+        model = found.mapInPandas(_inverted, _MODEL)
+    return found
+
+
+def _blended(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """``own(key, above, n, centre, scatter)`` with a part of the estimate of the wider group named by ``above``."""
+    w = wider.select(F.col("key").alias("above"), *[F.col(x).alias(f"w_{x}") for x in (*_C, *_S)])
+    share = F.col("n") / (F.col("n") + PRIOR)
+    return own.join(w, "above").select("key", "n", *[(share * F.col(x) + (1 - share) * F.col(f"w_{x}")).alias(x) for x in (*_C, *_S)])
+
+
+def models(stats: DataFrame) -> DataFrame:
+    """Centre and inverted scatter for each ``own`` of ``stats(own, lk, features)``, blended with those of its language and of all."""
+    rows = stats.select(F.explode(F.array(F.concat(F.lit("s:"), "own"), F.concat(F.lit("l:"), "lk"), F.lit("all"))).alias("key"), *FEATURES)
+    found = estimates(rows)
+    sized = durable(stats.groupBy("own", "lk").count())
+    langs = sized.groupBy(F.concat(F.lit("l:"), "lk").alias("key")).agg(F.sum("count").alias("n")).withColumn("above", F.lit("all"))
+    by_lang = _blended(langs.join(found, "key"), found)
+    groups = sized.select(F.concat(F.lit("s:"), "own").alias("key"), F.concat(F.lit("l:"), "lk").alias("above"), F.col("count").alias("n"))
+    return durable(_blended(groups.join(found, "key"), by_lang.drop("n")).drop("n").mapInPandas(_inverted, _MODEL))
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
+def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Per row of ``documents``: its counts, ``base_failed``, the squared robust ``distance2`` and ``kept``."""
     got = counts(documents.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), F.col(text_col).alias("_t")), "_t", ("_id", "_l", "_s"))
     named = got.withColumns({"own": F.concat_ws("\x1f", F.coalesce(F.concat(F.lit("="), "_l"), F.lit("")), F.coalesce(F.concat(F.lit("="), "_s"), F.lit(""))), "lk": F.coalesce(F.concat(F.lit("="), "_l"), F.lit(""))})
     stats = durable(with_features(named))
-    sized = stats.groupBy("own", "lk").count()
-    whole = sized.groupBy("lk").agg(F.sum("count").alias("all"))
-    used = sized.join(whole, "lk").select("own", F.when(F.col("count") >= min_group, F.concat(F.lit("s:"), "own")).when(F.col("all") >= min_group, F.concat(F.lit("l:"), "lk")).otherwise("all").alias("used"))
-    used = durable(used)
-    # every key in use is estimated from all rows under it, not only from those judged by it
-    wanted = used.select(F.col("used").alias("key")).distinct()
-    rows = stats.select(F.explode(F.array(F.concat(F.lit("s:"), "own"), F.concat(F.lit("l:"), "lk"), F.lit("all"))).alias("key"), *FEATURES).join(wanted, "key", "left_semi")
-    model = estimates(rows)
-    judged = salted_join(salted_join(stats, used.select("own", F.col("used").alias("key")), ["own"]), model, ["key"]).withColumn("distance2", _distance())
+    judged = salted_join(stats.withColumn("key", F.concat(F.lit("s:"), "own")), models(stats), ["key"]).withColumn("distance2", _distance())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select(F.col("_id").alias(id_col), *_COUNTS[:-1], failed.alias("base_failed"), F.round("distance2", 6).alias("distance2"), (~failed & (F.col("distance2") <= cutoff)).alias("kept"))
 

@@ -163,7 +163,7 @@ def test_similar_texts(spark):
     assert simhash.keep_one_similar(d).count() == 4
 
 
-def test_similar_texts_of_one_large_group(spark, monkeypatch):
+def test_similar_texts_of_one_large_group(spark):
     r = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     table = [(1000, " ".join(base))]
@@ -174,7 +174,7 @@ def test_similar_texts_of_one_large_group(spark, monkeypatch):
         table.append((i, " ".join(w)))
     df = spark.createDataFrame(table, "doc_id long, text string")
     want = similar_labels(table)
-    monkeypatch.setattr(simhash, "_LIST", 16)  # hubs, and a second look at those unlike their hub
+    # more than a list takes: hubs, and a second look at those unlike their hub
     got = {x.doc_id: x.component_id for x in simhash.similar_components(df).collect()}
     assert {i for i in got if got[i] != i} <= {i for i in want if want[i] != i}
     assert sum(got[i] != i for i in got) >= 0.95 * sum(want[i] != i for i in want)
@@ -215,6 +215,64 @@ def test_robust_estimate_rejects_planted_outliers(spark):
     assert kept == set(range(200))
 
 
+def lower(values, share):
+    """The least value that a share of all doesn't exceed."""
+    v = sorted(values)
+    return v[max(0, int(np.ceil(share * len(v))) - 1)]
+
+
+def brute_estimate(x, steps=3):
+    """Concentration steps: the three quarters nearest to the centre give the next centre and scatter."""
+    floors = np.array(quality.FLOORS)
+    centre = np.array([lower(c, 0.5) for c in x.T])
+    sd = np.maximum(1.4826 * np.array([lower(np.abs(c - m), 0.5) for c, m in zip(x.T, centre)]), floors)
+    inverse = np.diag(1 / sd**2)
+    for _ in range(steps):
+        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
+        near = x[d <= lower(d, 0.75)]
+        centre, scatter = near.mean(axis=0), np.cov(near.T, bias=True) * 1.6
+        inverse = brute_inverse(scatter)
+    return centre, scatter
+
+
+def brute_inverse(scatter):
+    spread = np.sqrt(np.maximum(np.diag(scatter), np.square(quality.FLOORS)))
+    w, v = np.linalg.eigh(scatter / np.outer(spread, spread))
+    return v @ np.diag(1 / np.maximum(w, 0.25)) @ v.T / np.outer(spread, spread)
+
+
+def test_quality_distance_against_brute_force(spark):
+    r = random.Random(12)
+    table = []
+    for i in range(400):
+        words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) + r.choice(["", "", "", "#"]) for _ in range(int(10 + r.expovariate(1 / 60)))]
+        text = " ".join(words) + ("\n" + " ".join(words[:6])) * (i % 5 == 0)
+        table.append((i, text, [None, "a", "b"][i % 3], [None, "s", "t", "t", "t", "t"][i % 6] if i % 50 else f"rare{i}"))
+    table += [(500 + i, "same words here always the same ten words here now", "c", "constant") for i in range(30)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {x.doc_id: x for x in quality.judge(df).collect()}
+    x = []
+    for i, t, *_ in table:
+        n, chars, symbols, dup, rep = brute_counts(t)
+        lines = sum(bool(BLANK.search(y)) for y in t.split("\n"))
+        x.append([np.log1p(n), np.log((chars + 1) / n), np.log1p(100 * symbols / n), np.sqrt(dup / lines), np.sqrt(rep / n)])
+    x = np.array(x)
+    where = lambda f: np.array([f(row) for row in table])
+    whole = brute_estimate(x)
+    blend = lambda own, n, wide: [n / (n + 60) * a + 60 / (n + 60) * b for a, b in zip(own, wide)]
+    for lang, source in {row[2:] for row in table}:
+        of_lang, mine = where(lambda row: row[2] == lang), where(lambda row: row[2:] == (lang, source))
+        wide = blend(brute_estimate(x[of_lang]), of_lang.sum(), whole)
+        centre, scatter = blend(brute_estimate(x[mine]), mine.sum(), wide)
+        inverse = brute_inverse(scatter)
+        for k in np.flatnonzero(mine):
+            d = (x[k] - centre) @ inverse @ (x[k] - centre)
+            row = got[table[k][0]]
+            assert abs(row.distance2 - d) < 1e-4 * max(1, d)
+            if abs(d - quality.CUTOFF) > 1e-3:
+                assert row.kept == (not row.base_failed and d <= quality.CUTOFF)
+
+
 def brute_hits(text, items, n=13):
     w = ALNUM.findall(low(text))
     hit, found = set(), set()
@@ -266,7 +324,9 @@ def test_cut_in_several_sets(spark):
     spread = " ".join(x for k, p in enumerate(passages[1:]) for x in (p, *rest[k * 237 : k * 237 + 237]))
     few = spark.createDataFrame([(k, p) for k, p in enumerate(passages)], "item_id long, text string")
     d = spark.createDataFrame([(1, one, b"m"), (2, spread, None), (3, None, None)], "doc_id long, text string, _hit binary")
-    for limit in (10**6, 3, 1):
+    for limit in (10**6, 7, 2, 1):
+        flagged = {r.doc_id: r.contaminated for r in decontaminate.scan(d, few, limit=limit).collect()}
+        assert flagged == {1: False, 2: True, 3: False}
         got = decontaminate.clean(d, few, limit=limit)
         assert got.columns == d.columns
         kept = {r.doc_id: (r.text, r._hit) for r in got.collect()}
