@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -56,8 +56,8 @@ def components(adj: DataFrame, most: int = MAX_EDGES_IN_TASK) -> DataFrame:
     kind = adj.schema["pathway_id"].dataType
     ddl = f"pathway_id {kind.simpleString()}, node string, component string"
     if large.isEmpty():
-        return _dealt(edges).mapInPandas(_united, ddl)
-    small = _dealt(edges.join(large, "pathway_id", "left_anti")).mapInPandas(_united, ddl)
+        return _dealt(edges).mapInPandas(lambda it: _by_pathway(it, _labels), ddl)
+    small = _dealt(edges.join(large, "pathway_id", "left_anti")).mapInPandas(lambda it: _by_pathway(it, _labels), ddl)
     key = lambda c: F.concat_ws(SEPARATOR, F.col("pathway_id").cast("string"), c)
     got = connected_components(edges.join(large, "pathway_id", "left_semi").select(key("a").alias("a"), key("b").alias("b")))
     part = lambda c: F.substring_index(c, SEPARATOR, -1)
@@ -69,17 +69,17 @@ def _dealt(edges: DataFrame) -> DataFrame:
     return edges.repartition(n, "pathway_id").sortWithinPartitions("pathway_id")
 
 
-def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of a partition's pathways, sorted by id; the last pathway of a batch waits for the next one."""
+def _by_pathway(frames: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Works on whole pathways of a partition, sorted by id; the last pathway of a batch waits for the next one."""
     kept: pd.DataFrame | None = None
     for f in frames:
         f = f if kept is None else pd.concat([kept, f], ignore_index=True)
         last = f["pathway_id"] == f["pathway_id"].iloc[-1] if len(f) else []
         kept = f[last] if len(f) else None
         if len(f) and not last.all():
-            yield _labels(f[~last])
+            yield work(f[~last])
     if kept is not None and len(kept):
-        yield _labels(kept)
+        yield work(kept)
 
 
 def _labels(f: pd.DataFrame) -> pd.DataFrame:
@@ -158,25 +158,29 @@ ENTITY_KINDS = ("compound", "protein", "protein_complex", "nucleic_acid", "eleme
 def qa_flags(nodes: DataFrame, edges: DataFrame, unmapped: DataFrame | None = None, empty: DataFrame | None = None) -> DataFrame:
     """``pathway_id, flag, subject, reason`` of a draft graph; ``unmapped(pathway_id, name, kind)`` are registry rows
     without an external id, ``empty(pathway_id, name)`` reactions that lack a side."""
-    thing, step = nodes.where(F.col("kind").isin(*ENTITY_KINDS)), nodes.where("kind = 'reaction'")
-    flag = lambda df, name, subject, reason: df.select("pathway_id", F.lit(name).alias("flag"), F.col(subject).alias("subject"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-    made = edges.where(F.col("role").isin("catalyst", "modifier")).select("pathway_id", F.col("target").alias("id"))
-    fed = edges.where("role = 'reactant'").select("pathway_id", F.col("source").alias("entity"), F.col("target").alias("id"))
-    gives = edges.where("role = 'product'").select("pathway_id", F.col("target").alias("entity"), F.col("source").alias("id"))
+    nodes, edges = durable(nodes), durable(edges)
+    flag = lambda df, name, subject, reason: df.select("pathway_id", F.lit(name).alias("flag"), F.col(subject).alias("subject"), reason.alias("reason"))
     label = nodes.select("pathway_id", F.col("id").alias("entity"), "label", "kind")
-    cofactor = fed.join(label, ["pathway_id", "entity"]).where(F.lower("label").isin(*vocab.COFACTORS)).select("pathway_id", "id").distinct().withColumn("cof", F.lit(True))
-    both = fed.join(gives, ["pathway_id", "entity", "id"], "left_semi").select("pathway_id", "id").distinct().withColumn("both", F.lit(True))
-    lacking = step.join(made, ["pathway_id", "id"], "left_anti").join(cofactor, ["pathway_id", "id"], "left")
-    says = lacking["label"].rlike(vocab.MODIFIER_TRIGGERS)
-    moved = step.join(both, ["pathway_id", "id"], "left")
-    named = moved["label"].rlike(vocab.TRANSPORT_NAMES)
-    parts = [
-        flag(thing.where("coalesce(compartment, '') = ''"), "missing_compartments", "label", "no subcellular location recorded"),
-        flag(lacking.where(says | F.col("cof")), "missing_modifiers", "label", F.concat_ws("; ", F.when(says, "reaction name implies enzymatic catalysis"), F.when(F.col("cof"), "reactant list includes known cofactors"))),
-        flag(thing.where(F.col("label").rlike(vocab.COMPLEX_NAMES)), "possible_complexes", "label", "name suggests a complex or subunit"),
-        flag(moved.where(named | F.col("both")), "transport_like_reactions", "label", F.concat_ws("; ", F.when(F.col("both"), "same species appear as both input and output"), F.when(named, "reaction name implies transport"))),
-        flag(orphan_nodes(nodes, edges), "orphan_nodes", "label", "degree 0"),
-    ]
+    # what each node's edges say, in one pass: whether it has any; for processes, whether one acts, takes a cofactor, gives what it takes
+    named = edges.join(label.select("pathway_id", F.col("entity").alias("source"), F.lower("label").alias("_low")), ["pathway_id", "source"], "left")
+    acts, takes = F.col("role").isin("catalyst", "modifier"), F.col("role") == "reactant"
+    said = named.select("pathway_id", F.inline(F.array(
+        F.struct(F.col("source").alias("id"), F.when(F.col("role") == "product", F.col("target")).alias("gives"), F.lit(None).cast("string").alias("takes"), F.lit(False).alias("act"), F.lit(False).alias("cof")),
+        F.struct(F.col("target").alias("id"), F.lit(None).cast("string").alias("gives"), F.when(takes, F.col("source")).alias("takes"), acts.alias("act"), (takes & F.coalesce(F.col("_low").isin(*vocab.COFACTORS), F.lit(False))).alias("cof")),
+    )))
+    facts = said.groupBy("pathway_id", "id").agg(F.max("act").alias("act"), F.max("cof").alias("cof"), F.arrays_overlap(F.collect_set("gives"), F.collect_set("takes")).alias("both"), F.lit(True).alias("linked"))
+    node = nodes.join(facts, ["pathway_id", "id"], "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("act", "cof", "both", "linked")})
+    thing, step = F.col("kind").isin(*ENTITY_KINDS), F.col("kind") == "reaction"
+    says, moves = F.col("label").rlike(vocab.MODIFIER_TRIGGERS), F.col("label").rlike(vocab.TRANSPORT_NAMES)
+    found = lambda cond, name, reason: F.when(cond, F.struct(F.lit(name).alias("flag"), F.col("label").alias("subject"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")))
+    flags = F.array_compact(F.array(
+        found(thing & (F.coalesce("compartment", F.lit("")) == ""), "missing_compartments", "no subcellular location recorded"),
+        found(step & ~F.col("act") & (says | F.col("cof")), "missing_modifiers", F.concat_ws("; ", F.when(says, "reaction name implies enzymatic catalysis"), F.when(F.col("cof"), "reactant list includes known cofactors"))),
+        found(thing & F.col("label").rlike(vocab.COMPLEX_NAMES), "possible_complexes", "name suggests a complex or subunit"),
+        found(step & (moves | F.col("both")), "transport_like_reactions", F.concat_ws("; ", F.when(F.col("both"), "same species appear as both input and output"), F.when(moves, "reaction name implies transport"))),
+        found(~F.col("linked"), "orphan_nodes", "degree 0"),
+    ))
+    parts = [node.select("pathway_id", F.inline(flags))]
     kinds = edges.join(label.select("pathway_id", F.col("entity").alias("source"), F.col("label").alias("s_label"), F.col("kind").alias("s_kind")), ["pathway_id", "source"], "left").join(label.select("pathway_id", F.col("entity").alias("target"), F.col("label").alias("t_label"), F.col("kind").alias("t_kind")), ["pathway_id", "target"], "left")
     wrong = F.when(F.col("role").isin("catalyst", "modifier") & (F.col("s_kind") == "compound"), F.struct(F.col("s_label").alias("subject"), F.concat(F.lit("compound used as "), "role").alias("reason"))).when((F.col("role") == "reactant") & (F.col("s_kind") == "protein"), F.struct(F.col("s_label").alias("subject"), F.concat(F.lit("protein listed as reactant in "), "t_label").alias("reason"))).when((F.col("role") == "product") & (F.col("t_kind") == "protein"), F.struct(F.col("t_label").alias("subject"), F.concat(F.lit("protein listed as product in "), "s_label").alias("reason")))
     bad = kinds.select("pathway_id", wrong.alias("w")).where("w is not null").select("pathway_id", "w.subject", "w.reason").distinct()
@@ -184,7 +188,7 @@ def qa_flags(nodes: DataFrame, edges: DataFrame, unmapped: DataFrame | None = No
     if unmapped is not None:
         parts.append(flag(unmapped, "missing_ids", "name", F.col("kind")))
     if empty is not None:
-        parts.append(flag(empty, "empty_reactions", "name", "a side is empty"))
+        parts.append(flag(empty, "empty_reactions", "name", F.lit("a side is empty")))
     return union_all(parts)
 
 
@@ -222,32 +226,72 @@ def producer_consumer(participants: DataFrame, cofactors: DataFrame | None = Non
     return made.join(took, ["pathway_id", "entity"]).where("producer <> consumer").select("pathway_id", "producer", "consumer").distinct()
 
 
-def topological_ranks(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def topological_ranks(nodes: DataFrame, edges: DataFrame, most: int = MAX_EDGES_IN_TASK) -> DataFrame:
     """``pathway_id, node, rank, in_cycle``: a node's rank is one more than that of the last of its sources. What is
-    in or behind a cycle gets the rank after the last, and the flag. ``edges(pathway_id, source, target)``.
+    in or behind a cycle gets the rank after the last, and the flag. ``edges(pathway_id, source, target)``; those with an
+    end that is no node are left out.
+
+    Pathways are ranked in tasks, many at once; those of more than ``most`` edges by rounds over the cluster."""
+    nodes = durable(nodes.select("pathway_id", "node").distinct())
+    end = lambda c: nodes.select("pathway_id", F.col("node").alias(c))
+    known = edges.where("source <> target").select("pathway_id", "source", "target").distinct()
+    known = durable(known.join(end("source"), ["pathway_id", "source"], "left_semi").join(end("target"), ["pathway_id", "target"], "left_semi"))
+    large = durable(known.groupBy("pathway_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("pathway_id"))
+    kinds = [nodes.schema[c].dataType.simpleString() for c in ("pathway_id", "node")]
+    rows = nodes.select("pathway_id", "node", F.col("node").alias("target"), F.lit(False).alias("edge")).unionByName(known.select("pathway_id", F.col("source").alias("node"), "target", F.lit(True).alias("edge")))
+    ddl = f"pathway_id {kinds[0]}, node {kinds[1]}, rank int, in_cycle boolean"
+    if large.isEmpty():
+        return _dealt(rows).mapInPandas(lambda it: _by_pathway(it, _ranks), ddl)
+    small = _dealt(rows.join(large, "pathway_id", "left_anti")).mapInPandas(lambda it: _by_pathway(it, _ranks), ddl)
+    return small.unionByName(_peeled(nodes.join(large, "pathway_id", "left_semi"), known.join(large, "pathway_id", "left_semi")))
+
 
-    Each round peels the nodes without open sources and is written to the shared folder."""
-    nodes = nodes.select("pathway_id", "node").distinct()
-    left = durable(edges.where("source <> target").select("pathway_id", "source", "target").distinct())
-    open_ = durable(nodes)
+def _ranks(f: pd.DataFrame) -> pd.DataFrame:
+    """Ranks of some whole pathways: level by level, each edge looked at once."""
+    ends = pd.DataFrame({"pathway_id": pd.concat([f["pathway_id"]] * 2, ignore_index=True), "node": pd.concat([f["node"], f["target"]], ignore_index=True)})
+    code = ends.groupby(["pathway_id", "node"], sort=True).ngroup().to_numpy()
+    edge = f["edge"].to_numpy()
+    s, t = code[: len(f)][edge], code[len(f) :][edge]
+    n = int(code.max()) + 1
+    order = np.argsort(s, kind="stable")
+    t = t[order]
+    first = np.searchsorted(s[order], np.arange(n + 1))
+    waits = np.bincount(t, minlength=n)
+    rank = np.full(n, -1, dtype=np.int32)
+    now, level = np.flatnonzero(waits == 0), 0
+    while len(now):
+        rank[now] = level
+        sizes = first[now + 1] - first[now]
+        at = np.repeat(first[now] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        hit, times = np.unique(t[at], return_counts=True)
+        waits[hit] -= times
+        now, level = hit[waits[hit] == 0], level + 1
+    place = np.zeros(n, dtype=np.int64)
+    place[code] = np.arange(len(code))
+    pathway = ends["pathway_id"].to_numpy()[place]
+    out = pd.DataFrame({"pathway_id": pathway, "node": ends["node"].to_numpy()[place], "rank": rank, "in_cycle": rank < 0})
+    last = out.groupby("pathway_id")["rank"].transform("max").to_numpy()
+    out["rank"] = np.where(rank < 0, last + 1, rank).astype(np.int32)
+    return out
+
+
+def _peeled(open_: DataFrame, left: DataFrame) -> DataFrame:
+    """The same by rounds: each takes the nodes without open sources and is written to the shared folder, until none is found."""
     done: list[DataFrame] = []
-    for k in range(max_rounds):
+    while True:
         waiting = left.select("pathway_id", F.col("target").alias("node")).distinct()
-        ready = durable(open_.join(waiting, ["pathway_id", "node"], "left_anti").withColumn("rank", F.lit(k)))
+        ready = durable(open_.join(waiting, ["pathway_id", "node"], "left_anti").withColumn("rank", F.lit(len(done))))
         if ready.isEmpty():
             break
         done.append(ready)
         open_ = durable(open_.join(ready, ["pathway_id", "node"], "left_anti"))
         left = durable(left.join(ready.select("pathway_id", F.col("node").alias("source")), ["pathway_id", "source"], "left_anti"))
-        if open_.isEmpty():
-            break
-    ranked = [d.withColumn("in_cycle", F.lit(False)) for d in done]
-    rest = open_
-    if ranked:
-        last = union_all(ranked).groupBy("pathway_id").agg(F.max("rank").alias("m"))
-        rest = open_.join(last, "pathway_id", "left").select("pathway_id", "node", (F.coalesce("m", F.lit(-1)) + 1).alias("rank"), F.lit(True).alias("in_cycle"))
-        return union_all([*ranked, rest])
-    return rest.select("pathway_id", "node", F.lit(0).alias("rank"), F.lit(True).alias("in_cycle"))
+    if not done:
+        return open_.select("pathway_id", "node", F.lit(0).alias("rank"), F.lit(True).alias("in_cycle"))
+    ranked = union_all([d.withColumn("in_cycle", F.lit(False)) for d in done])
+    last = ranked.groupBy("pathway_id").agg(F.max("rank").alias("m"))
+    rest = open_.join(last, "pathway_id", "left").select("pathway_id", "node", (F.coalesce("m", F.lit(-1)) + 1).alias("rank"), F.lit(True).alias("in_cycle"))
+    return ranked.unionByName(rest)
 
 
 def lanes(ranks: DataFrame) -> DataFrame:
@@ -280,6 +324,7 @@ def normalise_draft(nodes: DataFrame, edges: DataFrame, same_as: DataFrame) -> t
     """Merges entity nodes that share a label or that SAME_AS edges (``pathway_id, a, b``) join, under the least id
     and the longest label; moves edges along; lists conflicts (``pathway_id, node, issue``): an entity that is both
     modifier and reactant of a process, and processes without a side."""
+    nodes, edges = durable(nodes), durable(edges)
     thing = nodes.where(F.col("kind").isin(*ENTITY_KINDS))
     alike = thing.groupBy("pathway_id", N.graph_id(F.col("label")).alias("k")).agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
     by_label = thing.withColumn("k", N.graph_id(F.col("label"))).join(alike, ["pathway_id", "k"]).select("pathway_id", F.col("id").alias("a"), "b")

@@ -68,19 +68,50 @@ steps AS (SELECT pathway_id, concat(lower(priority), CASE WHEN rn > 1 THEN conca
 nodes AS (SELECT * FROM things UNION ALL SELECT pathway_id, id, label, kind, compartment FROM steps),
 ends AS (SELECT pathway_id, process, role, lower(p_name) AS entity FROM {participants} p JOIN part ON concat('c', p_partkey) = entity UNION ALL SELECT pathway_id, process, 'catalyst', lower(s_name) FROM {participants} p JOIN supplier ON concat('p', s_suppkey) = modifier WHERE pos % 3 = 0),
 edges AS (SELECT DISTINCT ends.pathway_id, CASE WHEN role = 'product' THEN id ELSE entity END AS source, CASE WHEN role = 'product' THEN entity ELSE id END AS target, role FROM ends JOIN steps ON ends.pathway_id = steps.pathway_id AND process = pos)"""
-_FLAGS = """, fed AS (SELECT pathway_id, source AS entity, target AS id FROM edges WHERE role = 'reactant'), gives AS (SELECT pathway_id, target AS entity, source AS id FROM edges WHERE role = 'product'),
-flags AS (SELECT pathway_id, 'missing_compartments' AS flag, label AS subject, 'no subcellular location recorded' AS reason FROM things WHERE compartment IS NULL
-UNION ALL SELECT pathway_id, 'possible_complexes', label, 'name suggests a complex or subunit' FROM things WHERE regexp_matches(lower(label), '\\b(complex|subunit|hetero|homo)\\b|:')
-UNION ALL SELECT pathway_id, 'transport_like_reactions', label, 'same species appear as both input and output' FROM steps s WHERE EXISTS (SELECT 1 FROM fed JOIN gives USING (pathway_id, entity, id) WHERE fed.pathway_id = s.pathway_id AND fed.id = s.id)
-UNION ALL SELECT pathway_id, 'orphan_nodes', label, 'degree 0' FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.pathway_id = n.pathway_id AND (e.source = n.id OR e.target = n.id)))"""
+#: A draft graph in which every flag occurs: some parts are proteins and some suppliers compounds, names tell of cofactors,
+#: complexes, catalysis and transport.
+_ODD = """, things_ AS (SELECT pathway_id, id, CASE WHEN kind = 'compound' AND length(id) % 11 = 0 THEN 'ATP' WHEN length(id) % 13 = 0 THEN concat(label, ' complex') ELSE label END AS label,
+    CASE WHEN kind = 'compound' AND length(id) % 7 = 0 THEN 'protein' WHEN kind = 'protein' AND id LIKE '%3' THEN 'compound' ELSE kind END AS kind, compartment FROM things),
+steps_ AS (SELECT pathway_id, id, concat(label, CASE length(id) % 3 WHEN 0 THEN ' Phosphorylation' WHEN 1 THEN ' transport' ELSE '' END) AS label, kind, compartment FROM steps), nodes_ AS (SELECT * FROM things_ UNION ALL SELECT * FROM steps_)"""
+_FLAGS = """, ends_ AS MATERIALIZED (SELECT DISTINCT pathway_id, id FROM (SELECT pathway_id, source AS id FROM edges UNION ALL SELECT pathway_id, target FROM edges)),
+fed AS MATERIALIZED (SELECT pathway_id, source AS entity, target AS id FROM edges WHERE role = 'reactant'), gives AS MATERIALIZED (SELECT pathway_id, target AS entity, source AS id FROM edges WHERE role = 'product'),
+acted AS MATERIALIZED (SELECT DISTINCT pathway_id, target AS id FROM edges WHERE role IN ('catalyst', 'modifier')), both_ AS MATERIALIZED (SELECT DISTINCT pathway_id, id FROM fed SEMI JOIN gives USING (pathway_id, entity, id)),
+cof AS MATERIALIZED (SELECT DISTINCT f.pathway_id, f.id FROM fed f JOIN nodes_ n ON n.pathway_id = f.pathway_id AND n.id = f.entity WHERE lower(n.label) IN ('atp', 'water')),
+st AS MATERIALIZED (SELECT s.*, a.id IS NOT NULL AS act, b.id IS NOT NULL AS b, c.id IS NOT NULL AS c, regexp_matches(label, '(?i)\\bphosphorylation\\b') AS says, regexp_matches(label, '(?i)\\btransport\\b') AS moves
+    FROM steps_ s LEFT JOIN acted a ON a.pathway_id = s.pathway_id AND a.id = s.id LEFT JOIN both_ b ON b.pathway_id = s.pathway_id AND b.id = s.id LEFT JOIN cof c ON c.pathway_id = s.pathway_id AND c.id = s.id),
+kinds AS MATERIALIZED (SELECT e.pathway_id, e.role, a.label AS s_label, a.kind AS s_kind, b.label AS t_label, b.kind AS t_kind FROM edges e LEFT JOIN nodes_ a ON a.pathway_id = e.pathway_id AND a.id = e.source LEFT JOIN nodes_ b ON b.pathway_id = e.pathway_id AND b.id = e.target),
+flags AS (SELECT pathway_id, 'missing_compartments' AS flag, label AS subject, 'no subcellular location recorded' AS reason FROM things_ WHERE compartment IS NULL
+UNION ALL SELECT pathway_id, 'possible_complexes', label, 'name suggests a complex or subunit' FROM things_ WHERE regexp_matches(lower(label), '\\b(complex|subunit|hetero|homo)\\b|:')
+UNION ALL SELECT pathway_id, 'missing_modifiers', label, concat_ws('; ', CASE WHEN says THEN 'reaction name implies enzymatic catalysis' END, CASE WHEN c THEN 'reactant list includes known cofactors' END) FROM st WHERE NOT act AND (says OR c)
+UNION ALL SELECT pathway_id, 'transport_like_reactions', label, concat_ws('; ', CASE WHEN b THEN 'same species appear as both input and output' END, CASE WHEN moves THEN 'reaction name implies transport' END) FROM st WHERE b OR moves
+UNION ALL SELECT n.pathway_id, 'orphan_nodes', label, 'degree 0' FROM nodes_ n ANTI JOIN ends_ e ON e.pathway_id = n.pathway_id AND e.id = n.id
+UNION ALL SELECT DISTINCT pathway_id, 'inconsistent_class', CASE WHEN role = 'product' THEN t_label ELSE s_label END, CASE role WHEN 'catalyst' THEN 'compound used as catalyst' WHEN 'reactant' THEN concat('protein listed as reactant in ', t_label) ELSE concat('protein listed as product in ', s_label) END
+    FROM kinds WHERE (role = 'catalyst' AND s_kind = 'compound') OR (role = 'reactant' AND s_kind = 'protein') OR (role = 'product' AND t_kind = 'protein')
+UNION ALL SELECT pathway_id, 'missing_ids', label, kind FROM things_ WHERE length(id) % 5 = 0 UNION ALL SELECT pathway_id, 'empty_reactions', label, 'a side is empty' FROM steps_ WHERE length(id) % 4 = 0)"""
+
+
+def odd(t):
+    n, e = draft(t)
+    size = F.length("id")
+    thing = C("kind") != "reaction"
+    label = F.when((C("kind") == "compound") & (size % 11 == 0), "ATP").when(thing & (size % 13 == 0), F.concat("label", F.lit(" complex"))).when(thing, C("label")).otherwise(F.concat("label", F.when(size % 3 == 0, " Phosphorylation").when(size % 3 == 1, " transport").otherwise("")))
+    kind = F.when((C("kind") == "compound") & (size % 7 == 0), "protein").when((C("kind") == "protein") & C("id").endswith("3"), "compound").otherwise(C("kind"))
+    return n.select("pathway_id", "id", label.alias("label"), kind.alias("kind"), "compartment"), e
+
+
+def flagged(t):
+    n, e = odd(t)
+    lost = n.where((C("kind") != "reaction") & (F.length("id") % 5 == 0)).select("pathway_id", C("label").alias("name"), "kind")
+    return G.qa_flags(n, e, lost, n.where((C("kind") == "reaction") & (F.length("id") % 4 == 0)).select("pathway_id", C("label").alias("name")))
+
 
 query("H06_draft_nodes", f"WITH {_DRAFT} SELECT * FROM nodes")(lambda t: draft(t)[0])
 query("H06_draft_edges", f"WITH {_DRAFT} SELECT * FROM edges")(lambda t: draft(t)[1])
-query("H07_orphan_nodes", f"WITH {_DRAFT} SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.pathway_id = n.pathway_id AND e.source = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.pathway_id = n.pathway_id AND e.target = n.id)")(lambda t: G.orphan_nodes(*draft(t)))
-query("H08_qa_flags", f"WITH {_DRAFT}{_FLAGS.replace(' OR e.target = n.id', '').replace('e.source = n.id', 'n.id IN (e.source, e.target)')} SELECT * FROM flags")(lambda t: G.qa_flags(*draft(t)))
-query("D09_completeness", f"WITH {_DRAFT}{_FLAGS.replace(' OR e.target = n.id', '').replace('e.source = n.id', 'n.id IN (e.source, e.target)')}" + """, i AS (SELECT pathway_id, count(*) AS issues FROM flags WHERE flag IN ('missing_compartments', 'orphan_nodes') GROUP BY 1)
-    SELECT pathway_id, count(*) FILTER (kind <> 'reaction') AS species, count(*) FILTER (kind = 'reaction') AS reactions, coalesce(any_value(issues), 0) AS issues, round(greatest(0.0, 1 - coalesce(any_value(issues), 0) / greatest(1, count(*))), 3) AS score FROM nodes LEFT JOIN i USING (pathway_id) GROUP BY 1""")(
-    lambda t: (lambda n, e: G.completeness(n, G.qa_flags(n, e)))(*draft(t))
+query("H07_orphan_nodes", f"WITH {_DRAFT}, ends_ AS MATERIALIZED (SELECT pathway_id, source AS id FROM edges UNION ALL SELECT pathway_id, target FROM edges) SELECT n.* FROM nodes n ANTI JOIN ends_ e ON e.pathway_id = n.pathway_id AND e.id = n.id")(lambda t: G.orphan_nodes(*draft(t)))
+query("H08_qa_flags", f"WITH {_DRAFT}{_ODD}{_FLAGS} SELECT * FROM flags")(flagged)
+query("D09_completeness", f"WITH {_DRAFT}{_ODD}{_FLAGS}" + """, i AS (SELECT pathway_id, count(*) AS issues FROM flags WHERE flag NOT IN ('possible_complexes', 'transport_like_reactions') GROUP BY 1)
+    SELECT pathway_id, count(*) FILTER (kind <> 'reaction') AS species, count(*) FILTER (kind = 'reaction') AS reactions, coalesce(any_value(issues), 0) AS issues, round(greatest(0.0, 1 - coalesce(any_value(issues), 0) / greatest(1, count(*))), 3) AS score FROM nodes_ LEFT JOIN i USING (pathway_id) GROUP BY 1""")(
+    lambda t: G.completeness(odd(t)[0], flagged(t))
 )
 
 

@@ -66,23 +66,23 @@ def reactions(p: DataFrame) -> DataFrame:
 
 def participants(p: DataFrame) -> DataFrame:
     """``pathway_id, process_kind, process, role, pos, entity`` of all kinds of processes."""
-    cols = ["pathway_id", "process_kind", "process", "role", "pos", "entity"]
-    parts = []
-    r = p.select("pathway_id", F.posexplode("processes.reactions").alias("process", "r"))
-    for field, role in (("inputs", "reactant"), ("outputs", "product")):
-        parts.append(r.select("pathway_id", F.lit("reaction").alias("process_kind"), "process", F.lit(role).alias("role"), F.posexplode(f"r.{field}").alias("pos", "entity")))
-    t = p.select("pathway_id", F.posexplode("processes.transports").alias("process", "r"))
-    parts.append(t.select("pathway_id", F.lit("transport").alias("process_kind"), "process", F.lit("cargo").alias("role"), F.lit(0).alias("pos"), F.col("r.cargo").alias("entity")))
-    i = p.select("pathway_id", F.posexplode("processes.interactions").alias("process", "r"))
-    for n, field in enumerate(("entity_1", "entity_2")):
-        parts.append(i.select("pathway_id", F.lit("interaction").alias("process_kind"), "process", F.lit(field).alias("role"), F.lit(n).alias("pos"), F.col(f"r.{field}").alias("entity")))
-    for frame, kind, field, role in ((r, "reaction", "enzymes", "enzyme"), (r, "reaction", "modifiers", "modifier"), (t, "transport", "transporters", "transporter")):
-        e = frame.select("pathway_id", "process", F.posexplode(f"r.{field}").alias("pos", "a"))
-        parts.append(e.select("pathway_id", F.lit(kind).alias("process_kind"), "process", F.lit(role).alias("role"), "pos", actor_name(F.col("a")).alias("entity")))
-    out = parts[0].select(*cols)
-    for x in parts[1:]:
-        out = out.unionByName(x.select(*cols))
-    return out
+    # each payload's rows as one array, so that it is read and parsed once
+    row = lambda kind, n, role, pos, name: F.struct(F.lit(kind).alias("process_kind"), n.alias("process"), F.lit(role).alias("role"), pos.alias("pos"), name.alias("entity"))
+
+    def side(kind: str, field: str, role: str, name=lambda x: x):
+        return lambda r, n: F.transform(r[field], lambda x, i: row(kind, n, role, i, name(x)))
+
+    def one(kind: str, field: str, role: str, pos: int):
+        return lambda r, n: F.array(row(kind, n, role, F.lit(pos), r[field]))
+
+    wanted = {
+        "reactions": [side("reaction", "inputs", "reactant"), side("reaction", "outputs", "product"), side("reaction", "enzymes", "enzyme", actor_name), side("reaction", "modifiers", "modifier", actor_name)],
+        "transports": [one("transport", "cargo", "cargo", 0), side("transport", "transporters", "transporter", actor_name)],
+        "interactions": [one("interaction", "entity_1", "entity_1", 0), one("interaction", "entity_2", "entity_2", 1)],
+    }
+    none = F.array().cast("array<struct<process_kind:string,process:int,role:string,pos:int,entity:string>>")
+    rows = [F.coalesce(F.flatten(F.transform(f"processes.{key}", lambda r, n: F.coalesce(f(r, n), none))), none) for key, parts in wanted.items() for f in parts]
+    return p.select("pathway_id", F.inline(F.concat(*rows)))
 
 
 def assemble(ents: DataFrame, rxns: DataFrame) -> DataFrame:
