@@ -30,7 +30,13 @@ RUN = 3
 #: Words that make a window of fewer lines.
 LONG_WORDS = 50
 
-_CONTENT = r"[^\x20\x09-\x0D]"
+_BLANKS = " \t\n\x0b\f\r"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _counts(line: Column) -> Column:
+    """Whether a line counts: trimming stops at the first character that isn't blank and decodes nothing."""
+    return F.btrim(line, F.lit(_BLANKS)) != ""
 
 
 def _lines(text: Column) -> Column:
@@ -39,16 +45,16 @@ def _lines(text: Column) -> Column:
 
 def _places(text: Column) -> Column:
     """Places, among all lines, of the lines that count."""
-    return F.filter(F.transform(_lines(text), lambda x, i: F.when(x.rlike(_CONTENT), i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(_lines(text), lambda x, i: F.when(_counts(x), i)), lambda i: i.isNotNull())
 
 
 def _hashes(text: Column) -> Column:
-    return F.transform(F.filter(_lines(text), lambda x: x.rlike(_CONTENT)), lambda x: F.xxhash64(x))
+    return F.transform(F.filter(_lines(text), _counts), lambda x: F.xxhash64(x))
 
 
 def _word_counts(text: Column) -> Column:
     """The number of words of each line that counts."""
-    return F.filter(F.transform(_lines(text), lambda x: F.regexp_count(x, F.lit(_CONTENT + "+"))), lambda n: n > 0)
+    return F.filter(F.transform(_lines(text), lambda x: F.regexp_count(x, F.lit(_WORD))), lambda n: n > 0)
 
 
 def _keys(documents: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -148,12 +154,12 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = F.transform("cuts", lambda c: F.struct(F.get("at", c["a"] - 1).alias("s"), F.get("at", c["b"] - 2).alias("e")))
     held = held.withColumn("spans", spans)
     since = lambda i: F.coalesce(F.when(i > 0, F.get("spans", i - 1)["e"]), F.lit(-1)) + 1
-    blank = lambda x: ~x.rlike(_CONTENT)
+    blank = lambda x: ~_counts(x)
     pieces = F.transform("spans", lambda s, i: F.concat(F.slice("lines", since(i) + 1, s["s"] - since(i)), F.filter(F.slice("lines", s["s"] + 1, s["e"] - s["s"] + 1), blank)))
     end = since(F.size("spans"))
     kept = F.array_join(F.concat(F.flatten(pieces), F.slice("lines", end + 1, F.size("lines") - end)), "\n")
     new = F.when(F.col("cuts").isNull(), text).otherwise(kept)
-    counted = F.when(text.isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x.rlike(_CONTENT)))).cast("long")
+    counted = F.when(text.isNull(), 0).otherwise(F.size(F.filter("lines", _counts))).cast("long")
     gone = F.coalesce(F.aggregate("cuts", F.lit(0), lambda n, c: n + c["b"] - c["a"]), F.lit(0)).cast("long")
     others = [(new if c == text_col else F.col("row").getField(c)).alias(c) for c in documents.columns if c not in ADDED]
     return held.select(*others, counted.alias("n_lines"), gone.alias("n_removed_lines"))

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,7 +46,8 @@ PATTERNS = ((1, 3), (2, 7), (4, 10), (1, 5))
 #: One of so many fingerprints tells which postings are dense: those with so many of it, the densest first.
 SAMPLE, DENSE, MAX_DENSE = 64, 1000, 10_000
 
-_LIST = 64  # members of a list whose pairs are all looked at
+_LIST = 3  # members of a list whose pairs are all wanted, where pairs are
+_SPLIT = 64  # members of a list that is not yet split by a further byte
 _TABLE = 2048  # the same, where only links are wanted
 _PER_SALT = 256
 
@@ -131,11 +133,11 @@ def _keys(fp: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:
 
 
 def _post(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], dense: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``(key, sub, fp, flag)``. A dense posting is dealt by each further position's byte, which is ``sub``; else that is -1."""
+    """``(key, sub, fp)``. A dense posting is dealt by each further position's byte, which is ``sub``; else that is -1."""
     for batch in batches:
-        every, marks = _lanes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        every = _lanes(batch.column(0))
         for a in range(0, len(every), 1024):
-            fp, flag = every[a : a + 1024], marks[a : a + 1024]
+            fp = every[a : a + 1024]
             key = _keys(fp, sets).ravel()
             of = np.repeat(np.arange(len(fp)), len(sets))
             sub = np.full(len(key), -1, dtype=np.int32)
@@ -146,8 +148,8 @@ def _post(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], dense:
                 cold = np.setdiff1d(np.arange(len(key)), hot)
                 k, s, o = (np.array(x, dtype=np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 3
                 key, sub, of = np.concatenate((key[cold], k)), np.concatenate((sub[cold], s.astype(np.int32))), np.concatenate((of[cold], o))
-            schema = pa.schema([("key", pa.int64()), ("sub", pa.int32()), ("fp", batch.schema.field(0).type), ("flag", pa.bool_())])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sub), _column(fp, schema.field(2).type).take(pa.array(of)), pa.array(flag[of])], schema=schema)
+            schema = pa.schema([("key", pa.int64()), ("sub", pa.int32()), ("fp", batch.schema.field(0).type)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sub), _column(fp, schema.field(2).type).take(pa.array(of))], schema=schema)
 
 
 def _ones(d: np.ndarray) -> np.ndarray:
@@ -244,25 +246,17 @@ def _stars(fp: np.ndarray, close: Tally, whole: bool) -> _Pairs:
     return out
 
 
-def _list_pairs(fp: np.ndarray, flag: np.ndarray, key: np.ndarray, sub: np.ndarray, free: list[tuple[int, ...]], close: Tally, whole: bool) -> _Pairs:
+def _list_pairs(fp: np.ndarray, key: np.ndarray, sub: np.ndarray, free: list[tuple[int, ...]], close: Tally, whole: bool) -> _Pairs:
     """The pairs needed of all lists, which are in order of ``key, sub``. ``free`` gives for a list's set the other positions."""
     if not len(fp):
         return []
     starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
     sizes = np.diff(np.append(starts, len(fp)))
-    if flag.any():  # only pairs with a flagged member, and all of them
-        out = []
-        for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            for i in s + np.flatnonzero(flag[s : s + n]):
-                j = s + np.flatnonzero(close(fp[s : s + n], fp[i : i + 1]))
-                out.append((np.full(len(j), i), j, np.arange(len(j)) // _PER_SALT))
-        return out
-    out = _few(fp, starts, sizes, close, 8)
-    for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
+    few = _LIST if whole else 8
+    out = _few(fp, starts, sizes, close, few)
+    for s, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
         mine = fp[s : s + n]
-        if n <= _LIST:
-            got = _few(mine, np.zeros(1, dtype=np.int64), np.array([n]), close, n) if whole else _table(mine, close)
-        elif free and sub[s] < 0:
+        if n > _SPLIT and free and sub[s] < 0:
             # close pairs share a further byte: lists by position and byte, in which that minimum is reached
             b, reached = np.ascontiguousarray(mine).view(np.uint8).reshape(n, -1), Tally(0 if close.shared == 4 else close.shared, close.bits)
             got = []
@@ -291,9 +285,9 @@ def _met(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], size: i
     kind = None
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key, sub, flag = (rows.column(i).to_numpy() for i in (0, 1, 3))
+        key, sub = (rows.column(i).to_numpy() for i in (0, 1))
         fp = _lanes(rows.column(2).combine_chunks())
-        got = _list_pairs(fp, flag, key, sub, free, close, whole)
+        got = _list_pairs(fp, key, sub, free, close, whole)
         i, j, t = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, dtype=np.int64),) * 3
         some = (fp[i] != fp[j]).any(axis=1)
         i, j, t = i[some], j[some], t[some]
@@ -316,23 +310,23 @@ def _met(batches: Iterator[pa.RecordBatch], sets: list[tuple[int, ...]], size: i
         yield pairs(pa.Table.from_batches(held))
 
 
-def _pairs(marked: DataFrame, sets: list[tuple[int, ...]], size: int, shared: int, bits: int, whole: bool) -> DataFrame:
-    """Pairs ``(a, b, salt)`` of the fingerprints ``(fp, flag)``."""
-    kind = marked.schema["fp"].dataType.simpleString()
-    n = max(8, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dense = _dense_postings(marked, sets) if shared > len(sets[0]) else np.zeros(0, dtype=np.int64)
-    posted = marked.select("fp", "flag").mapInArrow(lambda it: _post(it, sets, dense), f"key long, sub int, fp {kind}, flag boolean")
+def _pairs(distinct: DataFrame, sets: list[tuple[int, ...]], size: int, shared: int, bits: int, whole: bool) -> DataFrame:
+    """Pairs ``(a, b, salt)`` of the fingerprints ``(fp)``."""
+    kind = distinct.schema["fp"].dataType.simpleString()
+    n = max(8, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dense = _dense_postings(distinct, sets) if shared > len(sets[0]) else np.zeros(0, dtype=np.int64)
+    posted = distinct.select("fp").mapInArrow(lambda it: _post(it, sets, dense), f"key long, sub int, fp {kind}")
     return posted.repartition(n, "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(lambda it: _met(it, sets, size, shared, bits, whole), f"a {kind}, b {kind}, salt int")
 
 
-def _dense_postings(marked: DataFrame, sets: list[tuple[int, ...]]) -> np.ndarray:
+def _dense_postings(distinct: DataFrame, sets: list[tuple[int, ...]]) -> np.ndarray:
     """Keys that very many fingerprints share, as a sample tells; they decide on the dealing alone. ``MAX_DENSE`` at most."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_keys(_lanes(batch.column(0)), sets).ravel())], names=["key"])
 
-    sample = marked.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLE)) == 0).select("fp")
+    sample = distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLE)) == 0).select("fp")
     rows = sample.mapInArrow(keys, "key long").groupBy("key").count().where(F.col("count") >= DENSE).orderBy(F.desc("count"), "key").limit(MAX_DENSE).collect()
     return np.array(sorted(r["key"] for r in rows), dtype=np.int64)
 
@@ -342,7 +336,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     shared = 8 - bits
     if shared < 1:
         raise ValueError("the index needs at least one byte that both sides share")
-    return _pairs(distinct.select("fp", F.lit(False).alias("flag")), posting_sets(shared), 8, shared, bits, False).select("a", "b")
+    return _pairs(distinct, posting_sets(shared), 8, shared, bits, False).select("a", "b")
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -417,6 +411,57 @@ def _tested(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "b").join(hubs, ["a", "salt"]).select("a", "b", "star", "x", "y").mapInArrow(lambda it: _similar(it, similarity), "a binary, b binary, star boolean, similar boolean")
 
 
+#: Bytes of shingle sets in a block; a larger group of candidates is compared block with block, each pair of blocks in a task.
+BLOCK_BYTES = 8 << 20
+
+
+def _looked_over(pairs: DataFrame, lone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of the texts ``lone(th)`` with any text of their group of candidates: enough of them to connect
+    all that are so similar."""
+    groups = durable(connected_components(pairs.select("a", "b")))
+    mine = lone.withColumn("lone", F.lit(True))
+    marked = groups.join(mine, groups["node"] == mine["th"], "left").select("node", "component", F.coalesce("lone", F.lit(False)).alias("lone"))
+    held = durable(marked.join(marked.where("lone").select("component").distinct(), "component", "left_semi").join(sets, F.col("node") == F.col("th")).select("component", "th", "shingles", "lone"))
+    blocks = held.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = held.join(blocks, "component").withColumn("at", F.pmod(F.xxhash64("th"), F.greatest("blocks", F.lit(1))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    asked = dealt.where("lone").select("component", F.col("at").alias("i"), F.col("other").alias("j"), "th", "shingles", F.lit(True).alias("asks"))
+    told = dealt.select("component", F.col("other").alias("i"), F.col("at").alias("j"), "th", "shingles", F.lit(False).alias("asks"))
+    return asked.unionByName(told).groupBy("component", "i", "j").applyInPandas(lambda f: _block_links(f, similarity), "a binary, b binary")
+
+
+def _block_links(frame: pd.DataFrame, similarity: float, columns: int = 4096) -> pd.DataFrame:
+    """Stars of the links between those that ask and all others of two blocks, by the number of shingles that they share."""
+    frame = frame.sort_values(["asks", "th"], ascending=[False, True])
+    asks = frame["asks"].to_numpy()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    several = times[code] > 1
+    row, code = row[several], np.unique(code[several], return_inverse=True)[1]
+    n = int(asks.sum())
+    both = np.zeros((n, len(sets) - n), dtype=np.float32)
+    for a in range(0, int(code.max()) + 1 if len(code) else 0, columns):
+        some = (code >= a) & (code < a + columns)
+        held = np.zeros((len(sets), columns), dtype=np.float32)
+        held[row[some], code[some] - a] = 1
+        both += held[:n] @ held[n:].T
+    every = sizes[:n, None] + sizes[None, n:] - both
+    i, j = np.nonzero((every == 0) | (both >= similarity * every - 1e-6))
+    # one node for a text that stands on both sides
+    names, node = np.unique(np.array([bytes(x) for x in frame["th"]], dtype=object), return_inverse=True)
+    label, x, y = np.arange(len(names)), node[i], node[n + j]
+    while True:
+        before = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == before).all():
+            break
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"a": names[label[own]], "b": names[own]})
+
+
 def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
     """Per document: ``component_id``, the smallest id that is reachable by links of texts whose shingles are so similar."""
     kind = documents.schema[id_col].dataType.simpleString()
@@ -426,37 +471,25 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     distinct = durable(marked.groupBy("th", "fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")))
     # one text stands for a fingerprint; others of the same are held against it
     shown = durable(distinct.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("texts")))
-    sets = wide_sets()
-    size = 8 * WIDE_LANES
-
-    def candidates(flagged: DataFrame | None) -> DataFrame:
-        marks = shown.select("fp", F.lit(False).alias("flag")) if flagged is None else shown.join(flagged, "fp", "left").select("fp", F.coalesce("flag", F.lit(False)).alias("flag"))
-        met = _pairs(marks, sets, size, len(sets[0]), WIDE_BITS, True)
-        met = met.groupBy("a", "b").agg(F.max(F.col("salt") >= 0).alias("star"), F.min(F.greatest("salt", F.lit(0))).alias("salt"))
-        x, y = (shown.select(F.col("fp").alias(k), F.col("th").alias(f"t{k}")) for k in ("a", "b"))
-        return met.join(y, "b").join(x, "a").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "star", "salt")
-
-    same = distinct.select("th", "fp").join(shown.where("texts > 1").select("fp", F.col("th").alias("a")), "fp").where("a <> th").select("a", F.col("th").alias("b"), F.lit(False).alias("star"), F.pmod(F.xxhash64("th"), F.lit(64)).cast("int").alias("salt"))
-    pairs = durable(candidates(None).unionByName(same))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
-        # rows are found by their id, which deals them evenly; one row gives a text's set
-        one = distinct.join(ends, "th").select(F.col("th").alias("_th"), "least")
-        held = texts.join(one, texts["_id"].eqNullSafe(one["least"])).where("th = _th").select("th", "_text")
-        made = held.mapInArrow(lambda it: _shingle_sets(it, words), "th binary, shingles binary").groupBy("th").agg(F.first("shingles").alias("shingles"))
-        return durable(_tested(pairs, durable(made), similarity))
-
-    got = tested(pairs)
+    met = _pairs(shown, wide_sets(), 8 * WIDE_LANES, 3, WIDE_BITS, True)
+    met = met.groupBy("a", "b").agg(F.max(F.col("salt") >= 0).alias("star"), F.min(F.greatest("salt", F.lit(0))).alias("salt"))
+    x, y = (shown.select(F.col("fp").alias(k), F.col("th").alias(f"t{k}")) for k in ("a", "b"))
+    met = met.join(y, "b").join(x, "a").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "star", "salt")
+    same = distinct.select("th", "fp").join(shown.where("texts > 1").select("fp", F.col("th").alias("a")), "fp").where("a <> th").select("a", F.col("th").alias("b"), F.lit(True).alias("star"), F.pmod(F.xxhash64("th"), F.lit(64)).cast("int").alias("salt"))
+    pairs = durable(met.unionByName(same))
+    ends = pairs.select(F.col("a").alias("th")).union(pairs.select(F.col("b").alias("th"))).distinct()
+    # rows are found by their id, which deals them evenly; one row gives a text's set
+    one = distinct.join(ends, "th").select(F.col("th").alias("_th"), "least")
+    held = texts.join(one, texts["_id"].eqNullSafe(one["least"])).where("th = _th").select("th", "_text")
+    sets = durable(held.mapInArrow(lambda it: _shingle_sets(it, words), "th binary, shingles binary").groupBy("th").agg(F.first("shingles").alias("shingles")))
+    got = durable(_tested(pairs, sets, similarity))
     edges = got.where("similar").select("a", "b")
     label = durable(connected_components(edges))
-    # who was paired with a hub alone, is not like it and not linked with it otherwise, is held against all that it met
+    # who was paired with a hub alone, is not like it and not linked with it otherwise, is held against all that it could be like
     own, hub = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("b", "a"))
-    lone = got.where("star and not similar").join(own, "b", "left").join(hub, "a", "left").where(~F.coalesce("cb", "b").eqNullSafe(F.coalesce("ca", "a"))).select(F.col("b").alias("th")).distinct()
-    flagged = durable(distinct.join(lone, "th", "left_semi").select("fp", F.lit(True).alias("flag")).distinct())
-    if not flagged.isEmpty():
-        more = tested(durable(candidates(flagged)))
-        label = durable(connected_components(edges.unionByName(more.where("similar").select("a", "b"))))
+    lone = durable(got.where("star and not similar").join(own, "b", "left").join(hub, "a", "left").where(~F.coalesce("cb", "b").eqNullSafe(F.coalesce("ca", "a"))).select(F.col("b").alias("th")).distinct())
+    if not lone.isEmpty():
+        label = durable(connected_components(edges.unionByName(_looked_over(pairs, lone, sets, similarity))))
     named = distinct.join(label, distinct["th"] == label["node"], "left").select("th", "least", F.coalesce("component", "th").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     grouped = salted_join(named, least, ["c"]).select("th", "component_id")

@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def test_two_hundred_thousand_in_one_posting():
     free = [(3, 4, 5, 6, 7)]
     began = time.time()
     none = np.zeros(len(fp), dtype=np.int64)
-    got = simhash._list_pairs(fp, none.astype(bool), none, none - 1, free, simhash.Tally(4, 4), False)
+    got = simhash._list_pairs(fp, none, none - 1, free, simhash.Tally(4, 4), False)
     assert time.time() - began < 30
     found = {(min(a, b), max(a, b)) for i, j, _ in got for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     assert {(n, n + 1000) for n in range(1000)} <= found
@@ -115,7 +116,7 @@ def test_dense_postings_are_dealt_by_a_further_byte(spark, monkeypatch):
     df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
     want = labels([(a, b) for n, a in enumerate(fp.tolist()) for b in fp[n + 1 :].tolist() if (a ^ b).bit_count() <= 4], fp.tolist())
     monkeypatch.setattr(simhash, "DENSE", 5)
-    assert len(simhash._dense_postings(df.selectExpr("fp", "false AS flag"), simhash.posting_sets(4)))
+    assert len(simhash._dense_postings(df, simhash.posting_sets(4)))
     assert labels([(r.a, r.b) for r in simhash.links(df).collect()], fp.tolist()) == want
 
 
@@ -163,7 +164,7 @@ def test_similar_texts(spark):
     assert simhash.keep_one_similar(d).count() == 4
 
 
-def test_similar_texts_of_one_large_group(spark):
+def test_similar_texts_of_one_large_group(spark, monkeypatch):
     r = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     table = [(1000, " ".join(base))]
@@ -174,12 +175,30 @@ def test_similar_texts_of_one_large_group(spark):
         table.append((i, " ".join(w)))
     df = spark.createDataFrame(table, "doc_id long, text string")
     want = similar_labels(table)
-    # more than a list takes: hubs, and a second look at those unlike their hub
+    # more than a list takes: hubs, and a second look at those unlike their hub, in several blocks
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 1 << 16)
     got = {x.doc_id: x.component_id for x in simhash.similar_components(df).collect()}
     assert {i for i in got if got[i] != i} <= {i for i in want if want[i] != i}
     assert sum(got[i] != i for i in got) >= 0.95 * sum(want[i] != i for i in want)
 
 
+def test_blocks_find_all_links():
+    r = random.Random(2)
+    base = list(range(100))
+    sets = {}
+    for i in range(60):
+        x = set(base)
+        for at in r.sample(base, r.randint(0, 25)):
+            x.discard(at)
+            x.add(1000 * (i + 1) + at)
+        sets[i] = x
+    frame = [(k, i, np.array(sorted(sets[i]), dtype=np.uint64).tobytes()) for k, part in ((True, range(0, 40)), (False, range(0, 60))) for i in part]
+    rows = pd.DataFrame({"asks": [k for k, _, _ in frame], "th": [bytes([i]) for _, i, _ in frame], "shingles": [x for _, _, x in frame]})
+    got = simhash._block_links(rows, 0.8, columns=37)
+    want = labels([(a, b) for a in range(40) for b in range(60) if a != b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], range(60))
+    assert labels([(a[0], b[0]) for a, b in zip(got["a"], got["b"])], range(60)) == want and len(set(want.values())) > 3
+
+
 def brute_counts(text):
     w = BLANK.findall(text or "")
     seen, dup = set(), 0
