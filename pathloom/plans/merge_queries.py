@@ -57,8 +57,8 @@ query("D12_best_candidates", """SELECT user_id, k, confidence, CASE WHEN db THEN
     FROM (SELECT user_id, concat('[{"key":"k","value":"', event_id % 5, '"}]') AS k, max(greatest(0.1, least(0.9, value / 100))) AS confidence, bool_or(event_type = 'click') AS db FROM events GROUP BY 1, 2)""")(
     lambda t: M.best_candidates(t.events.select("user_id", F.create_map(F.lit("k"), (C("event_id") % 5).cast("string")).alias("ids"), (C("value") / 100).alias("confidence"), F.when(C("event_type") == "click", "db").otherwise("api").alias("origin")), ["user_id"], 0.1, 0.9).withColumnRenamed("ids_key", "k")
 )
-query("D13_organism", """SELECT pathway_id, CASE WHEN n = 1 THEN one WHEN m = 1 THEN other ELSE '' END AS organism FROM (SELECT c_nationkey % 9 AS pathway_id, count(*) FILTER (c_custkey % 160 = 0) AS n, max(c_name) FILTER (c_custkey % 160 = 0) AS one, count(DISTINCT c_mktsegment) FILTER (c_custkey % 90 = 1) AS m, max(c_mktsegment) FILTER (c_custkey % 90 = 1) AS other FROM customer WHERE c_custkey % 160 = 0 OR c_custkey % 90 = 1 GROUP BY 1)""")(
-    lambda t: (lambda c: M.organism(c.where("c_custkey % 160 = 0").select("pathway_id", C("c_name").alias("name")), c.where("c_custkey % 90 = 1").select("pathway_id", C("c_mktsegment").alias("species"))))(t.customer.withColumn("pathway_id", C("c_nationkey") % 9))
+query("D13_organism", """SELECT pathway_id, CASE WHEN n = 1 THEN one WHEN m = 1 THEN other ELSE '' END AS organism FROM (SELECT c_custkey // 2 AS pathway_id, count(*) FILTER (c_custkey % 4 < 3) AS n, max(c_name) FILTER (c_custkey % 4 < 3) AS one, count(DISTINCT c_mktsegment) AS m, max(c_mktsegment) AS other FROM customer GROUP BY 1)""")(
+    lambda t: (lambda c: M.organism(c.where("c_custkey % 4 < 3").select("pathway_id", C("c_name").alias("name")), c.select("pathway_id", C("c_mktsegment").alias("species"))))(t.customer.withColumn("pathway_id", F.expr("c_custkey div 2")))
 )
 
 

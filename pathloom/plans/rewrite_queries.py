@@ -149,20 +149,24 @@ query("K01_composite_rewrite", f"SELECT pathway_id, process, role, pos, sub, e A
 )
 query("K01_composite_errors", f"SELECT pathway_id, 'error' AS severity, 'composite_without_protein' AS rule, concat('x + ', entity) AS subject FROM {FATE} f WHERE fate = 'error'")(lambda t: (lambda p, k: R.apply_composites(p, R.decide_composites(p, k))[2])(*composites(t)))
 query("K02_complexes", f"SELECT DISTINCT pathway_id, concat('p', pos, ':', entity) AS name, concat('p', pos, '|', entity) AS components FROM {FATE} f WHERE fate = 'complex'")(lambda t: (lambda p, k: R.apply_composites(p, R.decide_composites(p, k))[1].withColumn("components", F.array_join("components", "|")))(*composites(t)))
-query("K03_bind_scaffolds", """SELECT pathway_id, process, min(s_pos) AS s_pos, pos, 'tg' AS scaffold, entity, CASE WHEN process % 2 = 0 THEN 2 ELSE 1 END AS score, concat('tg:', entity) AS complex FROM (SELECT p.pathway_id, p.process, 0 AS s_pos, first_value(p.pos) OVER w AS pos, first_value(p.entity) OVER w AS entity FROM {participants} p WHERE role = 'product' WINDOW w AS (PARTITION BY pathway_id, process ORDER BY pos, entity)) GROUP BY pathway_id, process, pos, entity""")(
-    lambda t: scaffold_outputs(t)
-)
+query("K03_bind_scaffolds", """WITH pr AS (SELECT pathway_id, process, concat(entity, 'x') AS e, min(pos) AS pos FROM {participants} p WHERE role = 'product' GROUP BY 1, 2, 3),
+    o AS (SELECT pathway_id, process, list(e ORDER BY pos, e) AS es, list(pos ORDER BY pos, e) AS ps FROM pr GROUP BY 1, 2),
+    b AS (SELECT pathway_id, process, ps[1] AS pos, -2 AS s_pos, 'tg' AS scaffold, es[1] AS entity, CASE WHEN process % 4 = 0 THEN 2 ELSE 1 END AS score FROM o WHERE process % 4 < 2
+    UNION ALL SELECT pathway_id, process, ps[2], -1, 'sc', es[2], 1 FROM o WHERE process % 4 = 0 AND len(es) > 1 UNION ALL SELECT pathway_id, process, 100, -1, 'sc', 'water', 2 FROM o WHERE process % 4 = 2)
+    SELECT *, concat(scaffold, ':', entity) AS complex FROM b""")(lambda t: scaffold_outputs(t))
 
 
 def scaffold_outputs(t):
-    from pathloom.operators.tables import first_per
-
-    out = t.participants.where("role = 'product'")
-    first = first_per(out.select("pathway_id", "process", "pos", "entity"), ["pathway_id", "process"], "pos", "entity").select("pathway_id", "process", F.col("entity").alias("e"))
-    told_ = out.join(first, ["pathway_id", "process"]).withColumn("evidence", F.when(C("process") % 2 == 0, F.concat(F.lit("a TG + "), "e")).otherwise(F.concat(F.lit("tg - "), "e", F.lit(" complex"))))
-    tg = told_.select("pathway_id", "process", "evidence").distinct().select("pathway_id", "process", F.lit(0).alias("pos"), F.lit("tg").alias("entity"), "evidence")
-    rows = told_.where("entity = e").select("pathway_id", "process", "pos", "entity", "evidence").unionByName(tg)
-    return R.bind_scaffolds(rows, told_.select("pathway_id", F.lit("tg").alias("norm")).distinct())
+    """Two scaffolds and a by-product come out of each reaction beside its products. The text has both bind the first product,
+    or the second scaffold the by-product, in words or as a composite."""
+    out = t.participants.where("role = 'product'").groupBy("pathway_id", "process", F.concat("entity", F.lit("x")).alias("entity")).agg(F.min("pos").alias("pos"))
+    two = F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity"))), lambda s: s["entity"])
+    first, second = F.get("e", F.lit(0)), F.coalesce(F.get("e", F.lit(1)), F.lit("?"))
+    evidence = F.when(C("process") % 4 == 0, F.concat(F.lit("tg + "), first, F.lit("; sc bound to "), first, F.lit("; sc - "), second, F.lit(" complex"))).when(C("process") % 4 == 1, F.concat(F.lit("TG bound to "), first, F.lit(", sc + "), first, F.lit("; sc bound to water"))).when(C("process") % 4 == 2, F.lit("tg bound to water and sc + water")).otherwise("")
+    told = out.groupBy("pathway_id", "process").agg(two.alias("e")).select("pathway_id", "process", evidence.alias("evidence"))
+    own = told.select("pathway_id", "process", F.inline(F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(e).alias("entity")) for p, e in ((-2, "tg"), (-1, "sc"), (100, "water"))])), "evidence")
+    rows = out.join(told, ["pathway_id", "process"]).select("pathway_id", "process", "pos", "entity", "evidence").unionByName(own)
+    return R.bind_scaffolds(rows, told.select("pathway_id", F.explode(F.array(F.lit("tg"), F.lit("sc"))).alias("norm")).distinct())
 
 
 query("K04_remove_complexes", "SELECT pathway_id, process, role, pos, CASE WHEN role = 'product' THEN entity ELSE e END AS entity FROM (SELECT *, unnest(CASE WHEN role = 'product' THEN [entity] ELSE ['z', entity] END) AS e FROM {participants} p WHERE pos < 4) UNION ALL SELECT pathway_id, process, role, pos, concat('y:', entity) FROM {participants} p WHERE pos >= 4")(

@@ -13,9 +13,19 @@ from pathloom.plans.registry import query
 C = F.col
 _SEC = "(SELECT doc_id, unnest([0, 1, 2]) AS section_no, unnest(['preamble', list_extract(['results', 'methods', 'references', 'materials and methods'], CAST(doc_id % 4 AS INT) + 1), 'acknowledgments']) AS label, unnest(['Opening words', regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'thanks']) AS body FROM documents)"
 query("E01_sections", f"SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, label, md5(body) AS body FROM {_SEC} s WHERE body <> ''")(lambda t: T.sections(t.papers).withColumn("body", F.md5("body")))
-query("E06_sentence_chunks")(lambda t: T.chunks(T.sections(t.papers), limit=120, overlap=30))
-query("E07_ordered_chunks")(lambda t: T.ordered_chunks(T.chunks(T.sections(t.papers), limit=120, overlap=30)).drop("text"))
 _REL = "CASE label WHEN 'results' THEN 0.9 WHEN 'methods' THEN 0.7 WHEN 'references' THEN 0.1 WHEN 'materials and methods' THEN 0.7 WHEN 'preamble' THEN 0.5 ELSE 0.05 END"
+#: Sentences per section with running word counts; a chunk follows from where the one before ends.
+_CHUNKS = rf"""WITH RECURSIVE sent AS MATERIALIZED (SELECT *, list_transform(s, lambda x: len(regexp_extract_all(x, '\S+'))) AS w FROM (SELECT doc_id, section_no, label,
+    list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\s+([A-Z"(\[])', concat('\1', chr(1), '\2'), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM {_SEC} q WHERE body <> '')),
+sums AS MATERIALIZED (SELECT doc_id, section_no, len(w) AS n, list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(list_slice(w, 1, i)), 0)) AS t FROM sent WHERE len(w) > 0),
+r(doc_id, section_no, i, a, b) AS (SELECT doc_id, section_no, 0, 0, greatest(1, len(list_filter(t, lambda x: x <= 120)) - 1) FROM sums UNION ALL
+    SELECT doc_id, section_no, i + 1, na, greatest(na + 1, len(list_filter(t, lambda x: x <= t[na + 1] + 120)) - 1) FROM (SELECT r.*, t, greatest(a + 1, len(list_filter(t, lambda x: x < t[b + 1] - 30))) AS na FROM r JOIN sums USING (doc_id, section_no) WHERE b < n)),
+c AS (SELECT doc_id, section_no, i AS chunk_no, label, label AS section, array_to_string(list_slice(s, a + 1, b), ' ') AS text, CAST(list_sum(list_slice(w, a + 1, b)) AS BIGINT) AS word_count, a AS first_sentence, b AS end_sentence FROM r JOIN sent USING (doc_id, section_no)),
+chunks AS (SELECT *, sum(word_count) OVER (PARTITION BY doc_id, section_no ORDER BY chunk_no) AS end_word FROM c)"""
+query("E06_sentence_chunks", f"{_CHUNKS} SELECT doc_id, section_no, chunk_no, section, text, word_count, CAST(end_word - word_count AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, first_sentence, end_sentence FROM chunks")(lambda t: T.chunks(T.sections(t.papers), limit=120, overlap=30))
+query("E07_ordered_chunks", f"""{_CHUNKS}, size AS (SELECT doc_id, section_no, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM (SELECT doc_id, section_no, sum(word_count) AS n FROM chunks GROUP BY 1, 2))
+    SELECT doc_id, section_no, chunk_no, section, word_count, CAST(end_word - word_count AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word, first_sentence, end_sentence, CAST({_REL} AS DOUBLE) AS relevance, CAST("offset" AS BIGINT) AS "offset",
+    row_number() OVER (PARTITION BY doc_id ORDER BY {_REL} DESC, section_no, chunk_no) AS chunk_id FROM chunks JOIN size USING (doc_id, section_no)""")(lambda t: T.ordered_chunks(T.chunks(T.sections(t.papers), limit=120, overlap=30)).drop("text"))
 query("E07_section_relevance", f"SELECT doc_id, label, CAST({_REL} AS DOUBLE) AS relevance FROM {_SEC} s WHERE body <> '' AND {_REL} >= 0.3")(
     lambda t: (lambda s: s.select("doc_id", "label", __import__("pathloom.functions.names", fromlist=["x"]).section_relevance(C("label")).alias("relevance")).where(C("relevance") >= vocab.MIN_RELEVANCE))(T.sections(t.papers))
 )
@@ -33,27 +43,33 @@ query("A08_mostly_empty", "SELECT doc_id % 40 AS doc_id, avg(CASE WHEN n_chars <
 
 
 def outputs(t):
+    """Objects as they are, in fences, and cut off before their closing brackets."""
     obj = F.to_json(F.struct("text", "turn"))
-    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.when(C("conv_id") % 3 == 0, obj).when(C("conv_id") % 3 == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```"))).otherwise(F.concat(F.lit('{"items": [{"a": 1}, {"a": 2, "t": "'), F.regexp_replace(F.substring("text", 1, 20), '[\\\\"\n]', " "))).alias("raw"))
+    cut = F.concat(F.lit('{"items": [{"a": 1}, {"a": 2, '), F.expr("substring(to_json(struct(text)), 2, length(to_json(struct(text))) - 2)"))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.when(C("conv_id") % 3 == 0, obj).when(C("conv_id") % 3 == 1, F.concat(F.lit("Here:\n```json\n"), obj, F.lit("\n```"))).otherwise(cut).alias("raw"))
 
 
-query("S25_recovered_outputs", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'parsed' ELSE 'salvaged' END AS outcome, conv_id % 3 = 2 AS items FROM conversations WHERE role = 'assistant'")(
-    lambda t: T.recovered(outputs(t), ["conv_id", "turn"]).select("conv_id", "turn", "outcome", F.get_json_object("json", "$.items").isNotNull().alias("items"))
+query("S25_recovered_outputs", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'parsed' ELSE 'salvaged' END AS outcome, conv_id % 3 = 2 AS items, CASE WHEN conv_id % 3 < 2 THEN md5(text) END AS said FROM conversations WHERE role = 'assistant'")(
+    lambda t: T.recovered(outputs(t), ["conv_id", "turn"]).select("conv_id", "turn", "outcome", F.get_json_object("json", "$.items").isNotNull().alias("items"), F.md5(F.coalesce(F.get_json_object("json", "$.items[1].text"), F.get_json_object("json", "$.text"))).alias("said"))
 )
 
 
 def entries(t):
+    """All lines of a text: the first and every other one a reaction, those between species."""
     d = t.documents.withColumn("l", F.split("text", "\n"))
-    return d.select(C("doc_id").alias("model"), F.slice("l", 1, 3).alias("reaction"), F.array(F.get("l", F.lit(3))).alias("species"), F.array("source").alias("compartment"))
+    odd = lambda k: F.filter("l", lambda x, i: i % 2 == k)
+    return d.select(C("doc_id").alias("model"), odd(0).alias("reaction"), odd(1).alias("species"), F.array("source").alias("compartment"))
 
 
+_ODD = "list_transform(range(1, len({0}) + 1, 2), lambda i: {0}[i])"
+_EVEN = "list_transform(range(2, len({0}) + 1, 2), lambda i: {0}[i])"
 _STOP = "(" + ", ".join(f"'{x}'" for x in vocab.STOP_WORDS) + ")"
 _TOKS = "list_filter(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9]+'), lambda x: x NOT IN " + _STOP + ")"
-_INDEX = f"ix AS (SELECT DISTINCT model, unnest([f, 'all']) AS field, token FROM (SELECT model, f, unnest({_TOKS.format('s')}) AS token FROM (SELECT doc_id AS model, unnest(['reaction', 'species', 'compartment']) AS f, unnest([array_to_string(list_slice(string_split(text, chr(10)), 1, 3), ' '), list_extract(string_split(text, chr(10)), 4), source]) AS s FROM documents) WHERE s IS NOT NULL))"
+_INDEX = f"ix AS (SELECT DISTINCT model, unnest([f, 'all']) AS field, token FROM (SELECT model, f, unnest({_TOKS.format('s')}) AS token FROM (SELECT doc_id AS model, unnest(['reaction', 'species', 'compartment']) AS f, unnest([array_to_string({_ODD.format('l')}, ' '), array_to_string({_EVEN.format('l')}, ' '), source]) AS s FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)) WHERE s IS NOT NULL))"
 query("S26_motif_tokens", f"WITH {_INDEX} SELECT * FROM ix")(lambda t: T.motif_tokens(entries(t)))
 _TOP = f"WITH {_INDEX}, q AS (SELECT item_id AS query, list_distinct({_TOKS.format('text')}) AS t FROM benchmark), w AS (SELECT query, len(t) AS n, unnest(t) AS token FROM q), s AS (SELECT query, model, round(sum(CASE field WHEN 'reaction' THEN 2.6 WHEN 'species' THEN 1.8 WHEN 'compartment' THEN 1.0 ELSE 0.6 END / n), 6) AS score FROM w JOIN ix USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, model) AS rn FROM s)"
 query("F01_top_examples", _TOP + " SELECT query, model, rn FROM r WHERE rn <= 3")(lambda t: T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_tokens(entries(t))).select("query", "model", "rn"))
-query("F04_retrieval_context", _TOP + ", e AS (SELECT doc_id AS model, string_split(text, chr(10)) AS l, source FROM documents) SELECT query, substr(string_agg(concat('# ', model, chr(10), 'compartments: ', source, chr(10), 'species: ', coalesce(l[4], ''), chr(10), 'reactions: ', array_to_string(l[1:3], ', ')), concat(chr(10), chr(10)) ORDER BY rn), 1, 900) AS context FROM r JOIN e USING (model) WHERE rn <= 3 GROUP BY 1")(
+query("F04_retrieval_context", _TOP + ", e AS (SELECT doc_id AS model, string_split(text, chr(10)) AS l, source FROM documents) SELECT query, substr(string_agg(concat('# ', model, chr(10), 'compartments: ', source, chr(10), 'species: ', array_to_string(list_slice(" + _EVEN.format("l") + ", 1, 10), ', '), chr(10), 'reactions: ', array_to_string(list_slice(" + _ODD.format("l") + ", 1, 6), ', ')), concat(chr(10), chr(10)) ORDER BY rn), 1, 900) AS context FROM r JOIN e USING (model) WHERE rn <= 3 GROUP BY 1")(
     lambda t: T.context_texts(T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_tokens(entries(t))), entries(t), most=900)
 )
 query("S27_query_texts", "SELECT pathway_id, string_agg(name, chr(10) ORDER BY part, pos) AS text FROM (SELECT *, row_number() OVER (PARTITION BY pathway_id, name ORDER BY part, pos) AS r FROM (SELECT pathway_id, 0 AS part, pos, name FROM {compounds} c UNION ALL SELECT pathway_id, 1, pos, lower(brand) FROM {compounds} c)) WHERE r = 1 GROUP BY 1")(

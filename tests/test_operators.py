@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.operators import audit, graph, linking, merge, rewrite, text
 from pathloom.operators.components import connected_components
@@ -47,13 +48,70 @@ def test_default_course(spark):
     # the second iodination repeats the first; one reaction does nothing; the composite without a protein has lost its side
     assert {r.process: bool(r.outputs) for r in kept} == {1: True, 4: False}
     used = got["participants"].where("process = 1").collect()
-    assert {(r.role, r.entity) for r in used} == {("reactant", "thyroglobulin"), ("reactant", "iodide"), ("modifier", "Thyroid peroxidase"), ("product", "Thyroglobulin:iodotyrosine")}
+    assert {(r.role, r.entity) for r in used} == {("reactant", "thyroglobulin"), ("reactant", "iodide"), ("modifier", "Thyroid Peroxidase"), ("product", "Thyroglobulin:iodotyrosine")}
     assert not [r for r in got["participants"].collect() if " + " in r.entity]
     names = {(r.kind, r.name) for r in got["entities"].collect()}
     assert ("protein_complex", "Thyroglobulin:iodotyrosine") in names and ("compound", "NAD+") in names
     assert [r.rule for r in got["issues"].collect()] == ["composite_without_protein"]
     assert got["passed"].count() == 0 and got["set_aside"].first().errors == 1
-    assert next(r.state for r in kept if r.process == 1) == "__auto_state__"
+    assert next(r.state for r in kept if r.process == 1) is None  # nothing says where it is
+
+
+def test_scaffolds_take_what_is_left(spark):
+    """Two scaffolds that the text binds to both products take one each; a by-product needs an exact composite."""
+    ev = "sa + x; sa + y; sb bound to x; sb + y; sc bound to water; sd + water; se bound to x"
+    rows = [(1, 0, "sa"), (1, 1, "sb"), (1, 2, "sc"), (1, 3, "sd"), (1, 4, "se"), (1, 5, "x"), (1, 6, "y"), (1, 7, "water"), (1, 8, "sa:z"), (2, 0, "sb"), (2, 1, "x")]
+    out = spark.createDataFrame([("p", *r, ev) for r in rows], "pathway_id string, process int, pos int, entity string, evidence string")
+    sc = spark.createDataFrame([("p", f"s{c}") for c in "abcde"], "pathway_id string, norm string")
+    got = rewrite.bind_scaffolds(out, sc)
+    assert {(r.process, r.complex, r.score) for r in got.collect()} == {(1, "sa:x", 2), (1, "sb:y", 2), (1, "sd:water", 2), (2, "sb:x", 1)}
+    used, made = rewrite.apply_scaffolds(out.withColumn("role", F.lit("product")).drop("evidence"), got)
+    assert sorted(r.entity for r in used.where("process = 1").collect()) == ["sa:x", "sa:z", "sb:y", "sc", "sd:water", "se"]
+    assert {r.name for r in made.collect()} == {"sa:x", "sb:y", "sd:water", "sb:x"}
+    one = spark.createDataFrame([("p", "sb", "x")], "pathway_id string, a string, name string").select("pathway_id", "name")
+    assert {r.complex for r in rewrite.bind_scaffolds(out, sc, one).where("process = 1").collect()} == {"sa:y", "sd:water"}
+
+
+def test_hormone_course(spark):
+    """Iodination of a scaffold, worked out by hand: composites, a split output, repeated rows, actors of old spelling, transports."""
+    p = lambda rows, ddl: spark.createDataFrame([("h", *r) for r in rows], "pathway_id string, " + ddl)
+    tg, tpo = "thyroglobulin", "thyroid peroxidase"
+    ents = [("compound", i, n) for i, n in enumerate([f"{tg} + iodotyrosine", tg, "iodide", "hydrogen peroxide", "2-aminoacrylic acid", "liothyronine", "thyroxine"])] + [("protein", 0, tpo), ("protein", 1, "pendrin")]
+    steps = [(0, "R0", "observed"), (1, "R0", "short"), (2, "R1", "observed"), (3, "R2", ""), (4, "R3", f"{tg} + liothyronine is catalyzed by {tpo} to produce {tg} + thyroxine")]
+    ins = {0: [tg, "iodide", "hydrogen peroxide", tpo], 1: [tg, "iodide", "hydrogen peroxide", tpo], 2: [f"{tg} + iodotyrosine", "iodide", "hydrogen peroxide", tpo], 3: [f"{tg} + 3,5-diiodo-L-tyrosine", "hydrogen peroxide", tpo], 4: [f"{tg} + liothyronine", tpo]}
+    outs = {0: [f"{tg} + iodotyrosine"], 1: [f"{tg} + iodotyrosine"], 2: [f"{tg} + 3,5-diiodo-L-tyrosine"], 3: [f"{tg}+liothyronine", "2-aminoacrylic acid", tg, "liothyronine"], 4: [f"{tg} + thyroxine"]}
+    used = [(k, "reactant", i, e) for k, x in ins.items() for i, e in enumerate(x)] + [(k, "product", i, e) for k, x in outs.items() for i, e in enumerate(x)] + [(2, "modifier", 0, "thyroid_peroxidase_complex")]
+    used += [(10, "cargo", 0, "iodide"), (10, "transporter", 0, "pendrin_complex"), (11, "cargo", 0, f"{tg} + liothyronine"), (12, "cargo", 0, f"{tg}+liothyronine")]
+    moves = [(10, "blood", "luminal", f"{tg} is joined by iodide that has been transported from the blood using pendrin"), (11, "luminal", "luminal", f"{tg} + liothyronine complex transport"), (12, "luminal", "luminal", f"{tg} + liothyronine complex transport")]
+    got = normalise(
+        p(ents, "kind string, pos long, name string"), p([(k, k, n, None, e) for k, n, e in steps], "process long, pos long, name string, state string, evidence string"), p(used, "process long, role string, pos int, entity string"),
+        p([("luminal", "follicular lumen"), ("blood", "bloodstream")], "name string, place string"),
+        locations=p([(0, "iodide", "luminal", ""), (1, tpo, "luminal", ""), (2, "pendrin", "luminal", "iodide is transported through pendrin"), (3, "thyroxine", None, "")], "pos long, entity string, state string, evidence string"),
+        transports=p([(k, k, *x) for k, *x in moves], "process long, pos long, from_state string, to_state string, evidence string"),
+    )
+    names = {(r.kind, r.name) for r in got["entities"].collect()}
+    assert {n for k, n in names if k == "protein_complex"} >= {f"{tg}:iodotyrosine", f"{tg}:3,5-diiodo-L-tyrosine", f"{tg}:liothyronine", f"{tg}:thyroxine"}
+    assert (("protein_complex", f"{tg}:2-aminoacrylic acid")) not in names and not [n for _, n in names if "+" in n]
+    kept = {r.process: r for r in got["processes"].collect()}
+    assert set(kept) == {0, 2, 3, 4}
+    assert all(tpo not in r.inputs and r.modifiers == [tpo] for r in kept.values())
+    assert kept[0].state == "luminal" and not [x for r in kept.values() for x in (*r.inputs, *r.outputs) if "+" in x]
+    moved = {r.process: (r.cargo, r.transporters) for r in got["transports"].collect()}
+    assert len(moved) == 2 and moved[10] == ("iodide", ["pendrin"]) and moved[11][0] == f"{tg}:liothyronine"
+    assert {r.name for r in got["states"].collect()} == {"luminal", "blood", "__auto_state__"}
+    assert [r.rule for r in got["issues"].collect()] == [] and [r.pathway_id for r in got["passed"].collect()] == ["h"]
+
+
+def test_ranks(spark):
+    n = spark.createDataFrame([("p", x) for x in "abcdef"] + [("q", "x"), ("q", "y"), ("r", "z")], "pathway_id string, node string")
+    e = spark.createDataFrame([("p", *x) for x in ("ab", "bc", "ac", "de", "ed", "ef", "aa", "?b", "c?")] + [("q", "x", "y"), ("q", "y", "x")], "pathway_id string, source string, target string")
+    want = {("p", "a"): (0, False), ("p", "b"): (1, False), ("p", "c"): (2, False), ("p", "d"): (3, True), ("p", "e"): (3, True), ("p", "f"): (3, True), ("q", "x"): (0, True), ("q", "y"): (0, True), ("r", "z"): (0, False)}
+    for most in (10**6, 1):
+        assert {(r.pathway_id, r.node): (r.rank, r.in_cycle) for r in graph.topological_ranks(n, e, most).collect()} == want
+    long = spark.range(5000).selectExpr("'p' AS pathway_id", "id AS node")
+    step = spark.range(4999).selectExpr("'p' AS pathway_id", "id AS source", "id + 1 AS target")
+    got = graph.topological_ranks(long, step).agg({"rank": "max", "in_cycle": "max"}).first()
+    assert tuple(got) in ((4999, False), (False, 4999))
 
 
 def test_same_as_prefers_actors(spark):
