@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
+from pathloom.operators.linking import containing
 from pathloom.operators.tables import first_per, numbered
 
 AUTO_STATE, AUTO_PLACE = "__auto_state__", "cell"
@@ -69,10 +70,14 @@ def auto_states(processes: DataFrame, states: DataFrame) -> tuple[DataFrame, Dat
 
 
 def mentioned(processes: DataFrame, actors: DataFrame, text: Column, pattern: Column | None = None) -> DataFrame:
-    """Actors (``pathway_id, actor, rank, pos``) whose name a process's text mentions; within a pathway only."""
-    both = processes.withColumn("_text", F.lower(text)).join(actors.where("trim(actor) <> ''"), "pathway_id")
-    hit = F.contains("_text", F.lower("actor")) if pattern is None else F.regexp_like("_text", pattern)
-    return both.where(hit).drop("_text")
+    """Actors (``pathway_id, actor, rank, pos``) whose name a process's text mentions; within a pathway only. Names are
+    looked up by their rarest grams, so a large pathway's processes and actors aren't all compared."""
+    named = actors.where("trim(actor) <> ''")
+    told = processes.withColumn("_text", F.lower(text))
+    found = containing(named.select("pathway_id", F.col("actor").alias("term")), told.select("pathway_id", F.col("process").alias("id"), F.col("_text").alias("text")), ("pathway_id",), 1)
+    pairs = found.withColumnsRenamed({"id": "process", "term": "_term"}).join(named.withColumn("_term", F.lower("actor")), ["pathway_id", "_term"])
+    both = told.join(pairs, ["pathway_id", "process"])
+    return (both if pattern is None else both.where(F.regexp_like("_text", pattern))).drop("_text", "_term")
 
 
 def inject_actors(processes: DataFrame, actors: DataFrame, existing: DataFrame, text: Column, confidence: float = 0.9) -> DataFrame:
@@ -97,7 +102,8 @@ def attach_transporters(transports: DataFrame, proteins: DataFrame, existing: Da
     free = transports.join(existing.select("pathway_id", "process"), ["pathway_id", "process"], "left_anti")
     cue = F.concat(F.lit(r"(?i)\b(using|via|through|transported\s+by)\s+(the\s+)?\Q"), "actor", F.lit(r"\E"))
     by_cue = mentioned(free, proteins.withColumn("rank", F.lit(0)), F.col("evidence"), cue).select("pathway_id", "process", "actor", F.lit(0).alias("how"), F.length("actor").alias("len"))
-    near = free.join(placed.withColumnRenamed("evidence", "place_evidence"), "pathway_id").where("state in (from_state, to_state)").where(F.contains(F.lower("place_evidence"), F.lower("cargo")) & (F.col("cargo") != "")).select("pathway_id", "process", "actor", F.lit(1).alias("how"), F.length("actor").alias("len"))
+    moved = free.where(F.coalesce(F.trim("cargo"), F.lit("")) != "").select("pathway_id", "process", "cargo", F.explode(F.array_distinct(F.array("from_state", "to_state"))).alias("state"))
+    near = moved.join(placed.withColumnRenamed("evidence", "place_evidence"), ["pathway_id", "state"]).where(F.contains(F.lower("place_evidence"), F.lower("cargo"))).select("pathway_id", "process", "actor", F.lit(1).alias("how"), F.length("actor").alias("len"))
     return first_per(by_cue.unionByName(near).withColumn("less", -F.col("len")), ["pathway_id", "process"], "how", "less", "actor").select("pathway_id", "process", "actor", "how")
 
 
@@ -109,7 +115,13 @@ def promote_interactions(interactions: DataFrame, processes: DataFrame, proteins
     steps = processes.select("pathway_id", "process", N.norm(F.col("name")).alias("_p")).where("_p <> ''")
     exact = own.join(steps, (own["pathway_id"] == steps["pathway_id"]) & (own["_b"] == steps["_p"])).select(own["pathway_id"], "pos", "process", F.lit(0).alias("how"))
     rest = own.join(exact.select("pathway_id", "pos"), ["pathway_id", "pos"], "left_anti")
-    part = rest.join(steps, "pathway_id").where(F.contains("_p", F.col("_b")) | F.contains("_b", F.col("_p"))).select("pathway_id", "pos", "process", F.lit(1).alias("how"))
+    # the rest: names within names, either way
+    aims = rest.select("pathway_id", "pos", "_b")
+    inner = containing(aims.select("pathway_id", F.col("_b").alias("term")), steps.select("pathway_id", F.col("process").alias("id"), F.col("_p").alias("text")), ("pathway_id",), 1)
+    outer = containing(steps.select("pathway_id", F.col("_p").alias("term")), aims.select("pathway_id", F.col("pos").alias("id"), F.col("_b").alias("text")), ("pathway_id",), 1)
+    one = inner.join(aims.withColumnRenamed("_b", "term"), ["pathway_id", "term"]).select("pathway_id", "pos", F.col("id").alias("process"))
+    two = outer.join(steps.withColumnRenamed("_p", "term"), ["pathway_id", "term"]).select("pathway_id", F.col("id").alias("pos"), "process")
+    part = one.unionByName(two).distinct().withColumn("how", F.lit(1))
     chosen = first_per(exact.unionByName(part), ["pathway_id", "pos"], "process").join(interactions.select("pathway_id", "pos", "entity_1", "relationship"), ["pathway_id", "pos"])
     made = chosen.select("pathway_id", "process", "pos", F.col("entity_1").alias("actor"), N.modifier_role(F.col("relationship")).alias("role"))
     return made, interactions.join(chosen.select("pathway_id", "pos"), ["pathway_id", "pos"], "left_anti")

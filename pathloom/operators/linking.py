@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
 from pathloom.operators.tables import first_per, numbered
+from pathloom.plans.skew import salted_join
 
 COMPOUND = {"synonym": 0.84, "jaccard": 0.55}
 PROTEIN = {"synonym": 0.83, "jaccard": 0.52, "species": 0.14, "accession": 0.08, "relaxed": 0.02}
@@ -24,26 +25,30 @@ def ground(entities: DataFrame, dictionary: DataFrame, fields: list[str]) -> Dat
     return got.withColumn("added", total).withColumns({f: F.when(blank(f), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).withColumn("matched", F.col("_m").isNotNull()).drop("_n", "_m", *[f"_{f}" for f in fields])
 
 
-def _grams(c: Column) -> Column:
+def _grams(c: Column, shortest: int = 2) -> Column:
     n = F.length(c)
     gram = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(gram(3), gram(2)))
-
-
-def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """``term, id`` wherever a text (``id, text``) contains a term of two characters or more, both lower-cased.
-
-    A text that contains a term holds all its 3-grams (2-grams, if it is of two characters), so it is enough to
-    look the term up by the one that fewest texts hold. No pair of all terms with all texts is made."""
-    low = texts.select("id", F.lower("text").alias("text")).where("text <> ''").distinct()
-    index = low.select("id", "text", F.explode(_grams(F.col("text"))).alias("gram"))
-    held = index.groupBy("gram").agg(F.count("*").alias("n"))
-    probe = terms.select(F.lower("term").alias("term")).distinct().where(F.length("term") >= 2)
-    own = probe.select("term", F.explode(F.filter(_grams(F.col("term")), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
-    rarest = first_per(own.join(held, "gram"), ["term"], "n", "gram").select("term", "gram")
+    return F.array_distinct(F.concat(*[gram(k) for k in range(3, shortest - 1, -1)]))
+
+
+def containing(terms: DataFrame, texts: DataFrame, keys: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
+    """``keys, term, id`` wherever a text (``keys, id, text``) contains a term of the same keys, of ``shortest`` characters or
+    more, both lower-cased.
+
+    A text that contains a term holds all its 3-grams (shorter ones, if it is shorter), so it is enough to
+    look the term up by the one that fewest texts hold. No pair of all terms with all texts is made, and texts don't go
+    along with their grams: those of the few candidates are fetched. A common gram is dealt to several tasks."""
+    k = list(keys)
+    low = texts.select(*k, "id", F.lower("text").alias("text")).where("text <> ''").distinct().withColumn("th", F.xxhash64("text"))
+    index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram"))
+    held = index.groupBy(*k, "gram").agg(F.count("*").alias("n"))
+    probe = terms.select(*k, F.lower("term").alias("term")).distinct().where(F.length("term") >= shortest)
+    own = probe.select(*k, "term", F.explode(F.filter(_grams(F.col("term"), shortest), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
     # a gram that no text holds means that the term stands nowhere
-    some = own.join(held, "gram", "left_anti").select("term").distinct()
-    return rarest.join(some, "term", "left_anti").join(index, "gram").where(F.contains("text", F.col("term"))).select("term", "id").distinct()
+    counted = own.join(held, [*k, "gram"], "left")
+    rarest = first_per(counted.withColumn("n", F.coalesce("n", F.lit(0))), [*k, "term"], "n", "gram").where("n > 0").select(*k, "term", "gram")
+    met = salted_join(index, rarest, [*k, "gram"], salts=16).select(*k, "term", "id", "th")
+    return met.join(low, [*k, "id", "th"]).where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
 
 
 def lookups(names: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Small fixtures with results worked out by hand."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import audit, graph, linking, merge, rewrite, text
 from pathloom.operators.components import connected_components
+from pathloom.plans import course
+from pathloom.plans.durable import durable, scratch, shared_folder
 from pathloom.plans.lifecycle import normalise
-from pathloom.sources import payload
+from pathloom.sources import payload, sinks
 
 
 def test_components(spark):
@@ -176,3 +179,30 @@ def test_payload_round_trip(spark, tmp_path):
 def test_union_distinct_keeps_the_first(spark):
     df = spark.createDataFrame([("p", 2, "x", None), ("p", 1, "x", None), ("p", 3, "y", "z")], "k string, o int, a string, b string")
     assert sorted((r.o, r.a) for r in merge.union_distinct(df, ["k"], "o").collect()) == [(1, "x"), (3, "y")]
+
+
+def test_from_payload_to_written_model(spark, tmp_path):
+    docs = [("a", {"entities": {"compounds": [{"name": "Glucose"}], "proteins": [{"name": "hexokinase"}]}, "processes": {"reactions": [
+        {"name": "r1", "inputs": ["glucose", "atp"], "outputs": ["g6p"], "enzymes": [{"protein": "hexokinase"}]}, {"name": "r2", "inputs": ["g6p"], "outputs": ["g6p"]}, {"name": "r3", "inputs": ["atp", "glucose"], "outputs": ["G6P"], "enzymes": [{"name": "Hexokinase"}]}]}}), ("b", [1])]
+    texts = spark.createDataFrame([(k, json.dumps(d)) for k, d in docs], "id string, json string")
+    catalogue = spark.createDataFrame([(1, "Glucose", "glc", ""), (2, "sucrose", "", "")], "id long, name string, short_name string, synonyms string")
+    with scratch():
+        got = course.model(texts, catalogue)
+        names = sinks.write_tables({k: got[k] for k in ("species", "references", "compartments", "metrics", "stops", "mapped")}, str(tmp_path / "model"))
+        assert {r.stage: r.n for r in got["stages"].collect()} == {"payloads": 1, "reactions_read": 3, "entities_read": 2, "entities_repaired": 4, "reactions_normalised": 1, "species": 4, "references": 4}
+    read = {n: spark.read.parquet(str(tmp_path / "model" / n)).collect() for n in names}
+    assert {(r.name, r.ref_id) for r in read["species"]} == {("Glucose", 1), ("hexokinase", None), ("ATP", None), ("g6p", None)}
+    assert [(r.reason, r.round) for r in read["stops"]] == [("clean", 1)]
+    assert (read["metrics"][0].species, read["metrics"][0].reactions, read["metrics"][0].isolated) == (4, 1, 0)
+    sinks.write_payloads(texts, str(tmp_path / "json"))
+    assert payload.read(spark, str(tmp_path / "json")).where("entities is not null").count() == 1
+
+
+def test_scratch_removes_its_tables(spark):
+    folder = shared_folder(spark)
+    with scratch():
+        kept = durable(spark.range(3), result=True)
+        gone = durable(spark.range(4))
+        assert gone.count() == 4
+        inside = set(os.listdir(folder))
+    assert kept.count() == 3 and len(inside - set(os.listdir(folder))) == 1
