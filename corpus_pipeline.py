@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, line_dedup, packing, quality, simhash
 from pathloom.llm.queries import tokenizer_path
-from pathloom.plans.durable import durable
+from pathloom.plans.durable import durable, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        with scratch():  # a stage's own tables go once its result is written
+            docs = durable(stage(spark, docs, sf_dir), result=True)
     return STAGES[-1][1](spark, docs, sf_dir)
