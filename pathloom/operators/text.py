@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pathloom.functions import names as N
 from pathloom.functions import vocab
 from pathloom.operators.tables import numbered, ordered
+from pathloom.plans.durable import durable
+from pathloom.plans.skew import salted_join
 
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"(\[])")
 
@@ -178,13 +180,33 @@ def motif_tokens(entries: DataFrame, fields: tuple[str, ...] = ("reaction", "spe
 WEIGHTS = {"reaction": 2.6, "species": 1.8, "compartment": 1.0, "all": 0.6}
 
 
+#: Index rows that a query's rarest words may have together for the first look.
+SEED_ROWS = 2000
+
+
 def top_examples(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
-    """``query, model, score, rn``: the ``k`` models of greatest weighted overlap with a query's words."""
+    """``query, model, score, rn``: the ``k`` models of greatest weighted overlap with a query's words.
+
+    The rarest words give ``k`` models and so a score that must be beaten. Frequent words that can't reach it
+    all together find no models; they are only looked up for those that the other words have found."""
+    index = durable(index)
     q = queries.select("query", F.array_distinct(N.search_tokens(F.col("text"))).alias("t"))
     words = q.select("query", F.size("t").alias("n"), F.explode("t").alias("token"))
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("field"))
-    hits = words.join(index, "token").groupBy("query", "model").agg(F.sum(weight / F.col("n")).alias("score"))
-    return numbered(hits.withColumn("score", F.round("score", 6)), ["query"], F.desc("score"), "model").where(F.col("rn") <= k)
+    held = index.where("field = 'all'").groupBy("token").agg(F.count("*").alias("models"))
+    rarest = Window.partitionBy("query").orderBy("models", "token")
+    ranked = words.join(held, "token").withColumns({"at": F.row_number().over(rarest), "rows": F.sum("models").over(rarest), "found": F.count("*").over(Window.partitionBy("query"))})
+    ranked = durable(ranked)
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("field")) / F.col("n")
+    scored = lambda some: salted_join(index, some, ["token"], salts=8).groupBy("query", "model").agg(F.sum(weight).alias("score"))
+    first = scored(ranked.where((F.col("at") == 1) | (F.col("rows") <= SEED_ROWS)).select("query", "n", "token"))
+    beat = numbered(first, ["query"], F.desc("score"), "model").where(F.col("rn") == k).select("query", F.col("score").alias("beat"))
+    # at most, a word adds every field's weight
+    most = (F.col("found") - F.col("at") + 1) * sum(WEIGHTS.values()) / F.col("n")
+    split = durable(ranked.join(beat, "query", "left").withColumn("finds", F.coalesce(most >= F.col("beat") - 1e-6, F.lit(True))).select("query", "n", "token", "finds"))
+    own = durable(scored(split.where("finds").select("query", "n", "token")))
+    rest = own.select("query", "model").join(split.where("not finds"), "query").join(index, ["model", "token"]).groupBy("query", "model").agg(F.sum(weight).alias("more"))
+    total = own.join(rest, ["query", "model"], "left").select("query", "model", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
+    return numbered(total, ["query"], F.desc("score"), "model").where(F.col("rn") <= k)
 
 
 def context_texts(examples: DataFrame, entries: DataFrame, places: int = 8, species: int = 10, patterns: int = 6, most: int = 6000) -> DataFrame:

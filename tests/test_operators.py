@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,23 @@ def test_scratch_removes_its_tables(spark):
         assert gone.count() == 4
         inside = set(os.listdir(folder))
     assert kept.count() == 3 and len(inside - set(os.listdir(folder))) == 1
+
+
+def test_top_examples_skip_frequent_words(spark, monkeypatch):
+    r = random.Random(3)
+    models = [(m, field, t) for m in range(200) for t in {*r.choices(["common", "often", "usual"], k=3), *r.choices([f"rare{i}" for i in range(60)], k=4)} for field in ("all", r.choice(["reaction", "species"]))]
+    index = spark.createDataFrame(models, "model long, field string, token string")
+    queries = spark.createDataFrame([(i, " ".join(["common often usual", *r.choices([f"rare{j}" for j in range(70)], k=6)])) for i in range(20)] + [(99, "nowhere"), (98, "common")], "query long, text string")
+    want = {}
+    for q, words in ((x.query, set(x.text.split())) for x in queries.collect()):
+        score = {}
+        for m, field, t in models:
+            if t in words:
+                score[m] = score.get(m, 0) + text.WEIGHTS[field] / len(words)
+        want[q] = [m for m, _ in sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:3]]
+    for rows in (1, 40, 10**6):
+        monkeypatch.setattr(text, "SEED_ROWS", rows)
+        got = {}
+        for x in text.top_examples(queries, index).orderBy("query", "rn").collect():
+            got.setdefault(x.query, []).append(x.model)
+        assert got == {q: m for q, m in want.items() if m}
