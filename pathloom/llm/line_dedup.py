@@ -20,10 +20,13 @@ like those added are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from pathloom.plans.durable import durable
 from pathloom.plans.skew import salted_join
 
 RUN = 3
@@ -66,44 +69,52 @@ def _keys(documents: DataFrame, id_col: str, text_col: str) -> tuple[Column, Col
     return did, F.xxhash64(text_col)
 
 
-def _total(counts: Column, start: Column, size) -> Column:
-    return F.aggregate(F.slice(counts, start, size if isinstance(size, Column) else F.lit(size)), F.lit(0), lambda x, y: x + y)
+def _h(d: int) -> str:
+    """The column of the line hash ``d`` lines on from a fingerprint."""
+    return f"h{d}" if d >= 0 else f"h_{-d}"
+
+
+def _sizes(run: int, words: int | None) -> list[tuple[int, int]]:
+    """Windows that hold a fingerprint: how many lines they have, and how many of them stand before it."""
+    return [(size, before) for size in range(1 if words else run, run + 1) for before in range(size)]
 
 
 def fingerprints(documents: DataFrame, id_col: str, text_col: str, run: int = RUN, words: int | None = LONG_WORDS) -> DataFrame:
-    """Selected fingerprints ``did, th, mark, place`` with their surroundings (``near``, whose first line is ``lo``; ``counts``
-    of their words where wanted) and their windows ``(at, size)``. Lines are numbered from 1 among those that count."""
+    """Selected fingerprints ``did, th, place`` with the hashes of the lines around (``h0`` their own), and which windows have
+    chosen them (``w_size_before``). Lines are numbered from 1 among those that count."""
     did, th = _keys(documents, id_col, text_col)
     docs = documents.select(did.alias("did"), th.alias("th"), _hashes(F.col(text_col)).alias("h"), *([_word_counts(F.col(text_col)).alias("n")] if words else []))
     docs = docs.where(F.size("h") >= (1 if words else run))
-    span = 2 * run - 1
+    near = range(1 - run, run)
 
     def around(p: Column) -> Column:
-        lo = F.greatest(p - (run - 1), F.lit(1))
-        extra = [F.slice("n", lo, F.lit(span)).alias("counts")] if words else []
-        return F.struct(p.alias("place"), lo.alias("lo"), F.get("h", p - 1).alias("mark"), F.slice("h", lo, p - lo + run).alias("near"), *extra)
-
-    def windows(s: Column) -> Column:
-        found = []
-        for size in range(1 if words else run, run + 1):
-            for before in range(size):
-                at = s["place"] - s["lo"] - before + 1  # within the surroundings
-                lines = F.slice(s["near"], at, F.lit(size))
-                chosen = (F.size(lines) == size) & (F.array_min(lines) == s["mark"]) & (F.array_position(lines, s["mark"]) == before + 1)
-                if size < run:
-                    chosen &= _total(s["counts"], at, size) >= words
-                found.append(F.when((at >= 1), F.when(chosen, F.struct((at + s["lo"] - 1).alias("at"), F.lit(size).alias("size")))))
-        return F.filter(F.array(*found), lambda w: w.isNotNull())
-
-    rows = docs.select("did", "th", F.explode(F.transform(F.sequence(F.lit(1), F.size("h")), around)).alias("s"))
-    return rows.select("did", "th", "s.*", windows(F.col("s")).alias("windows")).where(F.size("windows") > 0)
-
-
-def _reach(mine: Column, at: Column, other: Column, place: Column, step: int, most: int) -> Column:
-    """For how many lines two surroundings agree from the places on, in steps of one line."""
+        counts = [F.get("n", p - 1 + d).alias("n" + _h(d)) for d in near] if words else []
+        return F.struct(p.alias("place"), *[F.get("h", p - 1 + d).alias(_h(d)) for d in near], *counts)
+
+    rows = docs.select("did", "th", F.inline(F.transform(F.sequence(F.lit(1), F.size("h")), around)))
+    chosen = {}
+    for size, before in _sizes(run, words):
+        # the least of the window's lines, the first of equals; a line that isn't there makes it null
+        cond = F.lit(True)
+        for d in range(-before, size - before):
+            if d:
+                cond = cond & ((F.col("h0") < F.col(_h(d))) if d < 0 else (F.col("h0") <= F.col(_h(d))))
+        if size < run:
+            total = F.col("nh0")
+            for d in range(-before, size - before):
+                if d:
+                    total = total + F.col("n" + _h(d))
+            cond = cond & (total >= words)
+        chosen[f"w_{size}_{before}"] = F.coalesce(cond, F.lit(False))
+    marked = rows.select("did", "th", "place", *map(_h, near), *[c.alias(n) for n, c in chosen.items()])
+    return marked.where(reduce(Column.__or__, map(F.col, chosen)))
+
+
+def _reach(step: int, run: int) -> Column:
+    """For how many lines the surroundings agree with those of the fingerprint's earliest place."""
     agree, total = F.lit(True), F.lit(0)
-    for d in range(1, most + 1):
-        agree = agree & F.coalesce(F.get(mine, at + step * d) == F.get(other, place + step * d), F.lit(False))
+    for d in range(1, run):
+        agree = agree & F.coalesce(F.col(_h(step * d)) == F.col(f"first.{_h(step * d)}"), F.lit(False))
         total = total + agree.cast("int")
     return total
 
@@ -111,21 +122,21 @@ def _reach(mine: Column, at: Column, other: Column, place: Column, step: int, mo
 def repeated_runs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = LONG_WORDS) -> DataFrame:
     """``did, th, cuts``: per document its runs of lines ``(a, b)`` (the first, the one after the last, among those that count)
     that are windows which also occur earlier; runs are apart and in order."""
-    marks = fingerprints(documents, id_col, text_col, run, words)
-    first = marks.groupBy("mark").agg(F.min(F.struct("did", "place", "lo", "near")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
-    met = salted_join(marks, first, ["mark"])
-    own, there = F.col("place") - F.col("lo"), F.col("first.place") - F.col("first.lo")
+    marks = durable(fingerprints(documents, id_col, text_col, run, words))
+    often = marks.groupBy("h0").agg(F.count("*").alias("n")).where("n > 1").select("h0")
+    met = durable(salted_join(marks, often, ["h0"], salts=8))
+    around = [_h(d) for d in range(1 - run, run) if d]
+    first = met.groupBy("h0").agg(F.min(F.struct("did", "place", *around)).alias("first"))
     later = F.struct("did", "place") > F.struct("first.did", "first.place")
-    met = met.withColumns({"back": F.when(later, _reach(F.col("near"), own, F.col("first.near"), there, -1, run - 1)), "on": _reach(F.col("near"), own, F.col("first.near"), there, 1, run - 1)})
-    met = met.withColumns({"a": F.col("place") - F.col("back"), "b": F.col("place") + F.col("on") + 1})
-    enough = F.col("b") - F.col("a") >= run
-    if words:
-        enough = enough | (_total(F.col("counts"), F.col("a") - F.col("lo") + 1, F.col("b") - F.col("a")) >= words)
-    met = met.withColumn("is_run", F.coalesce(F.when(later, enough), F.lit(False)))
-    runs = met.where("is_run").select("did", "th", "a", "b")
+    met = salted_join(met, first, ["h0"]).withColumns({"back": F.when(later, _reach(-1, run)), "on": F.when(later, _reach(1, run))})
+    inside = lambda size, before: (F.col("back") >= before) & (F.col("on") >= size - 1 - before)
+    short = [F.col(f"w_{s}_{b}") & inside(s, b) for s, b in _sizes(run, words) if s < run]
+    enough = reduce(Column.__or__, short, F.col("back") + F.col("on") + 1 >= run)
+    met = durable(met.withColumn("is_run", F.coalesce(enough, F.lit(False))).drop("first"))
+    runs = met.where("is_run").select("did", "th", (F.col("place") - F.col("back")).alias("a"), (F.col("place") + F.col("on") + 1).alias("b"))
     # what no run covers
-    left = F.filter("windows", lambda w: ~(F.col("is_run") & (w["at"] >= F.col("a")) & (w["at"] + w["size"] <= F.col("b"))))
-    rest = met.select("did", "th", "near", "lo", F.explode(left).alias("w")).select("did", "th", F.col("w.at").alias("at"), F.slice("near", F.col("w.at") - F.col("lo") + 1, F.col("w.size")).alias("lines"))
+    left = [F.when(F.col(f"w_{s}_{b}") & ~(F.col("is_run") & F.coalesce(inside(s, b), F.lit(False))), F.struct((F.col("place") - b).alias("at"), F.array(*[F.col(_h(d)) for d in range(-b, s - b)]).alias("lines"))) for s, b in _sizes(run, words)]
+    rest = durable(met.select("did", "th", F.inline(F.array_compact(F.array(*left)))))
     once = rest.groupBy("lines").agg(F.min(F.struct("did", "at")).alias("source"), F.count("*").alias("n")).where("n > 1").select("lines", "source")
     again = salted_join(rest, once, ["lines"]).where(F.struct("did", "at") > F.col("source")).select("did", "th", F.col("at").alias("a"), (F.col("at") + F.size("lines")).alias("b"))
     return _united(runs.unionByName(again))
