@@ -81,7 +81,7 @@ def test_hostile_pages_take_linear_time():
 def test_metadata_of_odd_markup():
     page = "<HTML LANG=en-GB><title>a<b</title><meta content='x  y' NAME=description><a class=q href=u>1</a><a href>2</a><a href='v&amp;w'>3</a><!-- <a href=no> --><title>no</title>"
     assert warc.page_metadata(page) == {"title": "a<b", "lang": "en-GB", "description": "x y", "links": ["u", "", "v&w"]}
-    assert warc.text_of("a<br/>b<p class=x>c</p><script src=a>no</script >d<style>e") == "a\nb\nc\n d"
+    assert warc.text_of("a<br/>b<p class=x>c</p><script src=a>no</script >d<style>e") == "a\nb\nc\nd"
     assert warc.text_of("one <a href='x two") == "one"
 
 
