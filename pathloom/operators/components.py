@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pathloom.plans.durable import durable
@@ -28,8 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b") % 1000003).alias("s")).first()
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, written, with how many they are and a hash of all, both taken while they are written."""
+    seen = Observation()
+    now = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b") % 1000003).alias("s")))
+    return now, {"n": 0, **seen.get}
 
 
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -39,13 +42,11 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     Each round is written to the shared folder; the rounds grow with the logarithm of the component size.
     """
     nodes = _both(edges.where("a is not null and b is not null")).select(F.col("a").alias("node")).distinct()
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(now)
+    now, before = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if not before["n"]:
             break
-        now = durable(_small_star(_large_star(now)))
-        after = _state(now)
+        now, after = _written(_small_star(_large_star(now)))
         if after == before:
             break
         before = after

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pathloom.operators import graph as G
+from pathloom.plans.durable import durable
 from pathloom.plans.registry import query
 
 C = F.col
@@ -91,7 +92,7 @@ UNION ALL SELECT pathway_id, 'missing_ids', label, kind FROM things_ WHERE lengt
 
 
 def odd(t):
-    n, e = draft(t)
+    n, e = map(durable, draft(t))
     size = F.length("id")
     thing = C("kind") != "reaction"
     label = F.when((C("kind") == "compound") & (size % 11 == 0), "ATP").when(thing & (size % 13 == 0), F.concat("label", F.lit(" complex"))).when(thing, C("label")).otherwise(F.concat("label", F.when(size % 3 == 0, " Phosphorylation").when(size % 3 == 1, " transport").otherwise("")))
