@@ -412,7 +412,7 @@ def _tested(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 #: Bytes of shingle sets in a block; a larger group of candidates is compared block with block, each pair of blocks in a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def _looked_over(pairs: DataFrame, lone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -484,12 +484,11 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     sets = durable(held.mapInArrow(lambda it: _shingle_sets(it, words), "th binary, shingles binary").groupBy("th").agg(F.first("shingles").alias("shingles")))
     got = durable(_tested(pairs, sets, similarity))
     edges = got.where("similar").select("a", "b")
-    label = durable(connected_components(edges))
-    # who was paired with a hub alone, is not like it and not linked with it otherwise, is held against all that it could be like
-    own, hub = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("b", "a"))
-    lone = durable(got.where("star and not similar").join(own, "b", "left").join(hub, "a", "left").where(~F.coalesce("cb", "b").eqNullSafe(F.coalesce("ca", "a"))).select(F.col("b").alias("th")).distinct())
+    # who was paired with a hub alone and is not like it is held against all that it could be like
+    lone = durable(got.where("star and not similar").select(F.col("b").alias("th")).distinct())
     if not lone.isEmpty():
-        label = durable(connected_components(edges.unionByName(_looked_over(pairs, lone, sets, similarity))))
+        edges = edges.unionByName(_looked_over(pairs, lone, sets, similarity))
+    label = durable(connected_components(edges))
     named = distinct.join(label, distinct["th"] == label["node"], "left").select("th", "least", F.coalesce("component", "th").alias("c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     grouped = salted_join(named, least, ["c"]).select("th", "component_id")
