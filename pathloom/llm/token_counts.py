@@ -5,9 +5,11 @@ it, a blank run at the end of a line, or a line feed; a long one is cut further
 together in no piece of the vocabulary. Each distinct pre-token of the corpus is given to the tokenizer once; its pieces,
 times how often it stands in a document, add up to the document's tokens.
 
-The commonest pre-tokens (``COMMON`` at most, of ``SHORT`` letters at most, so at most 13 million letters) go to all tasks and are summed where a text is
-read. What is left of a document leaves as (pre-token, frequency) pairs and is joined with the dictionary; a long pre-token
-may be as common as it likes, its key is spread over the salts it has.
+Common pre-tokens go to all tasks with their counts and are summed where a text is read: those in two or more of ``SAMPLE``
+documents drawn by a hash, as many as ``COMMON`` and ``COMMON_BYTES`` allow, the most frequent ones. That draw decides on the
+way alone, not on any count. Whatever else stands in a document leaves as (pre-token, frequency) pairs; their distinct
+pre-tokens are counted, once each, and joined with the pairs. A pre-token of a large share of the documents is among the
+common ones, so no key of the join is.
 
 Defined results: a null or empty text has no bytes and no tokens; a blank text has the tokens of its blanks; equal rows (and
 rows of a null id) have a row each; an empty table gives none. Other columns are left out, whatever their names.
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 
 from pathloom.llm._text import batch_of, columns
 from pathloom.plans.durable import durable
-from pathloom.plans.skew import spread_join
 
 LIMIT = 4096
-#: Pre-tokens that are broadcast, and the letters of the longest of them.
-COMMON, SHORT = 200_000, 64
+#: Documents that tell the common pre-tokens, and how many of those are broadcast, by number and by bytes.
+SAMPLE, COMMON, COMMON_BYTES = 100_000, 600_000, 64 << 20
+#: Letters of a pre-token beyond which it is cut further.
+LONG = 64
 #: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 300_000
+HELD = 200_000
 
 _SPACE = "▁"  # stands for a blank inside the model
 _PROBE = " ﬁ  Å　x\n y "
@@ -58,7 +61,7 @@ class Pieces:
         if not text:
             return Counter()
         found = Counter(self._CUT.findall(" " + text.replace(_SPACE, " ")))
-        for t in [t for t in found if len(t) > SHORT]:
+        for t in [t for t in found if len(t) > LONG]:
             n = found.pop(t)
             for part, k in self._apart(t).items():
                 found[part] += n * k
@@ -91,7 +94,6 @@ def _texts(column: pa.Array) -> Iterator[str]:
 
 
 _FOUND = pa.schema([("token", pa.string()), ("docs", pa.int64())])
-_COUNTED = pa.schema([("token", pa.string()), ("docs", pa.int64()), ("pieces", pa.int64())])
 
 
 def _found(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -109,26 +111,27 @@ def _found(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = _pieces(path)
     for batch in batches:
-        yield batch_of(_COUNTED, [batch.column(0), batch.column(1), [model.count(t) for t in batch.column(0).to_pylist()]])
+        yield batch_of(pa.schema([("token", pa.string()), ("pieces", pa.int64())]), [batch.column(0), [model.count(t) for t in batch.column(0).to_pylist()]])
 
 
-def dictionary(texts: DataFrame, path: str) -> DataFrame:
-    """Each distinct pre-token of a column of texts: ``token, docs, pieces``."""
-    found = texts.mapInArrow(lambda it: _found(it, path), "token string, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
-    return durable(found.mapInArrow(lambda it: _counted(it, path), "token string, docs long, pieces long"))
+def dictionary(tokens: DataFrame, path: str) -> DataFrame:
+    """The pieces of each of some distinct pre-tokens: ``token, pieces``."""
+    return tokens.select("token").mapInArrow(lambda it: _counted(it, path), "token string, pieces long")
 
 
-def common(words: DataFrame, most: int = COMMON) -> dict[str, int]:
-    """The pieces of the commonest short pre-tokens: all in at least so many texts, the least power of two that leaves ``most``."""
-    short = words.where(F.length("token") <= SHORT)
-    sizes = {r["p"]: r["n"] for r in short.groupBy(F.floor(F.log2("docs")).alias("p")).agg(F.count("*").alias("n")).collect()}
-    total, least = 0, None
+def common(docs: DataFrame, path: str, most: int = COMMON, sample: int = SAMPLE) -> dict[str, int]:
+    """Pre-tokens in at least so many of the drawn documents, the least power of two from two up that the bounds allow."""
+    share = min(1.0, sample / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    found = durable(drawn.select("_text").mapInArrow(lambda it: _found(it, path), "token string, docs long").groupBy("token").agg(F.sum("docs").alias("docs")).where("docs > 1"))
+    sizes = {r["p"]: r for r in found.groupBy(F.floor(F.log2("docs")).alias("p")).agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).alias("bytes")).collect()}
+    total, size, least = 0, 0, None
     for p in sorted(sizes, reverse=True):
-        total += sizes[p]
-        if total > most:
+        total, size = total + sizes[p]["n"], size + sizes[p]["bytes"]
+        if total > most or size > COMMON_BYTES:
             break
         least = p
-    return {} if least is None else {r["token"]: r["pieces"] for r in short.where(F.floor(F.log2("docs")) >= least).select("token", "pieces").collect()}
+    return {} if least is None else {r["token"]: r["pieces"] for r in dictionary(found.where(F.floor(F.log2("docs")) >= least), path).collect()}
 
 
 def _sums(batches: Iterator[pa.RecordBatch], path: str, known: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -152,11 +155,11 @@ def count(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Per row: its id, ``n_bytes, n_tokens, over_limit``."""
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    words = dictionary(docs.select("_text"), model_path)
-    known = documents.sparkSession.sparkContext.broadcast(common(words, most))
+    known = documents.sparkSession.sparkContext.broadcast(common(docs, model_path, most))
     sums = docs.mapInArrow(lambda it: _sums(it, model_path, known), f"_id {kind}, n_bytes long, known long, rest array<struct<token:string,n:long>>")
     held = durable(sums.withColumn("_row", F.monotonically_increasing_id()))  # a row's number is fixed once it is written
     rest = held.select("_row", F.inline("rest"))
-    more = spread_join(rest, words.select("token", "pieces"), ["token"]).groupBy("_row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    words = dictionary(rest.select("token").distinct(), model_path)
+    more = rest.join(words, "token").groupBy("_row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
     total = F.col("known") + F.coalesce("more", F.lit(0))
     return held.drop("rest").join(more, "_row", "left").select(F.col("_id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
