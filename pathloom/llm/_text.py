@@ -2,6 +2,8 @@
 
 Texts travel as UTF-8 bytes. A chunk is one byte array in which every text is followed by one space, so
 no word crosses a document. Hashes are 64 bits wide; the operators verify or widen them where it matters.
+Spans below ``LONG_SPAN`` values are hashed as polynomials modulo 2**64, from running sums. Repetitive strings of two symbols
+can cancel in such a polynomial once they are long, so longer spans are hashed by XXH64 from their values.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
+LONG_SPAN = 32
 
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
@@ -45,18 +49,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Hashes of any spans ``[s, e)`` of a sequence of 64-bit values, from running sums."""
+    """Hashes of any spans ``[s, e)`` of a sequence of 64-bit values: short ones from running sums, long ones one by one."""
 
     def __init__(self, values: np.ndarray, base: int = _P, inverse: int = _P_INV):
         n = len(values)
-        self.inverse = inverse
+        self.inverse, self.values = inverse, np.ascontiguousarray(values)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * powers(base, n), out=self.sums[1:])
 
     def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         h = self.sums[e] - self.sums[s]
         h *= powers(self.inverse, len(self.sums))[s]
-        return mix(h + (e - s).astype(np.uint64) * U(_Q))
+        h = mix(h + (e - s).astype(np.uint64) * U(_Q))
+        long = np.flatnonzero(e - s >= LONG_SPAN)
+        if len(long):
+            raw = memoryview(self.values).cast("B")
+            h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip((8 * s[long]).tolist(), (8 * e[long]).tolist(), strict=True)), dtype=np.uint64, count=len(long))
+        return h
 
 
 def byte_values(buf: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._text import Chunk, SpanHash, batch_of, binary, byte_values, chunks, ragged
+from pathloom.llm._text import Chunk, SpanHash, U, batch_of, binary, byte_values, chunks, ragged
 from pathloom.plans.durable import durable
 
 CONTEXT = 4096
@@ -67,13 +67,13 @@ class WordMemo:
         self.alphabet = _byte_letters()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.first = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
         self.pool = np.zeros(1 << 18, dtype=np.uint16)
         self.used = 0
 
-    def _add(self, h: int, word: bytes) -> None:
+    def _add(self, word: bytes) -> None:
         ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.alphabet))]
         k = len(self.at)
         if k == len(self.first):
@@ -83,7 +83,7 @@ class WordMemo:
         self.pool[self.used : self.used + len(ids)] = ids
         self.first[k], self.length[k] = self.used, len(ids)
         self.used += len(ids)
-        self.at[h] = k
+        self.at[word] = k
 
     def _by_words(self, lowered: list[bytes]) -> list[np.ndarray]:
         """Ids of some lower-cased texts."""
@@ -96,16 +96,18 @@ class WordMemo:
         e = np.append(s[1:], len(raw))
         full = kind[s] > 0
         s, e = s[full], e[full]
-        names, place, which = np.unique(SpanHash(byte_values(raw))(s, e), return_index=True, return_inverse=True)
-        if len(self.at) + len(names) > MEMO_WORDS:
+        _, place, which = np.unique(SpanHash(byte_values(raw))(s, e), return_index=True, return_inverse=True)
+        if not _alike(raw, s, e, place[which]):  # two words of one hash
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype=np.uint16) for t in lowered]
+        if len(self.at) + len(place) > MEMO_WORDS:
             self.clear()
-        known = np.empty(len(names), dtype=np.int64)
-        for i, h in enumerate(names.tolist()):
-            k = self.at.get(h)
+        known = np.empty(len(place), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(s[place].tolist(), e[place].tolist(), strict=True)):
+            word = raw[a:b].tobytes()
+            k = self.at.get(word)
             if k is None:
-                j = place[i]
                 k = len(self.at)
-                self._add(h, raw[s[j] : e[j]].tobytes())
+                self._add(word)
             known[i] = k
         k = known[which]
         sizes = self.length[k]
@@ -130,6 +132,24 @@ class WordMemo:
         return out
 
 
+def _alike(raw: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word ``first`` says is the same, eight at a time."""
+    words = np.ndarray(len(raw) + 1, dtype="<u8", buffer=np.append(raw, np.zeros(8, dtype=np.uint8)), strides=(1,))
+    size = e - s
+    if (size != size[first]).any():
+        return False
+    other = np.flatnonzero(first != np.arange(len(s)))
+    at = 0
+    while len(other):
+        left = np.minimum(size[other] - at, 8).astype(np.uint64)
+        keep = ~U(0) >> (U(64) - U(8) * left)
+        if (((words[s[other] + at] ^ words[s[first[other]] + at]) & keep) != 0).any():
+            return False
+        at += 8
+        other = other[size[other] > at]
+    return True
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
     own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
