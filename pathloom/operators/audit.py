@@ -137,25 +137,6 @@ def accepted(patches: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     return got.withColumn("reason", why).withColumn("accepted", F.col("reason") == "accepted").select(*patches.columns, "accepted", "reason")
 
 
-def apply_patches(rows: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """One list's rows (``pathway_id, pos, fields``) after accepted patches (``seq, op, path, value``, the paths within the
-    list): the last patch of a field wins, removals come last, by the places that rows had; ``/-`` appends. An insertion
-    before a row isn't done. ``patched`` counts the fields changed."""
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    p = patches.select("pathway_id", "seq", F.lower("op").alias("op"), parts[0].alias("at"), F.get(parts, F.lit(1)).alias("field"), "value")
-    cells = p.where(F.col("field").isin(*fields) & F.col("at").rlike(r"^\d+$"))
-    last = cells.groupBy("pathway_id", F.col("at").cast("long").alias("pos"), "field").agg(F.max_by(F.when(F.col("op") != "remove", F.col("value")), "seq").alias("v"))
-    wide = last.groupBy("pathway_id", "pos").agg(*[F.max(F.when(F.col("field") == f, F.struct(F.col("v").alias("v")))).alias(f"_{f}") for f in fields], F.count("*").alias("patched"))
-    got = rows.withColumn("pos", F.col("pos").cast("long")).join(wide, ["pathway_id", "pos"], "left")
-    changed = got.withColumns({f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f)) for f in fields}).withColumn("patched", F.coalesce("patched", F.lit(0))).select("pathway_id", "pos", *fields, "patched")
-    gone = p.where("op = 'remove' and field is null and at rlike '^[0-9]+$'").select("pathway_id", F.col("at").cast("long").alias("pos"))
-    top = rows.groupBy("pathway_id").agg(F.max("pos").cast("long").alias("top"))
-    from pathloom.operators.tables import numbered
-
-    new = numbered(p.where("op = 'add' and at = '-'"), ["pathway_id"], "seq").join(top, "pathway_id", "left").select("pathway_id", (F.coalesce("top", F.lit(-1)) + F.col("rn")).alias("pos"), *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields], F.lit(1).cast("long").alias("patched"))
-    return changed.join(gone, ["pathway_id", "pos"], "left_anti").unionByName(new)
-
-
 def normal_patches(raw: DataFrame, key: str = "pathway_id", order: str = "seq") -> DataFrame:
     """Patches as JSON texts under any of their names, the first of each operation and path."""
     get = lambda *ks: F.coalesce(*[F.get_json_object("json", f"$.{k}") for k in ks])

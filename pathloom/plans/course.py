@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
-from pathloom.operators import audit, export, integrity, linking, merge
+from pathloom.operators import audit, export, integrity, linking, merge, patches
 from pathloom.operators.tables import numbered
 from pathloom.plans.durable import durable
 from pathloom.plans.lifecycle import normalise
@@ -49,7 +49,7 @@ def repaired(t: dict[str, DataFrame], max_rounds: int = MAX_ROUNDS) -> tuple[dic
         if good.isEmpty():
             break
         within = good.where("path like '/entities/compounds/%'").withColumn("path", F.expr("substring(path, length('/entities/compounds') + 1)"))
-        compounds = audit.apply_patches(ents.where("kind = 'compound'").select("pathway_id", "pos", "name"), within, ["name"])
+        compounds, _ = patches.apply_in_order(numbered(ents.where("kind = 'compound'"), ["pathway_id"], "pos").select("pathway_id", (F.col("rn") - 1).alias("pos"), "name"), within, ["name"])
         ents = durable(ents.where("kind <> 'compound'").unionByName(compounds.select("pathway_id", F.lit("compound").alias("kind"), "pos", "name")))
         gone = good.where("op = 'remove' and path like '/processes/reactions/%'").select("pathway_id", F.regexp_extract("path", r"(\d+)$", 1).cast("int").alias("process"))
         rx = durable(rx.join(gone, ["pathway_id", "process"], "left_anti"))

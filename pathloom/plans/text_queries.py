@@ -121,12 +121,6 @@ _ACCEPT = """CASE WHEN op = 'add' AND confidence < 0.75 THEN 'low_confidence' WH
 query("P01_patch_acceptance", f"SELECT seq, reason = 'accepted' AS accepted, reason FROM (SELECT seq, {_ACCEPT} AS reason FROM (SELECT * REPLACE (least(1.0, confidence * 8) AS confidence) FROM {{patches}} p))")(
     lambda t: (lambda p: A.accepted(p, p.select("pathway_id", "path", (C("seq") % 8 < 4).alias("is_noop"), "seq").where("path like '/processes%'").dropDuplicates(["seq"]).drop("pathway_id").withColumn("pathway_id", C("seq")).drop("seq")))(t.patches.withColumn("confidence", F.least(F.lit(1.0), C("confidence") * 8)).withColumn("pathway_id", C("seq"))).select("seq", "accepted", "reason")
 )
-query("P02_apply_patches", """WITH p AS (SELECT event_id AS seq, user_id AS pathway_id, event_id % 4 AS k, event_id % 9 AS pos, event_type AS v FROM events WHERE event_id % 3 = 0), r AS (SELECT DISTINCT user_id AS pathway_id, event_id % 9 AS pos FROM events),
-    c AS (SELECT pathway_id, pos, arg_max(v, seq) FILTER (k = 0) AS name, arg_max(v, seq) FILTER (k = 1) AS state, count(DISTINCT k) AS patched FROM p WHERE k < 2 GROUP BY 1, 2)
-    SELECT pathway_id, pos, coalesce(name, 'n') AS name, coalesce(state, 's') AS state, coalesce(patched, 0) AS patched FROM r LEFT JOIN c USING (pathway_id, pos) WHERE NOT EXISTS (SELECT 1 FROM p WHERE k = 2 AND p.pathway_id = r.pathway_id AND p.pos = r.pos)
-    UNION ALL SELECT pathway_id, (SELECT max(pos) FROM r WHERE r.pathway_id = p.pathway_id) + row_number() OVER (PARTITION BY pathway_id ORDER BY seq), v, NULL, 1 FROM p WHERE k = 3""")(
-    lambda t: A.apply_patches(t.events.select(C("user_id").alias("pathway_id"), (C("event_id") % 9).alias("pos"), F.lit("n").alias("name"), F.lit("s").alias("state")).distinct(), t.events.where("event_id % 3 = 0").select(C("event_id").alias("seq"), C("user_id").alias("pathway_id"), F.element_at(F.array(F.lit("replace"), F.lit("replace"), F.lit("remove"), F.lit("add")), (C("event_id") % 4 + 1).cast("int")).alias("op"), F.concat(F.lit("/"), F.when(C("event_id") % 4 == 3, "-").otherwise((C("event_id") % 9).cast("string")), F.when(C("event_id") % 4 == 0, "/name").when(C("event_id") % 4 == 1, "/state").otherwise("")).alias("path"), F.when(C("event_id") % 4 == 3, F.concat(F.lit('{"name":"'), "event_type", F.lit('"}'))).otherwise(C("event_type")).alias("value")), ["name", "state"])
-)
 query("P03_normal_patches", "SELECT user_id AS pathway_id, CASE WHEN event_id % 2 = 0 THEN 'add' ELSE 'replace' END AS op, concat('/p/', event_id % 5) AS path, min(event_id) AS seq, arg_min(event_type, event_id) AS value FROM events GROUP BY 1, 2, 3")(
     lambda t: A.normal_patches(t.events.select(C("user_id").alias("pathway_id"), C("event_id").alias("seq"), F.when(C("event_id") % 2 == 0, F.format_string('{"action":"ADD","path":"/p/%d","new_value":"%s"}', C("event_id") % 5, C("event_type"))).otherwise(F.format_string('{"op":"replace","path":"/p/%d","value":"%s","confidence":"x"}', C("event_id") % 5, C("event_type"))).alias("json"))).select("pathway_id", "op", "path", "seq", "value")
 )
