@@ -109,7 +109,7 @@ def _cells(slots: DataFrame, base: DataFrame, fields: list[str]) -> tuple[DataFr
 def _inner(slots: DataFrame, base: DataFrame, lists: list[str]) -> tuple[DataFrame, DataFrame]:
     """As :func:`_cells`, of list-valued fields: patches to their elements or to the whole of them."""
     key = ["pathway_id", "first", "added"]
-    given = F.coalesce(F.when(F.col("inner").isNull(), F.from_json("value", "array<string>")), F.when(F.col("op") != "remove", F.array("value")))
+    given = F.when(F.col("inner").isNull(), F.from_json("value", "array<string>")).when(F.col("op") != "remove", F.array("value"))
     whole = F.when(F.col("op") == "add", "set").when(F.col("op") == "replace", "reset").otherwise("unset")
     p = slots.withColumns({"given": given, "kind": F.when(F.col("inner").isNull(), whole).otherwise(F.col("op"))}).withColumn("size", F.size("given"))
     patches = p.groupBy(*key, "field").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("kind").alias("op"), F.col("inner").alias("at"), "size", "given"))).alias("patches"))
