@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
 from pathloom.operators.tables import first_per, numbered
+from pathloom.plans.durable import durable
 from pathloom.plans.skew import salted_join
 
 COMPOUND = {"synonym": 0.84, "jaccard": 0.55}
@@ -31,26 +34,60 @@ def _grams(c: Column, shortest: int = 2) -> Column:
     return F.array_distinct(F.concat(*[gram(k) for k in range(3, shortest - 1, -1)]))
 
 
+#: One of so many texts tells which grams are rare; rows and letters of terms, and grams, that may be broadcast; bits of the filter.
+DRAW, GIVEN_TERMS, GIVEN_LETTERS, GIVEN_GRAMS, FILTER_BITS = 64, 1_000_000, 16_000_000, 1_000_000, 1 << 26
+
+
 def containing(terms: DataFrame, texts: DataFrame, keys: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
     """``keys, term, id`` wherever a text (``keys, id, text``) contains a term of the same keys, of ``shortest`` characters or
     more, both lower-cased.
 
-    A text that contains a term holds all its 3-grams (shorter ones, if it is shorter), so it is enough to
-    look the term up by the one that fewest texts hold. No pair of all terms with all texts is made, and texts don't go
-    along with their grams: those of the few candidates are fetched. A common gram is dealt to several tasks."""
+    A text that contains a term holds all its 3-grams (shorter ones, if it is shorter), so it is enough to look the term up
+    by any one of them; a draw of texts tells which of them is rare, and decides on nothing else. Terms of ``GIVEN_TERMS`` rows
+    and ``GIVEN_LETTERS`` letters at most go to the texts, which then never move. Beyond that, grams that are no term's are kept
+    from the shuffle by a Bloom filter of ``FILTER_BITS`` bits, whatever the number of terms; the texts of the candidates alone
+    are fetched, and a common gram is dealt to several tasks."""
     k = list(keys)
-    low = texts.select(*k, "id", F.lower("text").alias("text")).where("text <> ''").distinct().withColumn("th", F.xxhash64("text"))
-    index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram"))
-    held = index.groupBy(*k, "gram").agg(F.count("*").alias("n"))
-    probe = terms.select(*k, F.lower("term").alias("term")).distinct().where(F.length("term") >= shortest)
-    own = probe.select(*k, "term", F.explode(F.filter(_grams(F.col("term"), shortest), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
-    # a gram that no text holds means that the term stands nowhere
-    counted = own.join(held, [*k, "gram"], "left")
-    rarest = first_per(counted.withColumn("n", F.coalesce("n", F.lit(0))), [*k, "term"], "n", "gram").where("n > 0").select(*k, "term", "gram")
-    met = salted_join(index, rarest, [*k, "gram"], salts=16).select(*k, "term", "id", "th")
+    low = texts.select(*k, "id", F.lower("text").alias("text")).where("text <> ''")
+    probe = durable(_by_rare_gram(terms.select(*k, F.lower("term").alias("term")).where(F.length("term") >= shortest), low, k, shortest))
+    size = probe.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("letters")).first()
+    grams = low.select(*k, "id", "text", F.explode(_grams(F.col("text"), shortest)).alias("gram"))
+    if size["n"] <= GIVEN_TERMS and size["letters"] <= GIVEN_LETTERS:
+        met = grams.join(F.broadcast(probe), [*k, "gram"])
+        return met.where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
+    low = low.distinct().withColumn("th", F.xxhash64("text"))
+    index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram")).where(_among(probe, F.xxhash64(*k, "gram")))
+    met = salted_join(index, probe, [*k, "gram"], salts=16).select(*k, "term", "id", "th")
     return met.join(low, [*k, "id", "th"]).where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
 
 
+def _by_rare_gram(terms: DataFrame, low: DataFrame, k: list[str], shortest: int) -> DataFrame:
+    """Each term with the one of its grams that fewest drawn texts hold."""
+    drawn = low.where(F.pmod(F.xxhash64("text"), F.lit(DRAW)) == 0)
+    held = durable(drawn.select(F.explode(_grams(F.col("text"), shortest)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+    if held.count() <= GIVEN_GRAMS:
+        held = F.broadcast(held)
+    own = terms.select(*k, "term", F.explode(F.filter(_grams(F.col("term"), shortest), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
+    return first_per(own.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), [*k, "term"], "n", "gram").select(*k, "term", "gram")
+
+
+def _among(probe: DataFrame, h: Column) -> Column:
+    """Whether a hash may be one of the probes' keys and grams: a Bloom filter of two bits a gram, as a bitmap of fixed size."""
+    keys = [c for c in probe.columns if c != "term"]
+    places = lambda x: F.array(F.pmod(x, F.lit(FILTER_BITS)), F.pmod(F.shiftright(x, 27), F.lit(FILTER_BITS)))
+    bits = probe.select(F.explode(places(F.xxhash64(*keys))).alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    given = probe.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(one: pd.Series, two: pd.Series) -> pd.Series:
+        a, b = one.to_numpy(), two.to_numpy()
+        return pd.Series((given.value[a >> 6] >> (a & 63)) & (given.value[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return may(places(h)[0], places(h)[1])
+
+
 def lookups(names: DataFrame) -> DataFrame:
     """``name, term, penalty``: the search terms of a name's variants; each term at its least penalty."""
     v = names.select("name").distinct().select("name", F.posexplode(N.variants(F.col("name"))).alias("v", "variant"))
