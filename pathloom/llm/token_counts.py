@@ -32,7 +32,7 @@ from pathloom.plans.durable import durable
 
 LIMIT = 4096
 #: Documents that tell the common pre-tokens, and how many of those are broadcast, by number and by bytes.
-SAMPLE, COMMON, COMMON_BYTES = 100_000, 600_000, 64 << 20
+SAMPLE, COMMON, COMMON_BYTES = 100_000, 300_000, 16 << 20
 #: Letters of a pre-token beyond which it is cut further.
 LONG = 64
 #: Distinct pre-tokens that a task holds before it hands them on.
