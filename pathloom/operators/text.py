@@ -180,31 +180,49 @@ def motif_tokens(entries: DataFrame, fields: tuple[str, ...] = ("reaction", "spe
 WEIGHTS = {"reaction": 2.6, "species": 1.8, "compartment": 1.0, "all": 0.6}
 
 
-#: Index rows that a query's rarest words may have together for the first look.
-SEED_ROWS = 2000
+def motif_words(entries: DataFrame, fields: tuple[str, ...] = ("reaction", "species", "compartment")) -> DataFrame:
+    """``model, field, token``: every word of each field's texts as it stands, for :func:`postings`."""
+
+    def bag(f: str) -> Column:
+        return F.transform(F.coalesce(N.search_tokens(F.array_join(f, " ")), F.array().cast("array<string>")), lambda t: F.struct(F.lit(f).alias("field"), t.alias("token")))
+
+    return entries.select("model", F.inline(F.concat(*map(bag, fields))))
+
+
+def postings(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``model, token, w``: each word of a model once, with the weights of the fields that have it; only words that are asked
+    for take part in the shuffle. ``asked(token)`` is broadcast if the caller has found it small."""
+    some = words if asked is None else words.join(asked, "token", "left_semi")
+    has = lambda f: F.max(F.when(F.col("field") == f, WEIGHTS[f]).otherwise(0.0))
+    return some.groupBy("model", "token").agg((F.lit(WEIGHTS["all"]) + sum((has(f) for f in WEIGHTS if f != "all"), F.lit(0.0))).alias("w"))
+
+
+#: Postings that a query's rarest words may have together for the first look; words of queries that may be broadcast.
+SEED_ROWS, GIVEN_WORDS = 2000, 500_000
 
 
 def top_examples(queries: DataFrame, index: DataFrame, k: int = 3) -> DataFrame:
-    """``query, model, score, rn``: the ``k`` models of greatest weighted overlap with a query's words.
-
-    The rarest words give ``k`` models and so a score that must be beaten. Frequent words that can't reach it
-    all together find no models; they are only looked up for those that the other words have found."""
-    index = durable(index)
-    q = queries.select("query", F.array_distinct(N.search_tokens(F.col("text"))).alias("t"))
-    words = q.select("query", F.size("t").alias("n"), F.explode("t").alias("token"))
-    held = index.where("field = 'all'").groupBy("token").agg(F.count("*").alias("models"))
+    """``query, model, score, rn``: the ``k`` models of greatest weighted overlap with a query's words, from an ``index`` of models' words
+    (``model, field, token``).
+
+    Postings of words that no query has are left where they are. The rarest words give ``k`` models and so a score that must
+    be beaten. Each word has the greatest weight it has in any model; frequent words that can't reach that score all together
+    find no models. They are looked up only for models that the others have found and that can still reach it with them."""
+    words = durable(queries.select("query", F.array_distinct(N.search_tokens(F.col("text"))).alias("t")).select("query", F.size("t").alias("n"), F.explode("t").alias("token")))
+    asked = words.select("token").distinct()
+    lists = durable(postings(index, F.broadcast(asked) if words.count() <= GIVEN_WORDS else asked))
+    held = lists.groupBy("token").agg(F.count("*").alias("models"), F.max("w").alias("top"))
     rarest = Window.partitionBy("query").orderBy("models", "token")
-    ranked = words.join(held, "token").withColumns({"at": F.row_number().over(rarest), "rows": F.sum("models").over(rarest), "found": F.count("*").over(Window.partitionBy("query"))})
-    ranked = durable(ranked)
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("field")) / F.col("n")
-    scored = lambda some: salted_join(index, some, ["token"], salts=8).groupBy("query", "model").agg(F.sum(weight).alias("score"))
+    onward = F.sum("top").over(rarest.rowsBetween(0, Window.unboundedFollowing)) / F.col("n")
+    ranked = durable(words.join(held, "token").withColumns({"at": F.row_number().over(rarest), "rows": F.sum("models").over(rarest), "most": onward}))
+    scored = lambda some: salted_join(lists, some, ["token"], salts=8).groupBy("query", "model").agg(F.sum(F.col("w") / F.col("n")).alias("score"))
     first = scored(ranked.where((F.col("at") == 1) | (F.col("rows") <= SEED_ROWS)).select("query", "n", "token"))
-    beat = numbered(first, ["query"], F.desc("score"), "model").where(F.col("rn") == k).select("query", F.col("score").alias("beat"))
-    # at most, a word adds every field's weight
-    most = (F.col("found") - F.col("at") + 1) * sum(WEIGHTS.values()) / F.col("n")
-    split = durable(ranked.join(beat, "query", "left").withColumn("finds", F.coalesce(most >= F.col("beat") - 1e-6, F.lit(True))).select("query", "n", "token", "finds"))
-    own = durable(scored(split.where("finds").select("query", "n", "token")))
-    rest = own.select("query", "model").join(split.where("not finds"), "query").join(index, ["model", "token"]).groupBy("query", "model").agg(F.sum(weight).alias("more"))
+    beat = durable(numbered(first, ["query"], F.desc("score"), "model").where(F.col("rn") == k).select("query", (F.col("score") - 1e-6).alias("beat")))
+    split = durable(ranked.join(beat, "query", "left").withColumn("finds", F.coalesce(F.col("most") >= F.col("beat"), F.lit(True))).select("query", "n", "token", "finds", "beat", "most"))
+    late = split.where("not finds").groupBy("query").agg(F.max("most").alias("late"), F.first("beat").alias("beat"))
+    found = scored(split.where("finds").select("query", "n", "token")).join(late, "query", "left")
+    own = durable(found.where("beat is null or score + late >= beat").select("query", "model", "score"))
+    rest = own.select("query", "model").join(split.where("not finds").select("query", "n", "token"), "query").join(lists, ["model", "token"]).groupBy("query", "model").agg(F.sum(F.col("w") / F.col("n")).alias("more"))
     total = own.join(rest, ["query", "model"], "left").select("query", "model", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 6).alias("score"))
     return numbered(total, ["query"], F.desc("score"), "model").where(F.col("rn") <= k)
 

@@ -68,9 +68,9 @@ _TOKS = "list_filter(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-z0-9
 _INDEX = f"ix AS (SELECT DISTINCT model, unnest([f, 'all']) AS field, token FROM (SELECT model, f, unnest({_TOKS.format('s')}) AS token FROM (SELECT doc_id AS model, unnest(['reaction', 'species', 'compartment']) AS f, unnest([array_to_string({_ODD.format('l')}, ' '), array_to_string({_EVEN.format('l')}, ' '), source]) AS s FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)) WHERE s IS NOT NULL))"
 query("S26_motif_tokens", f"WITH {_INDEX} SELECT * FROM ix")(lambda t: T.motif_tokens(entries(t)))
 _TOP = f"WITH {_INDEX}, q AS (SELECT item_id AS query, list_distinct({_TOKS.format('text')}) AS t FROM benchmark), w AS (SELECT query, len(t) AS n, unnest(t) AS token FROM q), s AS (SELECT query, model, round(sum(CASE field WHEN 'reaction' THEN 2.6 WHEN 'species' THEN 1.8 WHEN 'compartment' THEN 1.0 ELSE 0.6 END / n), 6) AS score FROM w JOIN ix USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, model) AS rn FROM s)"
-query("F01_top_examples", _TOP + " SELECT query, model, rn FROM r WHERE rn <= 3")(lambda t: T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_tokens(entries(t))).select("query", "model", "rn"))
+query("F01_top_examples", _TOP + " SELECT query, model, rn FROM r WHERE rn <= 3")(lambda t: T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_words(entries(t))).select("query", "model", "rn"))
 query("F04_retrieval_context", _TOP + ", e AS (SELECT doc_id AS model, string_split(text, chr(10)) AS l, source FROM documents) SELECT query, substr(string_agg(concat('# ', model, chr(10), 'compartments: ', source, chr(10), 'species: ', array_to_string(list_slice(" + _EVEN.format("l") + ", 1, 10), ', '), chr(10), 'reactions: ', array_to_string(list_slice(" + _ODD.format("l") + ", 1, 6), ', ')), concat(chr(10), chr(10)) ORDER BY rn), 1, 900) AS context FROM r JOIN e USING (model) WHERE rn <= 3 GROUP BY 1")(
-    lambda t: T.context_texts(T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_tokens(entries(t))), entries(t), most=900)
+    lambda t: T.context_texts(T.top_examples(t.benchmark.select(C("item_id").alias("query"), "text"), T.motif_words(entries(t))), entries(t), most=900)
 )
 query("S27_query_texts", "SELECT pathway_id, string_agg(name, chr(10) ORDER BY part, pos) AS text FROM (SELECT *, row_number() OVER (PARTITION BY pathway_id, name ORDER BY part, pos) AS r FROM (SELECT pathway_id, 0 AS part, pos, name FROM {compounds} c UNION ALL SELECT pathway_id, 1, pos, lower(brand) FROM {compounds} c)) WHERE r = 1 GROUP BY 1")(
     lambda t: T.query_texts(t.compounds, t.compounds.select("pathway_id", "pos", F.lower("brand").alias("name")))

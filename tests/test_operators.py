@@ -209,9 +209,16 @@ def test_scratch_removes_its_tables(spark):
     assert kept.count() == 3 and len(inside - set(os.listdir(folder))) == 1
 
 
+def test_postings_weigh_each_word_once(spark):
+    entries = spark.createDataFrame([(1, ["glucose to glucose", "atp"], ["Glucose"], None), (2, None, None, ["cytosol"]), (3, [], [], [])], "model int, reaction array<string>, species array<string>, compartment array<string>")
+    got = {(r.model, r.token): round(r.w, 6) for r in text.postings(text.motif_words(entries)).collect()}
+    assert got == {(1, "glucose"): 5.0, (1, "atp"): 3.2, (2, "cytosol"): 1.6}
+
+
 def test_top_examples_skip_frequent_words(spark, monkeypatch):
     r = random.Random(3)
     models = [(m, field, t) for m in range(200) for t in {*r.choices(["common", "often", "usual"], k=3), *r.choices([f"rare{i}" for i in range(60)], k=4)} for field in ("all", r.choice(["reaction", "species"]))]
+    models = [x for x in models if x[1] != "all"]
     index = spark.createDataFrame(models, "model long, field string, token string")
     queries = spark.createDataFrame([(i, " ".join(["common often usual", *r.choices([f"rare{j}" for j in range(70)], k=6)])) for i in range(20)] + [(99, "nowhere"), (98, "common")], "query long, text string")
     want = {}
@@ -219,7 +226,7 @@ def test_top_examples_skip_frequent_words(spark, monkeypatch):
         score = {}
         for m, field, t in models:
             if t in words:
-                score[m] = score.get(m, 0) + text.WEIGHTS[field] / len(words)
+                score[m] = score.get(m, 0) + (text.WEIGHTS[field] + text.WEIGHTS["all"]) / len(words)
         want[q] = [m for m, _ in sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:3]]
     for rows in (1, 40, 10**6):
         monkeypatch.setattr(text, "SEED_ROWS", rows)
