@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pathloom.operators import export as X
 from pathloom.operators.tables import first_per
+from pathloom.plans.durable import shared_folder
 from pathloom.plans.registry import query
+from pathloom.sources import model_files
 from pathloom.sources import models as M
 from pathloom.sources import records as R
 
@@ -31,6 +35,17 @@ def parsed(t):
 P4 = "(SELECT * FROM {participants} p)"
 SP = f"(SELECT DISTINCT pathway_id, entity AS id, concat('N<', substr(entity, 2, 2), '>') AS name, concat('k', right(entity, 1)) AS compartment FROM {P4} q)"
 query("A03_model_species", f"SELECT * FROM {SP} s")(lambda t: M.species(parsed(t), "pathway_id").drop("pos"))
+
+
+def reread(t):
+    """The models written as files, one each, and read back; a file's name is its model's key."""
+    folder = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
+    model_files.write(M.documents(*tables(t)), folder)
+    files = M.read_texts(t.spark, folder)
+    return M.parse(files.select(F.regexp_extract("source", r"([^/]+)\.xml$", 1).cast("long").alias("pathway_id"), "xml"), "pathway_id")
+
+
+query("A09_model_files", f"SELECT * FROM {SP} s")(lambda t: M.species(reread(t), "pathway_id").drop("pos"))
 query("A03_model_references", f"SELECT pathway_id, concat('r', process) AS reaction, role, entity AS species, stoichiometry, concat('N<', substr(entity, 2, 2), '>') AS species_name FROM {P4} q UNION ALL SELECT pathway_id, concat('r', process), 'modifier', entity, 1.0, concat('N<', substr(entity, 2, 2), '>') FROM {P4} q WHERE pos = 1")(lambda t: M.references(parsed(t), "pathway_id").drop("pos"))
 query("A03_model_failures", "SELECT o_custkey AS pathway_id FROM orders WHERE o_custkey % 40 = 4 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")(lambda t: M.failures(M.parse(M.documents(*tables(t)).withColumn("xml", F.when(C("pathway_id") % 40 == 4, F.substring("xml", 1, 60)).otherwise(C("xml"))), "pathway_id"), "pathway_id"))
 query("C21_classified_reactions", f"""SELECT pathway_id, concat('r', process) AS reaction, CASE WHEN count(*) FILTER (role = 'reactant') = 1 AND count(*) FILTER (role = 'product') = 1 AND max(substr(entity, 2, 2)) FILTER (role = 'reactant') = max(substr(entity, 2, 2)) FILTER (role = 'product') AND max(right(entity, 1)) FILTER (role = 'reactant') <> max(right(entity, 1)) FILTER (role = 'product') THEN 'transport' ELSE 'reaction' END AS kind FROM {P4} q GROUP BY 1, 2""")(

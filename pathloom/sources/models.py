@@ -17,8 +17,8 @@ SBML = (
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``source, xml``: a file a row."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("source"), F.col("value").alias("xml"))
+    """``source, xml``: a file a row, from a folder and those in it."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("source"), F.col("value").alias("xml"))
 
 
 def parse(texts: DataFrame, key: str = "source", xml: str = "xml") -> DataFrame:
@@ -27,7 +27,6 @@ def parse(texts: DataFrame, key: str = "source", xml: str = "xml") -> DataFrame:
     return got.select(key, F.when(F.coalesce(F.col("d.model._id"), F.col("d.model._name")).isNotNull() | F.col("d.model.listOfSpecies").isNotNull(), F.col("d.model")).alias("model"))
 
 
-
 def failures(parsed: DataFrame, key: str = "source") -> DataFrame:
     return parsed.where("model is null").select(key)
 

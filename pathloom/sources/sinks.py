@@ -1,9 +1,11 @@
-"""Where results go: tables as Parquet, payloads as JSON lines, models as XML texts. Each part of a result is a folder."""
+"""Where results go: tables as Parquet, payloads as JSON lines, models as XML files. Each part of a result is a folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from pathloom.sources import model_files
+
 
 def write_tables(tables: dict[str, DataFrame | None], folder: str, mode: str = "errorifexists") -> list[str]:
     """Each table as Parquet under its name; the names written."""
@@ -20,6 +22,6 @@ def write_payloads(documents: DataFrame, folder: str, column: str = "json", mode
     documents.select(column).write.mode(mode).option("compression", "gzip").text(folder)
 
 
-def write_models(documents: DataFrame, folder: str, column: str = "xml", mode: str = "errorifexists") -> None:
-    """Model documents as Parquet rows (key and text), since an XML text may span lines."""
-    documents.select("*").where(f"{column} is not null").write.mode(mode).parquet(folder)
+def write_models(documents: DataFrame, folder: str, key: str = "pathway_id", column: str = "xml", mode: str = "append") -> None:
+    """Model documents as XML files, one each; see :mod:`pathloom.sources.model_files`."""
+    model_files.write(documents, folder, key, column, mode=mode)
