@@ -10,9 +10,11 @@ from pathloom.operators import audit, export, integrity, linking, merge, patches
 from pathloom.operators.tables import numbered
 from pathloom.plans.durable import durable
 from pathloom.plans.lifecycle import normalise
-from pathloom.sources import payload
+from pathloom.sources import models, payload
 
 MAX_ROUNDS = 4
+#: Transports are numbered from here on, reactions below.
+TRANSPORTS = 1 << 30
 
 
 def shredded(texts: DataFrame) -> dict[str, DataFrame]:
@@ -21,11 +23,17 @@ def shredded(texts: DataFrame) -> dict[str, DataFrame]:
     parts = payload.participants(p).withColumn("role", F.when(F.col("role") == "enzyme", "modifier").otherwise(F.col("role")))
     rx = p.select("pathway_id", F.posexplode("processes.reactions").alias("process", "r")).select("pathway_id", "process", F.col("process").alias("pos"), "r.name", "r.inputs", "r.outputs", F.col("r.biological_state").alias("state"), "r.evidence")
     empty = F.array().cast("array<string>")
+    number = F.col("process") + F.when(F.col("process_kind") == "transport", TRANSPORTS).otherwise(0)
+    moves = p.select("pathway_id", F.posexplode("processes.transports").alias("pos", "t"))
+    acts = p.select("pathway_id", F.posexplode("processes.interactions").alias("pos", "i"))
     return {
         "payloads": p.select("pathway_id"),
         "entities": durable(payload.entities(p).select("pathway_id", "kind", F.col("pos").cast("long").alias("pos"), "name")),
-        "participants": durable(parts.where("process_kind = 'reaction' and trim(coalesce(entity, '')) <> ''").select("pathway_id", "process", "role", "pos", "entity")),
+        "participants": durable(parts.where("process_kind in ('reaction', 'transport') and trim(coalesce(entity, '')) <> ''").select("pathway_id", number.alias("process"), "role", "pos", "entity")),
         "reactions": durable(rx.withColumns({"inputs": F.coalesce("inputs", empty), "outputs": F.coalesce("outputs", empty)})),
+        "transports": durable(moves.select("pathway_id", (F.col("pos") + TRANSPORTS).alias("process"), "pos", F.col("t.from_biological_state").alias("from_state"), F.col("t.to_biological_state").alias("to_state"), "t.evidence")),
+        "interactions": durable(acts.select("pathway_id", "pos", "i.entity_1", "i.relationship", "i.entity_2")),
+        "coupled": p.select("pathway_id", F.posexplode("processes.reaction_coupled_transports").alias("pos", "c")).select("pathway_id", "pos", "c.name", "c.reaction", "c.transport"),
         "states": payload.states(p).select("pathway_id", "name", F.col("subcellular_location").alias("place")),
         "locations": payload.locations(p).select("pathway_id", F.col("pos").cast("long").alias("pos"), "entity", "state", "evidence"),
     }
@@ -36,7 +44,7 @@ def repaired(t: dict[str, DataFrame], max_rounds: int = MAX_ROUNDS) -> tuple[dic
     ``(pathway_id, round, hash, issues)``."""
     ents, used, rx = t["entities"], t["participants"], t["reactions"]
     # actors that no registry has are proteins; what else is missing, the audit's patches add
-    lost = integrity.missing_entities(used.where("role = 'modifier'"), ents)
+    lost = integrity.missing_entities(used.where("role in ('modifier', 'transporter')"), ents)
     ents = durable(ents.unionByName(lost.select("pathway_id", F.lit("protein").alias("kind"), F.lit(1_000_000).cast("long").alias("pos"), "name")))
     rounds = None
     for n in range(max_rounds):
@@ -63,17 +71,30 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS)
     (``stage, n``: rows that came out of each)."""
     raw = shredded(texts)
     fixed, rounds = repaired(raw, max_rounds)
-    done = normalise(fixed["entities"], fixed["reactions"].drop("inputs", "outputs"), fixed["participants"], fixed["states"], locations=fixed["locations"])
+    done = normalise(fixed["entities"], fixed["reactions"].drop("inputs", "outputs"), fixed["participants"], fixed["states"], locations=fixed["locations"], transports=fixed["transports"], interactions=fixed["interactions"])
+    # what a gate stops is kept in the tables and told in the issues, but isn't exported
+    good = durable(done["passed"].select("pathway_id").distinct())
+    passed = {k: done[k].join(good, "pathway_id", "left_semi") for k in ("entities", "participants", "processes", "transports")}
     names = done["entities"].where("kind = 'compound'").select("name").distinct()
     mapped = durable(linking.choose(linking.candidates(names, catalogue, linking.COMPOUND), ["name"], 0.9, 0.74, 0.03))
     places = integrity.primary_places(done["locations"].select("pathway_id", "entity", "pos", "state"), done["states"])
-    comps, spec, refs = (durable(x) for x in export.model_tables(done["entities"], done["participants"], places))
+    comps, spec, refs = (durable(x) for x in export.model_tables(passed["entities"], passed["participants"], places))
     spec = durable(spec.join(mapped.where("status = 'mapped'").select("name", F.col("id").alias("ref_id")), "name", "left"))
-    rx = done["processes"].select("pathway_id", F.col("process").alias("id"))
+    rx = passed["processes"].select("pathway_id", F.col("process").alias("id"))
     metrics = durable(export.model_metrics(spec, rx, comps, refs, rx.limit(0)))
     sizes = {"payloads": raw["payloads"], "reactions_read": raw["reactions"], "entities_read": raw["entities"], "entities_repaired": fixed["entities"], "reactions_normalised": done["processes"], "species": spec, "references": refs}
     stages = None
     for stage, df in sizes.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
         stages = one if stages is None else stages.unionByName(one)
-    return {**done, "rounds": rounds, "stops": merge.stop_reasons(rounds, max_rounds), "mapped": mapped, "compartments": comps, "species": spec, "references": refs, "metrics": metrics, "stages": stages}
+    return {**done, "coupled": raw["coupled"], "rounds": rounds, "stops": merge.stop_reasons(rounds, max_rounds), "mapped": mapped, "compartments": comps, "species": spec, "references": refs, "metrics": metrics, "stages": stages}
+
+
+def documents(made: dict[str, DataFrame]) -> DataFrame:
+    """An XML text for each pathway that the gates let through; a transport is a reaction of its cargo with the transporters as modifiers."""
+    at = lambda df: df.withColumn("pos", F.substring("id", 2, 20).cast("long"))
+    sides = F.when(F.col("role") == "cargo", F.array(F.lit("reactant"), F.lit("product"))).when(F.col("role") == "transporter", F.array(F.lit("modifier"))).otherwise(F.array("role"))
+    refs = made["references"].withColumn("reaction", F.concat(F.lit("r"), "process"))
+    rxns = refs.groupBy("pathway_id", F.col("reaction").alias("id")).agg(F.min("process").alias("pos")).withColumn("name", F.col("id"))
+    refs = refs.select("pathway_id", "reaction", F.explode(sides).alias("role"), F.substring("species", 2, 20).cast("long").alias("pos"), "species", F.lit(1.0).alias("stoichiometry"))
+    return models.documents(at(made["compartments"]), at(made["species"]), rxns, refs)

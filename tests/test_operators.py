@@ -12,7 +12,7 @@ from pathloom.operators.components import connected_components
 from pathloom.plans import course
 from pathloom.plans.durable import durable, scratch, shared_folder
 from pathloom.plans.lifecycle import normalise
-from pathloom.sources import payload, sinks
+from pathloom.sources import models, payload, sinks
 
 
 def test_components(spark):
@@ -199,6 +199,26 @@ def test_from_payload_to_written_model(spark, tmp_path):
     assert payload.read(spark, str(tmp_path / "json")).where("entities is not null").count() == 1
 
 
+def test_transports_and_gates_reach_the_model_files(spark, tmp_path):
+    moving = {"entities": {"compounds": [{"name": "glucose"}], "proteins": [{"name": "GLUT4"}, {"name": "hexokinase"}]}, "biological_states": [{"name": "s1", "subcellular_location": "cytosol"}, {"name": "s2", "subcellular_location": "membrane"}], "processes": {
+        "reactions": [{"name": "r1", "inputs": ["glucose"], "outputs": ["g6p"], "biological_state": "s1"}], "transports": [{"name": "t", "cargo": "glucose", "from_biological_state": "s1", "to_biological_state": "s2", "transporters": [{"protein": "GLUT4"}]}, {"name": "lost", "cargo": "lactate", "from_biological_state": "s1", "to_biological_state": "s2"}],
+        "interactions": [{"entity_1": "hexokinase", "relationship": "catalyses", "entity_2": "r1"}], "reaction_coupled_transports": [{"name": "both", "reaction": "r1", "transport": "t"}]}}
+    lonely = {"entities": {"compounds": [{"name": "a"}], "proteins": [{"name": "unused"}]}, "processes": {"reactions": [{"name": "r", "inputs": ["a"], "outputs": ["b"]}]}}
+    texts = spark.createDataFrame([("p", json.dumps(moving)), ("q", json.dumps(lonely))], "id string, json string")
+    catalogue = spark.createDataFrame([(1, "glucose", "glc", "")], "id long, name string, short_name string, synonyms string")
+    with scratch():
+        got = course.model(texts, catalogue)
+        used = {(r.role, r.entity) for r in got["participants"].where("pathway_id = 'p'").collect()}
+        assert {("cargo", "glucose"), ("cargo", "lactate"), ("transporter", "GLUT4"), ("modifier", "hexokinase")} <= used
+        assert got["transports"].where("pathway_id = 'p'").count() == 2 and got["coupled"].count() == 1
+        stopped = {r.pathway_id for r in got["issues"].collect()} - {r.pathway_id for r in got["passed"].collect()}
+        sinks.write_models(course.documents(got), str(tmp_path / "xml"))
+    parsed = models.parse(models.read_texts(spark, str(tmp_path / "xml"))).cache()
+    keys = {r.source.rsplit("/", 1)[1] for r in parsed.select("source").collect()}
+    assert "p.xml" in keys and keys == {f"{k}.xml" for k in {"p", "q"} - stopped}
+    names = {(r.role, r.species_name) for r in models.references(parsed).where("source like '%/p.xml'").collect()}
+    assert {("reactant", "glucose"), ("product", "glucose"), ("product", "lactate"), ("modifier", "GLUT4"), ("modifier", "hexokinase")} <= names
+
 def test_scratch_removes_its_tables(spark):
     folder = shared_folder(spark)
     with scratch():
