@@ -112,7 +112,7 @@ def _stretches(w: Windows, values: np.ndarray, starts: np.ndarray, ends: np.ndar
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32))
     spans = SpanHash(values)
     at = np.arange(len(values) - w.gram + 1)
-    grams = spans(at, at + w.gram)
+    grams = spans(at, at + w.gram, telling=False)
     low = U((1 << _PLACE_BITS) - 1)
     rank = grams >> U(1)
     rank[common.among(grams)] |= U(1 << 63)
@@ -148,7 +148,7 @@ def _often(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordB
                 at = np.arange(n)
                 doc = np.searchsorted(starts, at, side="right") - 1
                 inside = at + w.gram <= ends[doc]
-                grams = SpanHash(values)(at[inside], at[inside] + w.gram)
+                grams = SpanHash(values)(at[inside], at[inside] + w.gram, telling=False)
                 order = np.lexsort((doc[inside], grams))
                 g, d = grams[order], doc[inside][order]
                 once = np.ones(len(g), dtype=bool)

@@ -57,11 +57,12 @@ class SpanHash:
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values * powers(base, n), out=self.sums[1:])
 
-    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    def __call__(self, s: np.ndarray, e: np.ndarray, telling: bool = True) -> np.ndarray:
+        """``telling``: equal hashes are to mean equal spans; where they only deal spans out, running sums do for long ones too."""
         h = self.sums[e] - self.sums[s]
         h *= powers(self.inverse, len(self.sums))[s]
         h = mix(h + (e - s).astype(np.uint64) * U(_Q))
-        long = np.flatnonzero(e - s >= LONG_SPAN)
+        long = np.flatnonzero(e - s >= LONG_SPAN) if telling else ()
         if len(long):
             raw = memoryview(self.values).cast("B")
             h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip((8 * s[long]).tolist(), (8 * e[long]).tolist(), strict=True)), dtype=np.uint64, count=len(long))
