@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
 from pathloom.operators import linking as K
 from pathloom.operators.tables import first_per
+from pathloom.plans.durable import shared_folder
 from pathloom.plans.registry import query
+from pathloom.sources import cache
 
 C = F.col
 WHO = "(SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN upper(p_name) ELSE concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) END AS name FROM part)"
@@ -106,6 +110,19 @@ query("A12_lookup_cache", "SELECT concat('api::', lower(p_name), '::') AS key, C
 query("A12_cache_counts", "SELECT count(DISTINCT p_name) FILTER (p_name < 'm') AS cache_hits, count(DISTINCT p_name) FILTER (p_name >= 'm') AS calls FROM part")(
     lambda t: K.with_cache(t.part.select(C("p_name").alias("key")), t.part.where("p_name < 'm'").select(C("p_name").alias("key"), F.lit("old").alias("result")).distinct(), lambda rest: rest.withColumn("result", F.lit("new")))[1]
 )
+
+
+@query("A12_keyed_cache", """SELECT DISTINCT concat('api::', lower(p_name), '::') AS key, CASE WHEN p_name >= 'f' AND p_name < 'm' THEN 'second' WHEN p_name < 'm' THEN 'first' ELSE 'third' END AS result FROM part WHERE p_size % 3 > 0""")
+def _keyed(t):
+    """Three runs over one cache, the second of which replaces what the first gave to some names; then the names that are asked for."""
+    path = f"{shared_folder(t.spark)}/pathloom-cache-{uuid.uuid4().hex}"
+    names = lambda df: df.select(K.cache_key("api", C("p_name"), F.lit("")).alias("key")).distinct()
+    for version, (which, result) in enumerate((("p_name < 'm'", "first"), ("p_name >= 'f' and p_name < 'm'", "second"), ("p_name >= 'm'", "third"))):
+        cache.upsert(names(t.part.where(which)).withColumn("result", F.lit(result)), path, version, buckets=64)
+    cache.compact(t.spark, path, files=1)
+    return cache.read(t.spark, path, names(t.part.where("p_size % 3 > 0")), buckets=64)
+
+
 query("A13_enrichment_dump", "SELECT concat('compound:', p_name, '|', CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_type ELSE 'unmapped' END) AS key, arg_max(p_retailprice, p_partkey) AS summary, max(p_partkey) AS pos FROM part GROUP BY 1")(
     lambda t: K.enrichment_dump(t.part.select(F.lit("compound").alias("kind"), C("p_name").alias("name"), C("p_partkey").alias("pos"), C("p_retailprice").alias("summary"), F.create_map(F.lit("hmdb"), F.when(C("p_partkey") % 3 == 0, C("p_brand")).otherwise(" "), F.lit("kegg"), F.when(C("p_partkey") % 3 < 2, C("p_type")).otherwise("")).alias("mapped_ids")))
 )

@@ -14,6 +14,26 @@ def snapshot(spark: SparkSession, path: str | None = None, **jdbc: str) -> DataF
     return spark.read.parquet(path) if path else spark.read.format("jdbc").options(**jdbc).load()
 
 
+def jdbc_table(spark: SparkSession, url: str, table: str, key: str, partitions: int = 64, **options: str) -> DataFrame:
+    """A table of the reference database read by ``partitions`` connections, each an equal share of the rows by a numeric ``key``.
+
+    Identifiers of such databases have gaps, so equal widths would give unequal shares: the database tells the least and the
+    greatest key, one pass over the keys alone finds their quantiles, and these bound the shares. Null keys go with the first.
+    Filters and columns chosen later are pushed to every connection."""
+    base = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    keys = base.load().select(key)
+    ends = keys.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    if ends["a"] is None or ends["a"] == ends["b"]:
+        return base.load()
+    spread = base.options(partitionColumn=key, lowerBound=int(ends["a"]), upperBound=int(ends["b"]) + 1, numPartitions=partitions).load().select(F.col(key).cast("double").alias("k"))
+    at = sorted({int(x) if float(x).is_integer() else x for x in spread.approxQuantile("k", [i / partitions for i in range(1, partitions)], 1 / (4 * partitions))} - {ends["a"]})
+    if not at:
+        return base.load()
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    shares = [f"{name} < {at[0]} OR {name} IS NULL", *[f"{name} >= {a} AND {name} < {b}" for a, b in zip(at, at[1:])], f"{name} >= {at[-1]}"]
+    return spark.read.jdbc(url, table, predicates=shares, properties=options)
+
+
 def flat_file(entries: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``key, line_no, tag, value``: the first twelve characters of a line are its tag, blank ones continue the last."""
     lines = entries.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pathloom.operators.linking import cache_key
-from pathloom.sources import payload
+from pathloom.plans.durable import durable, scratch
+from pathloom.sources import cache, payload
 
 
 def documents(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -22,15 +23,17 @@ def participants(stream: DataFrame) -> DataFrame:
     return payload.participants(stream)
 
 
-def lookup_new_names(stream: DataFrame, cache_path: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], source: str = "catalogue") -> StreamingQuery:
-    """Looks up the registry names of each batch that ``cache_path`` (Parquet: ``key, result``) doesn't have, and appends them.
+def lookup_new_names(stream: DataFrame, cache_path: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], source: str = "catalogue", buckets: int = cache.BUCKETS) -> StreamingQuery:
+    """Looks up the registry names of each batch that the cache at ``cache_path`` doesn't have, and adds them to it.
 
-    A batch run again after a failure finds its keys in the cache, so none is written twice."""
+    A batch reads the buckets of its names alone. Run again after a failure it finds its keys in the cache, so none is asked for twice."""
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        names = payload.entities(df).where("trim(coalesce(name, '')) <> ''").select(cache_key(source, F.col("name"), F.col("organism")).alias("key")).distinct()
-        known = spark.read.schema("key string, result string").option("recursiveFileLookup", True).parquet(cache_path)
-        compute(names.join(known, "key", "left_anti")).select("key", "result").write.mode("append").parquet(cache_path)
+        with scratch():
+            names = durable(payload.entities(df).where("trim(coalesce(name, '')) <> ''").select(cache_key(source, F.col("name"), F.col("organism")).alias("key")).distinct())
+            known = cache.read(spark, cache_path, names, buckets)
+            cache.upsert(compute(names.join(known, "key", "left_anti")), cache_path, buckets=buckets)
+        cache.compact(spark, cache_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from pathloom.sources import cache as keyed
 from pathloom.streaming import ingest
 
 
@@ -12,7 +13,6 @@ def write(folder, name, docs):
 def test_names_are_looked_up_once(spark, tmp_path):
     source, cache = tmp_path / "in", str(tmp_path / "cache")
     source.mkdir()
-    spark.createDataFrame([], "key string, result string").write.parquet(cache)
     doc = lambda p, *names: {"pathway_id": p, "entities": {"compounds": [{"name": n} for n in names]}, "processes": {"reactions": [{"inputs": list(names), "outputs": []}]}}
     asked = []
 
@@ -26,7 +26,7 @@ def test_names_are_looked_up_once(spark, tmp_path):
     write(source, "b.json", [doc("q", "Water", "glucose", " ")])
     assert run()
     assert asked == ["catalogue::atp::", "catalogue::water::", "catalogue::glucose::"]
-    assert spark.read.parquet(cache).count() == 3
+    assert {r.key: r.result for r in keyed.read(spark, cache).collect()} == {k: k.upper() for k in asked}
 
 
 def test_stream_of_participants(spark, tmp_path):
