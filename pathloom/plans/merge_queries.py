@@ -23,7 +23,7 @@ def procs(t):
     return M.sides(t.participants.select("pathway_id", "process", "pos", "entity", "role").unionByName(t.participants.select("pathway_id", "process", "pos", C("modifier").alias("entity"), F.lit("modifier").alias("role")))).join(t.processes, ["pathway_id", "process"])
 
 
-query("D02_dedupe_processes", """SELECT o_custkey AS pathway_id, arg_max(o_orderkey, o_totalprice * 1000000 - o_orderkey) AS process, count(*) AS copies FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority""")(
+query("D02_dedupe_processes", """SELECT o_custkey AS pathway_id, arg_max(o_orderkey, row(o_totalprice, -o_orderkey)) AS process, count(*) AS copies FROM orders GROUP BY o_custkey, o_orderstatus, o_orderpriority""")(
     lambda t: M.dedupe_processes(t.processes, [C("status"), C("priority")], [C("price")]).select("pathway_id", "process", "copies")
 )
 query("D03_drop_noop_reactions", f"SELECT pathway_id, process FROM (SELECT s.pathway_id, s.process, list_transform(i, lambda x: substr(x, length(x))) AS i, list_transform(o, lambda x: substr(x, length(x))) AS o, status FROM {_SIDES} s JOIN {{processes}} x USING (pathway_id, process)) WHERE status = 'P' OR coalesce(len(i), 0) = 0 OR coalesce(len(o), 0) = 0 OR len(list_filter(o, lambda y: NOT list_contains(i, y))) > 0")(
