@@ -41,7 +41,7 @@ def reread(t):
     """The models written as files, one each, and read back; a file's name is its model's key."""
     folder = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
     model_files.write(M.documents(*tables(t)), folder)
-    files = M.read_texts(t.spark, folder)
+    files = model_files.read(t.spark, folder)
     return M.parse(files.select(F.regexp_extract("source", r"([^/]+)\.xml$", 1).cast("long").alias("pathway_id"), "xml"), "pathway_id")
 
 

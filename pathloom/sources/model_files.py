@@ -15,13 +15,15 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "model_files"
 #: Bytes of a key in a file name; longer ones are cut and told apart by number.
 MOST_NAME = 180
+#: Bytes of texts that a reader hands on at once.
+BATCH = 4 << 20
 
 
 @dataclass
@@ -90,13 +92,54 @@ class ModelWriter(DataSourceArrowWriter):
             system.delete_dir(above)
 
 
+@dataclass
+class Folder(InputPartition):
+    path: str
+
+
+@dataclass
+class ModelReader(DataSourceReader):
+    """A task reads the files that a task wrote: the driver lists folders, never files."""
+
+    path: str
+    suffix: str
+
+    def partitions(self) -> list[Folder]:
+        system, root = _target(self.path)
+        return [Folder(x.path) for x in sorted(system.get_file_info(fs.FileSelector(root.rstrip("/"))), key=lambda x: x.path) if x.base_name.startswith("part-")]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        system, _ = _target(self.path)
+        sources, texts, size = [], [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(texts, pa.string())], names=["source", "xml"])
+        for file in system.get_file_info(fs.FileSelector(partition.path)):
+            if not file.path.endswith(self.suffix):
+                continue
+            with system.open_input_stream(file.path, compression=None) as stream:
+                texts.append(stream.read().decode())
+            sources.append(file.path)
+            size += file.size
+            if size >= BATCH:
+                yield pack()
+                sources, texts, size = [], [], 0
+        if sources:
+            yield pack()
+
+
 class ModelFiles(DataSource):
-    """``df.write.format("model_files").option("key", …).option("column", …).mode("append").save(path)``"""
+    """``df.write.format("model_files").option("key", …).option("column", …).mode("append").save(path)`` and
+    ``spark.read.format("model_files").load(path)``, ``source, xml``"""
 
     @classmethod
     def name(cls) -> str:
         return NAME
 
+    def schema(self) -> str:
+        return "source string, xml string"
+
+    def reader(self, schema: StructType) -> ModelReader:
+        return ModelReader(self.options["path"], self.options.get("suffix", ".xml"))
+
     def writer(self, schema: StructType, overwrite: bool) -> ModelWriter:
         o = self.options
         return ModelWriter(o["path"], o.get("key", "pathway_id"), o.get("column", "xml"), o.get("suffix", ".xml"), overwrite)
@@ -106,3 +149,10 @@ def write(documents: DataFrame, folder: str, key: str = "pathway_id", column: st
     """A file for each row with a key and a text, in a folder a task; ``mode`` is ``append`` or ``overwrite``."""
     documents.sparkSession.dataSource.register(ModelFiles)
     documents.select(key, column).write.format(NAME).option("key", key).option("column", column).option("suffix", suffix).mode(mode).save(folder)
+
+
+def read(spark: SparkSession, folder: str, suffix: str = ".xml") -> DataFrame:
+    """``source, xml``: the files that :func:`write` left, those of a folder in a task. A general reader would plan a split for
+    every few files."""
+    spark.dataSource.register(ModelFiles)
+    return spark.read.format(NAME).option("suffix", suffix).load(folder)

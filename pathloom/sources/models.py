@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
 from pathloom.operators.tables import first_per, ordered
+from pathloom.plans.durable import durable
 
 _REF = "array<struct<_species:string,_stoichiometry:double>>"
 SBML = (
@@ -22,9 +23,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(texts: DataFrame, key: str = "source", xml: str = "xml") -> DataFrame:
-    """``key, model``, null where the text is no model."""
+    """``key, model``, null where the text is no model. Texts are made and parsed once, whatever is then read from the table."""
     got = texts.select(key, F.from_xml(F.coalesce(xml, F.lit("<x/>")), SBML, {"mode": "PERMISSIVE"}).alias("d"))
-    return got.select(key, F.when(F.coalesce(F.col("d.model._id"), F.col("d.model._name")).isNotNull() | F.col("d.model.listOfSpecies").isNotNull(), F.col("d.model")).alias("model"))
+    return durable(got.select(key, F.when(F.coalesce(F.col("d.model._id"), F.col("d.model._name")).isNotNull() | F.col("d.model.listOfSpecies").isNotNull(), F.col("d.model")).alias("model")))
 
 
 def failures(parsed: DataFrame, key: str = "source") -> DataFrame:
