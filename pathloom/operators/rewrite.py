@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
+from pathloom.operators.linking import containing
 from pathloom.operators.tables import first_per, numbered
 
 
@@ -81,7 +82,12 @@ def remove_complexes(used: DataFrame, unwanted: DataFrame) -> DataFrame:
 
 
 def byproduct_complexes(complexes_: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Complexes whose bound part is a by-product and that no text (``pathway_id, evidence``) spells out as a composite."""
+    """Complexes whose bound part is a by-product and that no text (``pathway_id, evidence``) spells out as a composite. Composites
+    are looked up in the texts without blanks around ``+``, as no other text can spell them out; what is found is checked."""
     c = complexes_.withColumn("parts", N.complex_parts(F.col("name"))).where((F.size("parts") >= 2) & N.is_byproduct(F.get("parts", F.lit(1))))
-    told = c.join(evidence, "pathway_id").where(N.bound_evidence(F.get("parts", F.lit(0)), F.get("parts", F.lit(1)), F.col("evidence"))["exact"]).select("pathway_id", "name").distinct()
+    tight = lambda x: F.translate(F.regexp_replace(N.canonical(x), r"\s*\+\s*", "+"), "Σ", "σ")
+    wanted = c.select("pathway_id", "name", "parts", F.lower(tight(F.concat_ws("+", F.get("parts", F.lit(0)), F.get("parts", F.lit(1))))).alias("term")).distinct()
+    texts = evidence.select("pathway_id", F.col("evidence").alias("id"), tight(F.col("evidence")).alias("text")).distinct()
+    found = containing(wanted.select("pathway_id", "term"), texts, ("pathway_id",)).join(wanted, ["pathway_id", "term"])
+    told = found.where(N.bound_evidence(F.get("parts", F.lit(0)), F.get("parts", F.lit(1)), F.col("id"))["exact"]).select("pathway_id", "name").distinct()
     return c.select("pathway_id", "name").join(told, ["pathway_id", "name"], "left_anti")
