@@ -57,7 +57,8 @@ def containing(terms: DataFrame, texts: DataFrame, keys: tuple[str, ...] = (), s
         return met.where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
     low = low.distinct().withColumn("th", F.xxhash64("text"))
     index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram")).where(_among(probe, F.xxhash64(*k, "gram")))
-    met = salted_join(index, probe, [*k, "gram"], salts=16).select(*k, "term", "id", "th")
+    # within keys a gram is held by few; to give millions of terms sixteen times would be most of the shuffle
+    met = (index.join(probe, [*k, "gram"]) if k else salted_join(index, probe, ["gram"], salts=16)).select(*k, "term", "id", "th")
     return met.join(low, [*k, "id", "th"]).where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
 
 
@@ -67,8 +68,10 @@ def _by_rare_gram(terms: DataFrame, low: DataFrame, k: list[str], shortest: int)
     held = durable(drawn.select(F.explode(_grams(F.col("text"), shortest)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
     if held.count() <= GIVEN_GRAMS:
         held = F.broadcast(held)
-    own = terms.select(*k, "term", F.explode(F.filter(_grams(F.col("term"), shortest), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
-    return first_per(own.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), [*k, "term"], "n", "gram").select(*k, "term", "gram")
+    # the gram is chosen once for a term, whatever keys it stands under
+    own = terms.select("term").distinct().select("term", F.explode(F.filter(_grams(F.col("term"), shortest), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
+    rare = first_per(own.join(held, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))), ["term"], "n", "gram").select("term", "gram")
+    return (terms.select(*k, "term").distinct().join(rare, "term") if k else rare).select(*k, "term", "gram")
 
 
 def _among(probe: DataFrame, h: Column) -> Column:
@@ -155,6 +158,8 @@ def from_catalogues(hits: DataFrame, enough: float = 0.92, ahead: float = 0.12)
     """Hits of several catalogues (``name, v, db, ext, score``; v numbers the name's variants) as ``name, db, ext, score``: each
     weighted by its variant, the most of each id. Variants after one whose best is ``enough`` and ``ahead`` aren't asked."""
     weighted = hits.select("name", "v", "db", "ext", F.round(F.col("score") * F.greatest(F.lit(0.8), 1 - 0.08 * F.col("v")), 6).alias("score"))
+    # an id counts once a variant, however often it was hit
+    weighted = weighted.groupBy("name", "v", "db", "ext").agg(F.max("score").alias("score"))
     # the best two ids after each variant: every id at the most it has had so far
     steps = weighted.select("name", "v").distinct()
     sofar = steps.alias("s").join(weighted.alias("w"), F.expr("s.name = w.name and w.v <= s.v")).groupBy(F.col("s.name").alias("name"), F.col("s.v").alias("v"), "db", "ext").agg(F.max("score").alias("score"))
