@@ -95,9 +95,6 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS,
     raw = shredded(texts)
     fixed, rounds, log = repaired(raw, max_rounds, given)
     done = normalise(fixed["entities"], fixed["reactions"].drop("inputs", "outputs"), fixed["participants"], fixed["states"].drop("pos"), locations=fixed["locations"].drop("kind"), transports=fixed["transports"].drop("name", "cargo"), interactions=fixed["interactions"])
-    # what a gate stops is kept in the tables and told in the issues, but isn't exported
-    good = durable(done["passed"].select("pathway_id").distinct())
-    passed = {k: done[k].join(good, "pathway_id", "left_semi") for k in ("entities", "participants", "processes", "transports")}
     mapped = _mapped(done["entities"], "compound", catalogue)
     if proteins is not None:
         others = _mapped(done["entities"], "protein", proteins)
@@ -105,11 +102,11 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS,
             mapped, others = (x.withColumn("id", F.col("id").cast("string")) for x in (mapped, others))
         mapped = mapped.unionByName(others)
     places = integrity.primary_places(done["locations"].select("pathway_id", "entity", "pos", "state"), done["states"])
-    comps, spec, refs = (durable(x) for x in export.model_tables(passed["entities"], passed["participants"], places))
+    comps, spec, refs = (durable(x) for x in export.model_tables(done["entities"], done["participants"], places))
     # a name that is both goes by its kind of first rank
     kinds = integrity.resolve_kinds(spec.select("pathway_id", "id", F.col("name").alias("entity")), done["entities"]).select("pathway_id", "id", "kind")
     spec = durable(spec.join(kinds, ["pathway_id", "id"]).join(mapped.where("status = 'mapped'").select("kind", "name", F.col("id").alias("ref_id")), ["kind", "name"], "left").drop("kind"))
-    rx = passed["processes"].select("pathway_id", F.col("process").alias("id"))
+    rx = done["processes"].select("pathway_id", F.col("process").alias("id"))
     metrics = durable(export.model_metrics(spec, rx, comps, refs, rx.limit(0)))
     sizes = {"payloads": raw["payloads"], "reactions_read": raw["reactions"], "entities_read": raw["entities"], "entities_repaired": fixed["entities"], "reactions_normalised": done["processes"], "species": spec, "references": refs}
     stages = None
@@ -121,9 +118,12 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS,
 
 def documents(made: dict[str, DataFrame]) -> DataFrame:
     """An XML text for each pathway that the gates let through; a transport is a reaction of its cargo with the transporters as modifiers."""
+    # what a gate stops is in the tables and told in the issues, but isn't exported
+    good = made["passed"].select("pathway_id").distinct()
+    let = lambda k: made[k].join(good, "pathway_id", "left_semi")
     at = lambda df: df.withColumn("pos", F.substring("id", 2, 20).cast("long"))
     sides = F.when(F.col("role") == "cargo", F.array(F.lit("reactant"), F.lit("product"))).when(F.col("role") == "transporter", F.array(F.lit("modifier"))).otherwise(F.array("role"))
-    refs = made["references"].withColumn("reaction", F.concat(F.lit("r"), "process"))
+    refs = let("references").withColumn("reaction", F.concat(F.lit("r"), "process"))
     rxns = refs.groupBy("pathway_id", F.col("reaction").alias("id")).agg(F.min("process").alias("pos")).withColumn("name", F.col("id"))
     refs = refs.select("pathway_id", "reaction", F.explode(sides).alias("role"), F.substring("species", 2, 20).cast("long").alias("pos"), "species", F.lit(1.0).alias("stoichiometry"))
-    return models.documents(at(made["compartments"]), at(made["species"]), rxns, refs)
+    return models.documents(at(let("compartments")), at(let("species")), rxns, refs)
