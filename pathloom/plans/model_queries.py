@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import cleaning as L
 from pathloom.operators.tables import ordered
+from pathloom.plans.durable import durable
 from pathloom.plans.registry import query
 from pathloom.sources import payload as P
 
@@ -24,7 +25,8 @@ def payloads(t):
 
 
 def shredded(t):
-    return P.parse(payloads(t)).where("is_object").select(C("id").alias("pathway_id"), "payload.entities", "payload.processes", "payload.element_locations", "payload.biological_states")
+    """Documents are made and parsed once, whatever lists are then read from them."""
+    return durable(P.parse(payloads(t)).where("is_object").select(C("id").alias("pathway_id"), "payload.entities", "payload.processes", "payload.element_locations", "payload.biological_states"))
 
 
 query("A01_read_payloads", "SELECT pathway_id AS id, pathway_id % 10 < 8 AS is_object, CASE WHEN pathway_id % 10 < 8 THEN count(DISTINCT process) END AS reactions FROM {participants} p GROUP BY 1")(
