@@ -174,19 +174,32 @@ def scaffold_modifier_issues(actors: DataFrame, scaffolds: DataFrame) -> DataFra
     return issue(actors.withColumn("_n", N.norm(F.col("actor"))).join(s, ["pathway_id", "_n"], "left_semi"), "scaffold_as_modifier", "actor")
 
 
-def strict_gates(used: DataFrame, actors: DataFrame, registry: DataFrame, scaffolds: DataFrame, adj: DataFrame | None = None) -> DataFrame:
-    """Issues of all gates: composites, unknown participants and actors, scaffolds as modifiers, proteins that nothing links.
+def _by_norm(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the normal form of a name as ``_n``. Through an array, else a condition on it works it out again."""
+    return df.withColumn("_n", F.explode(F.array(N.norm(F.col(name)))))
+
 
-    A pathway that has one is to be set aside; none is raised."""
-    parts = [composite_issues(used), issue(unknown_references(used, registry), "unknown_participant", "entity"), issue(unknown_references(actors.withColumnRenamed("actor", "entity"), registry), "unknown_actor", "entity"), scaffold_modifier_issues(actors, scaffolds)]
-    if adj is not None:
-        linked = adj.select("pathway_id", F.substring_index("a", ":", -1).alias("name")).withColumn("_n", N.norm(F.col("name"))).select("pathway_id", "_n")
-        loose = registry.where("kind = 'protein'").withColumn("_n", N.norm(F.col("name"))).join(linked, ["pathway_id", "_n"], "left_anti")
-        parts.append(issue(loose, "isolated_protein", "name"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def strict_gates(used: DataFrame, actors: DataFrame, registry: DataFrame, scaffolds: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Issues of all gates: composites, unknown participants and actors, scaffolds as modifiers, proteins that nothing links.
+    ``links(pathway_id, a)`` are the ends of edges, or an adjacency.
+
+    A pathway that has one is to be set aside; none is raised. What is known of a name is gathered once, whatever asks for it."""
+    of = lambda df, name, what: _by_norm(df.select("pathway_id", F.col(name).alias("subject"), F.lit(what).alias("what")), "subject")
+    known = lambda df, *flags: df.select("pathway_id", "_n", *[F.lit(f in flags).alias(f) for f in ("registered", "scaffold", "linked")])
+    asked = of(used, "entity", "entity").unionByName(of(actors, "actor", "actor"))
+    told = known(_by_norm(registry.select("pathway_id", "name"), "name"), "registered").unionByName(known(scaffolds.withColumnRenamed("norm", "_n"), "scaffold"))
+    if links is not None:
+        asked = asked.unionByName(of(registry.where("kind = 'protein'"), "name", "protein"))
+        told = told.unionByName(known(_by_norm(links.select("pathway_id", F.substring_index("a", ":", -1).alias("name")), "name"), "linked"))
+    flags = told.groupBy("pathway_id", "_n").agg(*[F.max(f).alias(f) for f in ("registered", "scaffold", "linked")])
+    got = asked.join(flags, ["pathway_id", "_n"], "left")
+    is_, no = lambda what: F.col("what") == what, lambda flag: ~F.coalesce(flag, F.lit(False))
+    unknown = no("registered") & (F.col("_n") != "")
+    rules = F.array_compact(F.array(
+        F.when(is_("entity") & unknown, "unknown_participant"), F.when(is_("actor") & unknown, "unknown_actor"),
+        F.when(is_("actor") & F.col("scaffold"), "scaffold_as_modifier"), F.when(is_("protein") & no("linked"), "isolated_protein"),
+    ))
+    return composite_issues(used).unionByName(got.select("pathway_id", F.lit("error").alias("severity"), F.explode(rules).alias("rule"), F.col("subject").cast("string").alias("subject")))
 
 
 def quarantine(pathways: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:

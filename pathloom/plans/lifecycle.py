@@ -10,7 +10,7 @@ from pathloom.functions import names as N
 from pathloom.functions import vocab
 from pathloom.operators import cleaning, graph, integrity, merge, rewrite
 from pathloom.operators.tables import first_per, numbered
-from pathloom.plans.durable import durable
+from pathloom.plans.durable import drop, durable
 
 
 def standard_names(entities: DataFrame, participants: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,13 +48,14 @@ def normalise(
     against proteins that nothing links only if ``connected``."""
     locations = _empty(entities, "pos long, entity string, state string, evidence string") if locations is None else locations
     transports = _empty(processes, "process long, pos long, from_state string, to_state string, evidence string") if transports is None else transports
-    entities, participants = standard_names(entities, participants)
+    entities, participants = map(durable, standard_names(entities, participants))
     locations = locations.withColumn("entity", N.alias(F.col("entity")))
     proteins = entities.where("kind = 'protein'").select("pathway_id", "name")
     texts = processes.select("pathway_id", "process", "evidence").unionByName(transports.select("pathway_id", "process", "evidence"))
     told = participants.join(texts, ["pathway_id", "process"], "left")
     decided = durable(rewrite.decide_composites(told, proteins))
     used, made, errors = rewrite.apply_composites(told, decided)
+    errors = durable(errors)
     used = used.select("pathway_id", "process", "role", (F.col("pos") * 10 + F.col("sub")).alias("pos"), "entity", "evidence")
     # composites of the registry go; the complexes that they named come
     zero = F.lit(0).cast(entities.schema["pos"].dataType).alias("pos")
@@ -63,13 +64,16 @@ def normalise(
     always = entities.select("pathway_id").distinct().select("pathway_id", F.explode(F.array(*map(F.lit, vocab.SCAFFOLDS))).alias("norm"))
     bases = lambda r: cleaning.scaffolds(r.where("kind = 'protein_complex'")).union(always).distinct()
     used, registry = durable(used), durable(registry)
+    drop(participants, decided)
+    before = used, registry
     bound = durable(rewrite.bind_scaffolds(used.where("role = 'product'").select("pathway_id", "process", "pos", "entity", "evidence"), bases(registry), proteins))
     used, made = rewrite.apply_scaffolds(used.drop("evidence"), bound)
     registry = registry.unionByName(as_complex(made))
-    unwanted = rewrite.byproduct_complexes(registry.where("kind = 'protein_complex'"), texts.select("pathway_id", "evidence").where("evidence is not null"))
+    unwanted = durable(rewrite.byproduct_complexes(registry.where("kind = 'protein_complex'"), texts.select("pathway_id", "evidence").where("evidence is not null")))
     used = rewrite.remove_complexes(used, unwanted)
     registry = registry.join(unwanted.withColumn("kind", F.lit("protein_complex")), ["pathway_id", "kind", "name"], "left_anti")
     used, registry = durable(used), durable(registry)
+    drop(*before, bound, unwanted)
     scaffolds = durable(bases(registry))
     # places: locations and transports that have none are in the automatic state, reactions where their participants are
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -92,13 +96,17 @@ def normalise(
     if interactions is not None:
         acting = registry.where("kind in ('protein', 'protein_complex')").select("pathway_id", F.col("name").alias("actor")).distinct()
         acts, interactions = integrity.promote_interactions(interactions, processes, acting)
+        interactions = durable(interactions)
         added.append(extra(acts, "modifier"))
     if single_enzymes:
         have = used.where("role = 'modifier'").select("pathway_id", "process", F.col("entity").alias("actor"))
         added.append(extra(integrity.single_enzyme(processes.drop("pos"), named.withColumns({"rank": F.lit(0), "pos": F.lit(0)}), have, F.concat_ws(" ", "name", "evidence")), "modifier"))
-    for x in added:
-        used = used.unionByName(x)
-    used = durable(integrity.promote_catalysts(used, proteins, scaffolds))
+    # catalysts read what is used several times, so what was added is found once before
+    added = durable(graph.union_all(added))
+    before = used, registry, added
+    used = durable(integrity.promote_catalysts(used.unionByName(added), proteins, scaffolds))
+    drop(entities)
+    bare = used
     if same_as is not None:
         times = used.groupBy("pathway_id", F.col("entity").alias("name")).agg(F.min(F.when(F.col("role").isin("modifier", "transporter"), 0).otherwise(1)).alias("rank"), F.count("*").alias("times"))
         chosen = graph.equivalence(same_as, times)
@@ -108,6 +116,8 @@ def normalise(
     actors = integrity.normalise_actors(used.where(is_actor).select("pathway_id", "process", "role", "pos", F.col("entity").alias("actor")), registry.where("kind in ('protein', 'protein_complex')"))
     used = used.where(~is_actor).unionByName(actors.select("pathway_id", "process", "role", "pos", "entity"))
     used = durable(first_per(used.withColumn("_n", N.norm_with_colon(F.col("entity"))), ["pathway_id", "process", "role", "_n"], "pos", "entity").drop("_n"))
+    drop(*before, bare)
+    before = used, steps, registry
     # repeats and no-ops
     sided = merge.sides(used).join(steps, ["pathway_id", "process"])
     key = [F.array_sort(F.transform(c, N.norm_with_colon)) for c in ("inputs", "outputs", "modifiers")]
@@ -120,13 +130,17 @@ def normalise(
     used = durable(used.join(there, ["pathway_id", "process"], "left_semi"))
     lost = integrity.missing_entities(used, registry, ("process", "pos"))
     registry = registry.unionByName(lost.select("pathway_id", F.lit("compound").alias("kind"), F.lit(1_000_000).cast(registry.schema["pos"].dataType).alias("pos"), "name"))
-    adj = graph.adjacency(used, moves=kept_moves.where("cargo is not null"), interactions=interactions)
+    linking = {"moves": kept_moves.where("cargo is not null"), "interactions": interactions}
+    adj, ends = graph.adjacency(used, **linking), graph.ends(used, **linking)
     if prune:
-        linked = adj.select("pathway_id", N.norm_with_colon(F.substring_index("a", "entity:", -1)).alias("_n")).distinct()
+        linked = ends.select("pathway_id", N.norm_with_colon(F.substring_index("a", "entity:", -1)).alias("_n")).distinct()
         loose = registry.where("kind = 'protein'").withColumn("_n", N.norm_with_colon(F.col("name"))).join(linked, ["pathway_id", "_n"], "left_anti").select("pathway_id", "kind", "name")
         registry = registry.join(loose, ["pathway_id", "kind", "name"], "left_anti")
+    registry = durable(registry)
+    drop(*before)
     actors = used.where(is_actor).select("pathway_id", "process", F.col("entity").alias("actor"))
-    issues = durable(errors.unionByName(integrity.strict_gates(used, actors, registry, scaffolds, adj if connected else None)))
+    issues = durable(errors.unionByName(integrity.strict_gates(used, actors, registry, scaffolds, ends if connected else None)))
+    drop(scaffolds, errors)
     pathways = processes.select("pathway_id").union(transports.select("pathway_id")).distinct()
     passed, aside = integrity.quarantine(pathways, issues)
     return {"entities": registry, "processes": kept.drop("copies", "essential"), "transports": kept_moves, "interactions": interactions, "participants": used, "states": states, "locations": locations, "issues": issues, "passed": passed, "set_aside": aside, "adjacency": adj}

@@ -8,6 +8,7 @@ from pathloom.functions import vocab
 from pathloom.operators import graph as G
 from pathloom.operators import integrity as I
 from pathloom.operators import rewrite as R
+from pathloom.plans.durable import durable
 from pathloom.plans.registry import query
 
 C = F.col
@@ -115,9 +116,9 @@ query("K07_scaffold_modifier_gate", "SELECT pathway_id, 'error' AS severity, 'sc
 
 
 def gates(t):
-    p = t.participants
+    p = durable(t.participants.select("pathway_id", "process", "pos", "entity", "modifier"))  # eight tables stand on it
     reg = p.where("pos < 6").select("pathway_id", F.when(C("pos") % 2 == 0, "protein").otherwise("compound").alias("kind"), C("entity").alias("name")).union(p.where("pos < 7").select("pathway_id", F.lit("protein"), "modifier")).distinct()
-    return I.strict_gates(p, p.withColumnRenamed("modifier", "actor").select("pathway_id", "process", "actor"), reg, p.select("pathway_id", F.lit("p7").alias("norm")).distinct(), G.adjacency(p))
+    return I.strict_gates(p, p.withColumnRenamed("modifier", "actor").select("pathway_id", "process", "actor"), reg, p.select("pathway_id", F.lit("p7").alias("norm")).distinct(), G.ends(p))
 
 
 query("K08_strict_gates", """WITH p AS (SELECT * FROM {participants} q), reg AS (SELECT DISTINCT pathway_id, CASE WHEN pos % 2 = 0 THEN 'protein' ELSE 'compound' END AS kind, entity AS name FROM p WHERE pos < 6 UNION SELECT pathway_id, 'protein', modifier FROM p WHERE pos < 7),
