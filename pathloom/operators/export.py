@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import vocab
+from pathloom.plans.durable import durable
 
 
 def cross_references(df: DataFrame, *keys: str) -> DataFrame:
@@ -52,9 +53,10 @@ def model_tables(entities: DataFrame, participants: DataFrame, places: DataFrame
     named = entities.select("pathway_id", F.lit(0).alias("late"), F.col("pos").cast("long").alias("pos"), "name").unionByName(participants.select("pathway_id", F.lit(1).alias("late"), F.col("process").cast("long").alias("pos"), F.col("entity").alias("name")))
     one = first_per(named.withColumn("n", N.norm(F.col("name"))).where("n <> ''"), ["pathway_id", "n"], "late", "pos", "name")
     at = first_per(places.select("pathway_id", N.norm(F.col("entity")).alias("n"), "place"), ["pathway_id", "n"], "place")
-    full = one.join(at, ["pathway_id", "n"], "left").withColumn("place", F.coalesce("place", F.lit(default)))
+    # the three tables stand on it, two on the species
+    full = durable(one.join(at, ["pathway_id", "n"], "left").withColumn("place", F.coalesce("place", F.lit(default))))
     comps = numbered(full.select("pathway_id", F.col("place").alias("name")).distinct(), ["pathway_id"], "name").select("pathway_id", F.concat(F.lit("c"), "rn").alias("id"), "name")
-    spec = numbered(full, ["pathway_id"], "late", "pos", "n").join(comps.select("pathway_id", F.col("id").alias("compartment"), F.col("name").alias("place")), ["pathway_id", "place"]).select("pathway_id", F.concat(F.lit("s"), "rn").alias("id"), "name", "compartment", "n")
+    spec = durable(numbered(full, ["pathway_id"], "late", "pos", "n").join(comps.select("pathway_id", F.col("id").alias("compartment"), F.col("name").alias("place")), ["pathway_id", "place"]).select("pathway_id", F.concat(F.lit("s"), "rn").alias("id"), "name", "compartment", "n"))
     refs = participants.withColumn("n", N.norm(F.col("entity"))).join(spec.select("pathway_id", "n", F.col("id").alias("species")), ["pathway_id", "n"]).select("pathway_id", "process", "role", "species")
     return comps, spec.drop("n"), refs
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import names as N
 from pathloom.operators import audit, export, integrity, linking, merge
 from pathloom.operators.tables import numbered
-from pathloom.plans.durable import durable
+from pathloom.plans.durable import durable, tidy
 from pathloom.plans.lifecycle import normalise
 from pathloom.plans.repairs import repair
 from pathloom.sources import models, payload
@@ -79,6 +79,7 @@ def repaired(t: dict[str, DataFrame], max_rounds: int = MAX_ROUNDS, given: DataF
         if judged.where("accepted").isEmpty():
             break
         t = patched(t, judged, n)
+        tidy(judged.sparkSession)
     return t, rounds, log
 
 
@@ -93,6 +94,7 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS,
     ``accession``), patches ``given`` → ``rounds`` and why each pathway's ended (``stops``), what became of ``patches``, the normalised
     tables, ``mapped`` names by kind, ``compartments``, ``species``, ``references``, ``metrics``, ``stages`` (``stage, n``: rows that came out of each)."""
     raw = shredded(texts)
+    tidy(texts.sparkSession)
     fixed, rounds, log = repaired(raw, max_rounds, given)
     done = normalise(fixed["entities"], fixed["reactions"].drop("inputs", "outputs"), fixed["participants"], fixed["states"].drop("pos"), locations=fixed["locations"].drop("kind"), transports=fixed["transports"].drop("name", "cargo"), interactions=fixed["interactions"])
     mapped = _mapped(done["entities"], "compound", catalogue)
@@ -101,11 +103,14 @@ def model(texts: DataFrame, catalogue: DataFrame, max_rounds: int = MAX_ROUNDS,
         if mapped.schema["id"].dataType != others.schema["id"].dataType:
             mapped, others = (x.withColumn("id", F.col("id").cast("string")) for x in (mapped, others))
         mapped = mapped.unionByName(others)
+    tidy(texts.sparkSession)
     places = integrity.primary_places(done["locations"].select("pathway_id", "entity", "pos", "state"), done["states"])
-    comps, spec, refs = (durable(x) for x in export.model_tables(done["entities"], done["participants"], places))
+    comps, spec, refs = export.model_tables(done["entities"], done["participants"], places)
+    comps, refs = durable(comps), durable(refs)
     # a name that is both goes by its kind of first rank
     kinds = integrity.resolve_kinds(spec.select("pathway_id", "id", F.col("name").alias("entity")), done["entities"]).select("pathway_id", "id", "kind")
     spec = durable(spec.join(kinds, ["pathway_id", "id"]).join(mapped.where("status = 'mapped'").select("kind", "name", F.col("id").alias("ref_id")), ["kind", "name"], "left").drop("kind"))
+    tidy(texts.sparkSession)
     rx = done["processes"].select("pathway_id", F.col("process").alias("id"))
     metrics = durable(export.model_metrics(spec, rx, comps, refs, rx.limit(0)))
     sizes = {"payloads": raw["payloads"], "reactions_read": raw["reactions"], "entities_read": raw["entities"], "entities_repaired": fixed["entities"], "reactions_normalised": done["processes"], "species": spec, "references": refs}
