@@ -175,8 +175,10 @@ def scaffold_modifier_issues(actors: DataFrame, scaffolds: DataFrame) -> DataFra
 
 
 def _by_norm(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with the normal form of a name as ``_n``. Through an array, else a condition on it works it out again."""
-    return df.withColumn("_n", F.explode(F.array(N.norm(F.col(name)))))
+    """``df`` with the normal form of a name as ``_n``. Through an array, else a condition on it works it out again. Most names are
+    their own normal form, which one look tells."""
+    c = F.col(name)
+    return df.withColumn("_n", F.explode(F.array(F.when(c.rlike(r"^[a-z0-9]+(?: [a-z0-9]+)*\z"), c).otherwise(N.norm(c)))))
 
 
 def strict_gates(used: DataFrame, actors: DataFrame, registry: DataFrame, scaffolds: DataFrame, links: DataFrame | None = None) -> DataFrame:
