@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.plans.durable import durable
-from pathloom.plans.skew import salted_join
 
+#: A list's runs are given once for so many of its rows, so that a long list's rows are dealt to several tasks.
+ROWS_A_TASK = 100_000
 _RUN = "struct<at:bigint,len:bigint,first:bigint,added:bigint>"
 _STATE = f"struct<runs:array<{_RUN}>,n:bigint,there:boolean,log:array<struct<seq:bigint,first:bigint,added:bigint,why:string>>>"
 #: ``added`` of an original element; those that a patch brought have its ``seq``.
@@ -78,10 +79,6 @@ def _in_order(*fields: str) -> Column:
     return F.array_sort(F.collect_list(F.struct("seq", *fields)))
 
 
-def _outcomes(df: DataFrame, log: str = "_state.log") -> DataFrame:
-    return df.select("pathway_id", F.inline(log)).select("pathway_id", "seq", "first", "added", "why")
-
-
 def _fields_of(json: str, fields: list[str], lists: list[str]) -> list[Column]:
     """A row from a JSON object."""
     return [F.get_json_object(json, f"$.{f}").alias(f) for f in fields] + [F.from_json(F.get_json_object(json, f"$.{f}"), "array<string>").alias(f) for f in lists]
@@ -139,25 +136,28 @@ def apply_in_order(rows: DataFrame, patches: DataFrame, fields: list[str], lists
     fits = F.col("op").isin("add", "replace", "remove") & (F.col("place") != "unknown")
     unknown = p.where(~fits).select("pathway_id", "seq", F.when(F.col("place") == "unknown", "unknown_field").otherwise("unsupported_op").alias("why"))
     good = p.where(fits)
-    sizes = rows.join(good.select("pathway_id").distinct(), "pathway_id", "left_semi").groupBy("pathway_id").agg(F.count("*").alias("n"))
-    ops = good.withColumns({"kind": F.when(F.col("place") == "row", F.col("op")).otherwise("touch"), "size": F.lit(1)})
-    states = ops.groupBy("pathway_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("kind").alias("op"), "at", "size"))).alias("patches")).join(sizes, "pathway_id", "left")
-    states = durable(states.select("pathway_id", folded(F.coalesce("n", _long(0)), F.lit(True), F.col("patches")).alias("_state")))
-    logged = _outcomes(states)
-    reached = good.join(logged, ["pathway_id", "seq"])
+    sizes = rows.join(good.select("pathway_id").distinct(), "pathway_id", "left_semi").groupBy("pathway_id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last"))
+    # a list's patches are gathered with all that is in them, so none is looked up again by its order
+    ops = F.struct("seq", F.when(F.col("place") == "row", F.col("op")).otherwise("touch").alias("op"), "at", F.lit(1).alias("size"), F.col("op").alias("does"), "place", "field", "inner", "value")
+    states = good.groupBy("pathway_id").agg(F.array_sort(F.collect_list(ops)).alias("patches")).join(sizes, "pathway_id", "left")
+    states = durable(states.select("pathway_id", "last", "patches", folded(F.coalesce("n", _long(0)), F.lit(True), F.col("patches")).alias("_state")))
+    went = lambda q, log: F.struct(q["seq"].alias("seq"), q["does"].alias("op"), q["place"].alias("place"), q["field"].alias("field"), q["inner"].alias("inner"), q["value"].alias("value"), log["first"].alias("first"), log["added"].alias("added"), log["why"].alias("why"))
+    reached = states.select("pathway_id", F.inline(F.zip_with("patches", "_state.log", went)))
     # rows as they stand at the end, known by what they were
     here = lambda pos: lambda r: (r["added"] == ORIGINAL) & (r["first"] <= pos) & (pos < r["first"] + r["len"])
-    old = salted_join(rows.select("pathway_id", F.col("pos").cast("long").alias("first"), *fields, *lists), states, ["pathway_id"], "left")
-    run = F.get(F.filter("_state.runs", here(F.col("first"))), 0)
-    old = old.withColumn("_run", run).select("pathway_id", "first", _long(ORIGINAL).alias("added"), F.when(F.col("_state").isNull(), F.col("first")).otherwise(F.col("_run.at") + F.col("first") - F.col("_run.first")).alias("pos"), *fields, *lists)
-    brought = good.where("place = 'row' and op <> 'remove'").select("pathway_id", _long(0).alias("first"), F.col("seq").alias("added"), *_fields_of("value", list(fields), lists))
+    block = lambda pos: F.coalesce(F.greatest(F.floor(pos / ROWS_A_TASK), _long(0)), _long(0))
+    given = states.select("pathway_id", F.col("_state.runs").alias("_runs"), F.explode(F.sequence(_long(0), block(F.col("last")))).alias("_block"))
+    old = rows.select("pathway_id", F.col("pos").cast("long").alias("first"), *fields, *lists).withColumn("_block", block(F.col("first"))).join(given, ["pathway_id", "_block"], "left")
+    run = F.get(F.filter("_runs", here(F.col("first"))), 0)
+    old = old.withColumn("_run", run).select("pathway_id", "first", _long(ORIGINAL).alias("added"), F.when(F.col("_runs").isNull(), F.col("first")).otherwise(F.col("_run.at") + F.col("first") - F.col("_run.first")).alias("pos"), *fields, *lists)
+    brought = reached.where("place = 'row' and op <> 'remove'").select("pathway_id", _long(0).alias("first"), F.col("seq").alias("added"), *_fields_of("value", list(fields), lists))
     placed = states.select("pathway_id", F.inline("_state.runs")).where(F.col("added") != ORIGINAL).select("pathway_id", "added", F.col("at").alias("pos"))
     new = brought.join(placed, ["pathway_id", "added"], "left").select("pathway_id", "first", "added", "pos", *fields, *lists)
     every = old.unionByName(new)  # without a place: gone by now
     out, log = every, [unknown, reached.where("place = 'row' or why is not null").select("pathway_id", "seq", "why")]
     for place, names, work in (("field", list(fields), _cells), ("list", lists, _inner)):
         if names:
-            wide, went = work(reached.where((F.col("place") == place) & F.col("why").isNull()).drop("why", "at"), every, names)
+            wide, went = work(reached.where((F.col("place") == place) & F.col("why").isNull()).drop("why"), every, names)
             out = out.join(wide, ["pathway_id", "first", "added"], "left").withColumns({f: F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}")["v"]).otherwise(F.col(f)) for f in names}).drop(*[f"_{f}" for f in names])
             log.append(went)
     report = reduce(DataFrame.unionByName, log).select("pathway_id", "seq", F.col("why").isNull().alias("applied"), F.coalesce("why", F.lit("applied")).alias("reason"))
