@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pathloom.llm._text import BLANK_WORDS, U, Words, batch_of, binary, chunks, mix, word_span_hash
 from pathloom.operators.components import connected_components
 from pathloom.plans.durable import durable
-from pathloom.plans.skew import salted_join
+from pathloom.plans.skew import salted_join, spread_join
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -411,8 +411,9 @@ def _tested(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "b").join(hubs, ["a", "salt"]).select("a", "b", "star", "x", "y").mapInArrow(lambda it: _similar(it, similarity), "a binary, b binary, star boolean, similar boolean")
 
 
-#: Bytes of shingle sets in a block; a larger group of candidates is compared block with block, each pair of blocks in a task.
-BLOCK_BYTES = 2 << 20
+#: Bytes of shingle sets and texts in a block; a larger group of candidates is compared block with block. Each pair of blocks is
+#: dealt by itself. Short texts' sets have few bytes, so without the second bound the numbers of pairs would be without one.
+BLOCK_BYTES, BLOCK_TEXTS = 2 << 20, 1024
 
 
 def _looked_over(pairs: DataFrame, lone: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -422,11 +423,16 @@ def _looked_over(pairs: DataFrame, lone: DataFrame, sets: DataFrame, similarity:
     mine = lone.withColumn("lone", F.lit(True))
     marked = groups.join(mine, groups["node"] == mine["th"], "left").select("node", "component", F.coalesce("lone", F.lit(False)).alias("lone"))
     held = durable(marked.join(marked.where("lone").select("component").distinct(), "component", "left_semi").join(sets, F.col("node") == F.col("th")).select("component", "th", "shingles", "lone"))
-    blocks = held.groupBy("component").agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = held.join(blocks, "component").withColumn("at", F.pmod(F.xxhash64("th"), F.greatest("blocks", F.lit(1))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
-    asked = dealt.where("lone").select("component", F.col("at").alias("i"), F.col("other").alias("j"), "th", "shingles", F.lit(True).alias("asks"))
-    told = dealt.select("component", F.col("other").alias("i"), F.col("at").alias("j"), "th", "shingles", F.lit(False).alias("asks"))
-    return asked.unionByName(told).groupBy("component", "i", "j").applyInPandas(lambda f: _block_links(f, similarity), "a binary, b binary")
+    parts = lambda some: F.ceil(F.greatest(F.lit(1), F.sum(F.when(some, F.length("shingles"))) / BLOCK_BYTES, F.count_if(some) / BLOCK_TEXTS)).cast("int")
+    blocks = held.groupBy("component").agg(parts(F.col("lone")).alias("asking"), parts(F.lit(True)).alias("telling"))
+    dealt = spread_join(held, blocks, ["component"])
+    at = lambda n: F.pmod(F.xxhash64("th"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = dealt.where("lone").select("component", at(F.col("asking")).alias("i"), every("telling").alias("j"), "th", "shingles", F.lit(True).alias("asks"))
+    told = dealt.select("component", every("asking").alias("i"), at(F.col("telling")).alias("j"), "th", "shingles", F.lit(False).alias("asks"))
+    # dealt by all three: grouping alone would do with rows that lie together by component
+    met = asked.unionByName(told).repartition("component", "i", "j")
+    return durable(met.groupBy("component", "i", "j").applyInPandas(lambda f: _block_links(f, similarity), "a binary, b binary"))
 
 
 def _block_links(frame: pd.DataFrame, similarity: float, columns: int = 4096) -> pd.DataFrame:
@@ -489,9 +495,10 @@ def similar_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     if not lone.isEmpty():
         edges = edges.unionByName(_looked_over(pairs, lone, sets, similarity))
     label = durable(connected_components(edges))
-    named = distinct.join(label, distinct["th"] == label["node"], "left").select("th", "least", F.coalesce("component", "th").alias("c"))
+    named = durable(distinct.join(label, distinct["th"] == label["node"], "left").select("th", "least", F.coalesce("component", "th").alias("c")))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    grouped = salted_join(named, least, ["c"]).select("th", "component_id")
+    # nearly as many groups as texts
+    grouped = spread_join(named, least, ["c"]).select("th", "component_id")
     return salted_join(marked, grouped, ["th"], salts=8).select(F.col("_id").alias(id_col), "component_id")
 
 

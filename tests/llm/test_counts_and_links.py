@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pathloom.llm import decontaminate, quality, simhash
+from pathloom.operators import components
 from tests.llm.data import documents, empty, rows
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -350,3 +351,55 @@ def test_cut_in_several_sets(spark):
         assert got.columns == d.columns
         kept = {r.doc_id: (r.text, r._hit) for r in got.collect()}
         assert kept == {1: (" ".join([*rest[:500], "", *rest[500:]]), b"m"), 3: (None, None)}
+
+
+def one_group(n, words=150):
+    r = random.Random(8)
+    table = [(1000, " ".join(f"w{i}" for i in range(words)))]
+    for i in range(n):
+        w = [f"w{i}" for i in range(words)]
+        for at in r.sample(range(words), 1 + i % 3):
+            w[at] = f"x{i}y{at}"
+        table.append((i, " ".join(w)))
+    return table
+
+
+def test_pairs_of_blocks_are_dealt_apart(spark, monkeypatch):
+    """All blocks of a group came to the task of its component, were made again for each reading, and had no bound on their texts."""
+    table = one_group(300)
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    written = []
+    kept = simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda t, *a, **k: written.append(t) or kept(t, *a, **k))
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 40)
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(df).collect()}
+    want = similar_labels(table)
+    assert {i for i in got if got[i] != i} <= {i for i in want if want[i] != i}
+    assert sum(got[i] != i for i in got) >= 0.95 * sum(want[i] != i for i in want)
+    links = [t for t in written if t.columns == ["a", "b"] and "FlatMapGroupsInPandas" in t._jdf.queryExecution().executedPlan().toString()]
+    assert len(links) == 1
+    plan = links[0]._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert re.search(r"Exchange hashpartitioning\(component#\d+, i#\d+, j#\d+", below)
+
+
+def test_rounds_of_components_fill_their_files(spark, monkeypatch):
+    """Each round of a small table was written in as many files as there are shuffle partitions."""
+    written = []
+    kept = components.durable
+    monkeypatch.setattr(components, "durable", lambda t, *a, **k: written.append(kept(t, *a, **k)) or written[-1])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)], "a long, b long").repartition(8)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.component for r in components.connected_components(edges).collect()}
+        files = [len(t.inputFiles()) for t in written]
+        monkeypatch.setattr(components, "FILE_EDGES", 100)
+        again = {r.node: r.component for r in components.connected_components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == again == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)} | {1000: 1000}
+    assert len(files) > 3 and set(files[1:]) == {1}
+    assert max(len(t.inputFiles()) for t in written[len(files) + 1 :]) == 4
