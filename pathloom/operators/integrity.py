@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from pathloom.functions import names as N
 from pathloom.operators.linking import containing
 from pathloom.operators.tables import first_per, numbered
+from pathloom.plans.durable import durable
 
 AUTO_STATE, AUTO_PLACE = "__auto_state__", "cell"
 
 
 def unknown_references(used: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of ``used(pathway_id, entity, …)`` whose name no row of ``registry(pathway_id, name)`` has."""
-    known = registry.select("pathway_id", N.norm(F.col("name")).alias("_n")).where("_n <> ''")
-    return used.withColumn("_n", N.norm(F.col("entity"))).where("_n <> ''").join(known, ["pathway_id", "_n"], "left_anti").drop("_n")
+    return _unknown(used, registry).drop("_n")
+
+
+def _unknown(used: DataFrame, registry: DataFrame) -> DataFrame:
+    """As :func:`unknown_references`, with the normal form ``_n``."""
+    known = _by_norm(registry.select("pathway_id", "name"), "name").select("pathway_id", "_n").where("_n <> ''")
+    return _by_norm(used, "entity").where("_n <> ''").join(known, ["pathway_id", "_n"], "left_anti")
 
 
 def resolve_kinds(used: DataFrame, registry: DataFrame) -> DataFrame:
@@ -27,7 +33,7 @@ def resolve_kinds(used: DataFrame, registry: DataFrame) -> DataFrame:
 
 def missing_entities(used: DataFrame, registry: DataFrame, order: tuple[str, ...] = ("process", "pos")) -> DataFrame:
     """Registry rows to be added for names without one: the first spelling of each."""
-    lost = unknown_references(used, registry).withColumn("_n", N.norm(F.col("entity")))
+    lost = _unknown(used, registry)
     return first_per(lost.select("pathway_id", "_n", *order, "entity"), ["pathway_id", "_n"], *order, "entity").select("pathway_id", F.col("entity").alias("name"))
 
 
@@ -110,19 +116,20 @@ def attach_transporters(transports: DataFrame, proteins: DataFrame, existing: Da
 def promote_interactions(interactions: DataFrame, processes: DataFrame, proteins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Interactions (``pathway_id, pos, entity_1, relationship, entity_2``) of a protein with a process become modifiers:
     the process of that name, else one whose name contains or is contained; the first. The others stay."""
-    protein = proteins.select("pathway_id", N.norm(F.col("actor")).alias("_a")).distinct()
-    own = interactions.withColumn("_a", N.norm(F.col("entity_1"))).join(protein, ["pathway_id", "_a"], "left_semi").withColumn("_b", N.norm(F.col("entity_2"))).where("_b <> ''")
-    steps = processes.select("pathway_id", "process", N.norm(F.col("name")).alias("_p")).where("_p <> ''")
-    exact = own.join(steps, (own["pathway_id"] == steps["pathway_id"]) & (own["_b"] == steps["_p"])).select(own["pathway_id"], "pos", "process", F.lit(0).alias("how"))
-    rest = own.join(exact.select("pathway_id", "pos"), ["pathway_id", "pos"], "left_anti")
+    protein = _by_norm(proteins.select("pathway_id", "actor"), "actor").select("pathway_id", F.col("_n").alias("_a")).distinct()
+    own = _by_norm(interactions, "entity_1").withColumnRenamed("_n", "_a").join(protein, ["pathway_id", "_a"], "left_semi")
+    # read several times each, so they are made once
+    own = durable(_by_norm(own.select("pathway_id", "pos", "entity_2"), "entity_2").select("pathway_id", "pos", F.col("_n").alias("_b")).where("_b <> ''"))
+    steps = durable(_by_norm(processes.select("pathway_id", "process", "name"), "name").select("pathway_id", "process", F.col("_n").alias("_p")).where("_p <> ''"))
+    exact = durable(own.join(steps, (own["pathway_id"] == steps["pathway_id"]) & (own["_b"] == steps["_p"])).select(own["pathway_id"], "pos", "process", F.lit(0).alias("how")))
     # the rest: names within names, either way
-    aims = rest.select("pathway_id", "pos", "_b")
+    aims = durable(own.join(exact.select("pathway_id", "pos"), ["pathway_id", "pos"], "left_anti"))
     inner = containing(aims.select("pathway_id", F.col("_b").alias("term")), steps.select("pathway_id", F.col("process").alias("id"), F.col("_p").alias("text")), ("pathway_id",), 1)
     outer = containing(steps.select("pathway_id", F.col("_p").alias("term")), aims.select("pathway_id", F.col("pos").alias("id"), F.col("_b").alias("text")), ("pathway_id",), 1)
     one = inner.join(aims.withColumnRenamed("_b", "term"), ["pathway_id", "term"]).select("pathway_id", "pos", F.col("id").alias("process"))
     two = outer.join(steps.withColumnRenamed("_p", "term"), ["pathway_id", "term"]).select("pathway_id", F.col("id").alias("pos"), "process")
     part = one.unionByName(two).distinct().withColumn("how", F.lit(1))
-    chosen = first_per(exact.unionByName(part), ["pathway_id", "pos"], "process").join(interactions.select("pathway_id", "pos", "entity_1", "relationship"), ["pathway_id", "pos"])
+    chosen = durable(first_per(exact.unionByName(part), ["pathway_id", "pos"], "process")).join(interactions.select("pathway_id", "pos", "entity_1", "relationship"), ["pathway_id", "pos"])
     made = chosen.select("pathway_id", "process", "pos", F.col("entity_1").alias("actor"), N.modifier_role(F.col("relationship")).alias("role"))
     return made, interactions.join(chosen.select("pathway_id", "pos"), ["pathway_id", "pos"], "left_anti")
 
@@ -131,7 +138,7 @@ def promote_catalysts(participants: DataFrame, proteins: DataFrame, scaffolds: D
     """``participants`` where protein inputs are modifiers, unless they are scaffolds or part of a complex that comes out;
     scaffolds that only come out as part of a complex are added as inputs."""
     p = participants.withColumn("_n", N.norm(F.col("entity")))
-    protein = proteins.select("pathway_id", N.norm(F.col("name")).alias("_n")).distinct().withColumn("_protein", F.lit(True))
+    protein = _by_norm(proteins.select("pathway_id", "name"), "name").select("pathway_id", "_n").distinct().withColumn("_protein", F.lit(True))
     scaffold = scaffolds.select("pathway_id", F.col("norm").alias("_n")).distinct().withColumn("_scaffold", F.lit(True))
     parts = p.where((F.col("role") == "product") & F.contains("entity", F.lit(":"))).select("pathway_id", "process", F.explode(N.complex_parts(F.col("entity"))).alias("part")).withColumn("_n", N.norm(F.col("part")))
     bound = parts.select("pathway_id", "process", "_n").distinct().withColumn("_bound", F.lit(True))
@@ -175,10 +182,8 @@ def scaffold_modifier_issues(actors: DataFrame, scaffolds: DataFrame) -> DataFra
 
 
 def _by_norm(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with the normal form of a name as ``_n``. Through an array, else a condition on it works it out again. Most names are
-    their own normal form, which one look tells."""
-    c = F.col(name)
-    return df.withColumn("_n", F.explode(F.array(F.when(c.rlike(r"^[a-z0-9]+(?: [a-z0-9]+)*\z"), c).otherwise(N.norm(c)))))
+    """``df`` with the normal form of a name as ``_n``. Through an array, else a condition on it works it out again."""
+    return df.withColumn("_n", F.explode(F.array(N.norm(F.col(name)))))
 
 
 def strict_gates(used: DataFrame, actors: DataFrame, registry: DataFrame, scaffolds: DataFrame, links: DataFrame | None = None) -> DataFrame:

@@ -36,6 +36,8 @@ def _grams(c: Column, shortest: int = 2) -> Column:
 
 #: One of so many texts tells which grams are rare; rows and letters of terms, and grams, that may be broadcast; bits of the filter.
 DRAW, GIVEN_TERMS, GIVEN_LETTERS, GIVEN_GRAMS, FILTER_BITS = 64, 1_000_000, 16_000_000, 1_000_000, 1 << 26
+#: Terms of a key that are held against each of its texts as they are; that is less work than a text's grams. And terms of all such keys that may be broadcast.
+FEW, GIVEN_FEW = 64, 100_000
 
 
 def containing(terms: DataFrame, texts: DataFrame, keys: tuple[str, ...] = (), shortest: int = 2) -> DataFrame:
@@ -46,17 +48,34 @@ def containing(terms: DataFrame, texts: DataFrame, keys: tuple[str, ...] = (), s
     by any one of them; a draw of texts tells which of them is rare, and decides on nothing else. Terms of ``GIVEN_TERMS`` rows
     and ``GIVEN_LETTERS`` letters at most go to the texts, which then never move. Beyond that, grams that are no term's are kept
     from the shuffle by a Bloom filter of ``FILTER_BITS`` bits, whatever the number of terms; the texts of the candidates alone
-    are fetched, and a common gram is dealt to several tasks."""
+    are fetched, and a common gram is dealt to several tasks. Under keys with ``FEW`` terms at most, texts meet the terms themselves."""
     k = list(keys)
     low = texts.select(*k, "id", F.lower("text").alias("text")).where("text <> ''")
-    probe = durable(_by_rare_gram(terms.select(*k, F.lower("term").alias("term")).where(F.length("term") >= shortest), low, k, shortest))
+    asked = terms.select(*k, F.lower("term").alias("term")).where(F.length("term") >= shortest)
+    if not k:
+        return _by_grams(asked, low, k, shortest)
+    asked = durable(asked.distinct())
+    sizes = durable(asked.groupBy(*k).agg(F.count("*").alias("n")))
+    n = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= FEW, F.col("n"))), F.lit(0)).alias("few"), F.count_if(F.col("n") > FEW).alias("long")).first()
+    of = lambda which: sizes.where(which).select(*k)
+    few = asked.join(of(F.col("n") <= FEW), k, "left_semi") if n["long"] else asked
+    few = F.broadcast(few) if n["few"] <= GIVEN_FEW else few.hint("merge")  # compressed tables are sized too low
+    met = low.join(few, k).where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
+    if not n["long"]:
+        return met
+    many = of(F.col("n") > FEW)
+    return met.unionByName(_by_grams(asked.join(many, k, "left_semi"), low.join(many, k, "left_semi"), k, shortest))
+
+
+def _by_grams(terms: DataFrame, low: DataFrame, k: list[str], shortest: int) -> DataFrame:
+    probe = durable(_by_rare_gram(terms, low, k, shortest))
     size = probe.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("letters")).first()
     grams = low.select(*k, "id", "text", F.explode(_grams(F.col("text"), shortest)).alias("gram"))
     if size["n"] <= GIVEN_TERMS and size["letters"] <= GIVEN_LETTERS:
         met = grams.join(F.broadcast(probe), [*k, "gram"])
         return met.where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()
     low = low.distinct().withColumn("th", F.xxhash64("text"))
-    index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram")).where(_among(probe, F.xxhash64(*k, "gram")))
+    index = low.select(*k, "id", "th", F.explode(_grams(F.col("text"), shortest)).alias("gram")).where(_among(probe, F.xxhash64(*k, "gram"))).hint("merge")  # exploded rows are sized as few as the texts
     # within keys a gram is held by few; to give millions of terms sixteen times would be most of the shuffle
     met = (index.join(probe, [*k, "gram"]) if k else salted_join(index, probe, ["gram"], salts=16)).select(*k, "term", "id", "th")
     return met.join(low, [*k, "id", "th"]).where(F.contains("text", F.col("term"))).select(*k, "term", "id").distinct()

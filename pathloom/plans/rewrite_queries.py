@@ -60,17 +60,11 @@ def blank(t):
 
 def told(t):
     """Processes whose text names a supplier; actors are the suppliers of the pathway."""
-    sup = t.participants.join(t.supplier, F.expr("concat('p', s_suppkey) = modifier")).select("pathway_id", "process", "pos", C("s_name").alias("actor"))
-    procs = t.processes.join(sup.where("pos = 1").select("process", F.min("actor").over(_w()).alias("a")).distinct(), "process", "left").withColumn("text", F.concat(F.lit("done by "), F.lower("a")))
+    sup = durable(t.participants.join(t.supplier, F.expr("concat('p', s_suppkey) = modifier")).select("pathway_id", "process", "pos", C("s_name").alias("actor")))
+    procs = durable(t.processes.select("pathway_id", "process").join(sup.where("pos = 1").groupBy("process").agg(F.min("actor").alias("a")), "process", "left")).withColumn("text", F.concat(F.lit("done by "), F.lower("a")))
     return procs, sup.select("pathway_id", "actor").distinct().withColumns({"rank": F.lit(1), "pos": F.lit(0)}), sup.where("pos = 2").select("pathway_id", "process", "actor")
 
 
-def _w():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("process")
-
-
 TOLD = "(SELECT x.pathway_id, x.process, a FROM {processes} x JOIN (SELECT process, min(s_name) AS a FROM {participants} p JOIN supplier ON concat('p', s_suppkey) = modifier WHERE pos = 1 GROUP BY 1) s USING (process))"
 HAS = "(SELECT process, s_name FROM {participants} p JOIN supplier ON concat('p', s_suppkey) = modifier WHERE pos = 2)"
 query("C12_inject_actors", f"SELECT pathway_id, process, a AS actor, 1 AS rank, 0.9::DOUBLE AS confidence FROM {TOLD} t WHERE NOT EXISTS (SELECT 1 FROM {HAS} h WHERE h.process = t.process AND h.s_name = t.a)")(lambda t: (lambda p, a, e: I.inject_actors(p, a, e, C("text")))(*told(t)))
