@@ -49,7 +49,7 @@ query("A09_model_files", f"SELECT * FROM {SP} s")(lambda t: M.species(reread(t),
 query("A03_model_references", f"SELECT pathway_id, concat('r', process) AS reaction, role, entity AS species, stoichiometry, concat('N<', substr(entity, 2, 2), '>') AS species_name FROM {P4} q UNION ALL SELECT pathway_id, concat('r', process), 'modifier', entity, 1.0, concat('N<', substr(entity, 2, 2), '>') FROM {P4} q WHERE pos = 1")(lambda t: M.references(parsed(t), "pathway_id").drop("pos"))
 query("A03_model_failures", "SELECT o_custkey AS pathway_id FROM orders WHERE o_custkey % 40 = 4 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")(lambda t: M.failures(M.parse(M.documents(*tables(t)).withColumn("xml", F.when(C("pathway_id") % 40 == 4, F.substring("xml", 1, 60)).otherwise(C("xml"))), "pathway_id"), "pathway_id"))
 query("C21_classified_reactions", f"""SELECT pathway_id, concat('r', process) AS reaction, CASE WHEN count(*) FILTER (role = 'reactant') = 1 AND count(*) FILTER (role = 'product') = 1 AND max(substr(entity, 2, 2)) FILTER (role = 'reactant') = max(substr(entity, 2, 2)) FILTER (role = 'product') AND max(right(entity, 1)) FILTER (role = 'reactant') <> max(right(entity, 1)) FILTER (role = 'product') THEN 'transport' ELSE 'reaction' END AS kind FROM {P4} q GROUP BY 1, 2""")(
-    lambda t: (lambda m: M.classified(M.reactions(m, "pathway_id"), M.references(m, "pathway_id"), M.species(m, "pathway_id"), "pathway_id"))(parsed(t))
+    lambda t: (lambda m: M.classified(M.reactions(m, "pathway_id"), M.references(m, "pathway_id", named=False), M.species(m, "pathway_id"), "pathway_id"))(parsed(t))
 )
 query("C21_protein_modifiers", "SELECT s_nationkey AS pathway_id, s_suppkey AS reaction, concat('P_', s_suppkey) AS species FROM supplier WHERE s_suppkey % 2 = 0")(lambda t: M.protein_modifiers(t.proteins.select("pathway_id", C("id").alias("reaction"), F.lit("modifier").alias("role"), F.concat(F.when(C("id") % 2 == 0, "P_").otherwise("x"), "id").alias("species"), C("name").alias("species_name")), "pathway_id"))
 

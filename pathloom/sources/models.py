@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import names as N
 from pathloom.operators.tables import first_per, ordered
-from pathloom.plans.durable import durable
+from pathloom.plans.durable import durable, tidy
 
 _REF = "array<struct<_species:string,_stoichiometry:double>>"
 SBML = (
@@ -25,7 +25,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def parse(texts: DataFrame, key: str = "source", xml: str = "xml") -> DataFrame:
     """``key, model``, null where the text is no model. Texts are made and parsed once, whatever is then read from the table."""
     got = texts.select(key, F.from_xml(F.coalesce(xml, F.lit("<x/>")), SBML, {"mode": "PERMISSIVE"}).alias("d"))
-    return durable(got.select(key, F.when(F.coalesce(F.col("d.model._id"), F.col("d.model._name")).isNotNull() | F.col("d.model.listOfSpecies").isNotNull(), F.col("d.model")).alias("model")))
+    made = durable(got.select(key, F.when(F.coalesce(F.col("d.model._id"), F.col("d.model._name")).isNotNull() | F.col("d.model.listOfSpecies").isNotNull(), F.col("d.model")).alias("model")))
+    tidy(texts.sparkSession)  # what making the texts left on the disk
+    return made
 
 
 def failures(parsed: DataFrame, key: str = "source") -> DataFrame:
@@ -44,14 +46,16 @@ def reactions(parsed: DataFrame, key: str = "source") -> DataFrame:
     return parsed.select(key, F.posexplode("model.listOfReactions.reaction").alias("pos", "r")).select(key, "pos", F.col("r._id").alias("id"), F.coalesce("r._name", "r._id").alias("name"), F.col("r._compartment").alias("compartment"), F.coalesce("r._reversible", F.lit(False)).alias("reversible"))
 
 
-def references(parsed: DataFrame, key: str = "source") -> DataFrame:
-    """``key, reaction, role, pos, species, stoichiometry`` with the species' names."""
+def references(parsed: DataFrame, key: str = "source", named: bool = True) -> DataFrame:
+    """``key, reaction, role, pos, species, stoichiometry``, with the species' names if ``named``."""
     r = parsed.select(key, F.explode("model.listOfReactions.reaction").alias("r"))
     parts = []
     for role, field, item in (("reactant", "listOfReactants", "speciesReference"), ("product", "listOfProducts", "speciesReference"), ("modifier", "listOfModifiers", "modifierSpeciesReference")):
         one = r.select(key, F.col("r._id").alias("reaction"), F.lit(role).alias("role"), F.posexplode(f"r.{field}.{item}").alias("pos", "x"))
         parts.append(one.select(key, "reaction", "role", "pos", F.col("x._species").alias("species"), (F.lit(1.0) if role == "modifier" else F.coalesce("x._stoichiometry", F.lit(1.0))).alias("stoichiometry")))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if not named:
+        return out
     names = species(parsed, key).select(key, F.col("id").alias("species"), F.col("name").alias("species_name"))
     return out.join(names, [key, "species"], "left")
 
