@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import export as X
 from pathloom.operators.tables import first_per
-from pathloom.plans.durable import shared_folder
+from pathloom.plans.durable import drop, durable, shared_folder, tidy
 from pathloom.plans.registry import query
 from pathloom.sources import model_files
 from pathloom.sources import models as M
@@ -40,7 +40,10 @@ query("A03_model_species", f"SELECT * FROM {SP} s")(lambda t: M.species(parsed(t
 def reread(t):
     """The models written as files, one each, and read back; a file's name is its model's key."""
     folder = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
-    model_files.write(M.documents(*tables(t)), folder)
+    texts = durable(M.documents(*tables(t)))
+    tidy(t.spark)  # what making the texts left on the disk goes before the files come
+    model_files.write(texts, folder)
+    drop(texts)
     files = model_files.read(t.spark, folder)
     return M.parse(files.select(F.regexp_extract("source", r"([^/]+)\.xml$", 1).cast("long").alias("pathway_id"), "xml"), "pathway_id")
 
