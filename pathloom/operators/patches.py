@@ -66,7 +66,8 @@ def folded(n: Column, there: Column, patches: Column) -> Column:
         moved = F.when(op == "add", _long(1)).when(op == "remove", _long(-1)).otherwise(_long(0))
         new = F.when(brings, F.array(_run(i, _long(1), _long(0), seq))).otherwise(F.array().cast(f"array<{_RUN}>"))
         all_new = F.filter(F.array(_run(_long(0), F.coalesce(p["size"].cast("long"), _long(0)), _long(0), seq)), lambda r: (r["len"] > 0) & (op != "unset"))
-        after = F.when(whole, all_new).when(op == "touch", s["runs"]).otherwise(F.concat(_cut(s["runs"], i, took, moved), new))
+        # what comes behind all others cuts and moves nothing
+        after = F.when(whole, all_new).when(op == "touch", s["runs"]).when((op == "add") & (i >= s["n"]), F.concat(s["runs"], new)).otherwise(F.concat(_cut(s["runs"], i, took, moved), new))
         size = F.when(op == "unset", _long(0)).when(whole, F.coalesce(p["size"].cast("long"), _long(0))).otherwise(s["n"] + moved)
         entry = F.struct(seq.alias("seq"), F.when(brings, _long(0)).otherwise(hit["first"] + i - hit["at"]).alias("first"), F.when(brings, seq).otherwise(hit["added"]).alias("added"), why.alias("why"))
         ok = why.isNull()
